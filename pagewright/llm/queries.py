@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import forms, pieces, tokens
+from . import forms, personal, pieces, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,18 @@ def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.select("block_id", forms.canonical("text").alias("form"), forms.canonical("text", fold=True).alias("folded"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.found_kinds(_table(spark, sf_dir, "ocr_blocks"))
+
+
+def p4_blocks_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.redact(_table(spark, sf_dir, "ocr_blocks"), "block_id")
+
+
+def p4_pages_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.redact(_table(spark, sf_dir, "ocr_pages"), "page_id")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_texts(_table(spark, sf_dir, "documents"))
 
