@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import forms, personal, pieces, tokens
+from . import forms, parties, personal, pieces, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,15 @@ def p4_pages_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.redact(_table(spark, sf_dir, "ocr_pages"), "page_id")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = parties.spellings(_table(spark, sf_dir, "invoices"), "buyer_name", "seller_name")
+    return parties.same_party_pairs(parties.party_classes(names))
+
+
+def p5_parties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parties.party_classes(parties.spellings(_table(spark, sf_dir, "invoices"), "buyer_name", "seller_name"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_texts(_table(spark, sf_dir, "documents"))
 
