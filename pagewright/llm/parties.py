@@ -76,7 +76,7 @@ def _known(word: str, words: list[str]) -> str | None:
     begun = [w for w in words if w.startswith(word)]
     if len(begun) == 1:
         return begun[0]
-    if len(word) >= 5:
+    if len(word) >= 4:
         near = [w for w in words if one_slip(word, w)]
         if len(near) == 1:
             return near[0]
@@ -147,7 +147,7 @@ def _parse_latin(text: str, cased: str) -> dict[str, str]:
 
 def _parse_chinese(text: str) -> dict[str, str]:
     parts = {"kind": "company", "brand": "", "field": "", "trade": "", "town": ""}
-    text = re.sub(r"\s", "", text)
+    text = re.sub(r"[\s。.,，、·]", "", text)
     inside = re.search(r"\(([^()]+)\)", text)
     if inside:
         parts["town"] = inside[1].rstrip("市")
@@ -202,13 +202,15 @@ def rewritings(name: str) -> list[tuple[str, str, str, str]]:
         if all(k in have for k in keys):
             out.append((identity, form(keys), "full" if f and t else "part", ""))
     out.append((identity, form(have), "short", ""))
+    if w:  # the town may be what the complete spellings leave out
+        out.append((identity, form(have.replace("w", "")), "townless", ""))
     if len(b) > 1:
         rest = f"{f}|{t}"
         for x in _losses(b):
             if f and t:
                 out.append((identity, f"cs:{x}|{rest}", "slip", b))
-            if w and (f or t):
-                out.append((identity, f"csw:{x}|{t}|{w}", "slip", b))
+            if w and t:
+                out.append((identity, f"csw:{x}|{t}|{w}", "slip" if f else "part-slip", b))
     return out
 
 
@@ -284,9 +286,18 @@ def party_classes(names: DataFrame) -> DataFrame:
         .select(F.col("identity").alias("a"), F.col("full_identity").alias("b"))
         .where("a <> b")
     )
+    townless = (
+        forms.where("role = 'townless'")
+        .select("identity", "form")
+        .distinct()
+        .join(cores, "form")
+        .where("full_cores = 1 and towns = 0")
+        .select(F.col("identity").alias("a"), F.col("full_identity").alias("b"))
+        .where("a <> b")
+    )
     # one slip: neighbours under a form, compared to the form's members once each
     slips = forms.where("role = 'slip'").select("form", "identity", "whole", "town").distinct()
-    x, y = slips.alias("x"), slips.alias("y")
+    x, y = slips.where("form not like 'csw:%'").alias("x"), slips.alias("y")
     near = (
         x.join(y, "form")
         .where("x.identity < y.identity and (x.town = y.town or x.town = '' or y.town = '')")
@@ -295,7 +306,19 @@ def party_classes(names: DataFrame) -> DataFrame:
         .where(_one_slip("wa", "wb"))
         .select("a", "b")
     )
-    labels = _components(own.unionByName(short).unionByName(near))
+    # a slip in a spelling that also leaves out the field: linked where only one complete core is that near
+    x, y = forms.where("role = 'part-slip'").select("form", "identity", "whole").distinct().alias("x"), slips.where("form like 'csw:%'").select("form", "identity", "whole", F.expr("split(identity, '[|]')[1]").alias("field")).alias("y")
+    partial = (
+        x.join(y, "form")
+        .select(F.col("x.identity").alias("a"), F.col("y.identity").alias("b"), F.col("x.whole").alias("wa"), F.col("y.whole").alias("wb"), "field")
+        .distinct()
+        .where(_one_slip("wa", "wb"))
+        .groupBy("a")
+        .agg(F.count_distinct("field").alias("fields"), F.min("b").alias("b"))
+        .where("fields = 1")
+        .select("a", "b")
+    )
+    labels = _components(own.unionByName(short).unionByName(townless).unionByName(near).unionByName(partial))
     return labels.where("node like 'n:%'").select(F.expr("substring(node, 3)").alias("name"), F.xxhash64("label").alias("party"))
 
 
