@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import forms, parties, personal, pieces, tokens
+from . import forms, parties, personal, pieces, scans, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,14 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.split_units(_table(spark, sf_dir, "chunk_units"), _table(spark, sf_dir, "app_configs"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.affected_lines(_table(spark, sf_dir, "ocr_pages"), _table(spark, sf_dir, "text_layers"))
+
+
+def p2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.clean_paragraphs(_table(spark, sf_dir, "ocr_pages"), _table(spark, sf_dir, "text_layers"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forms.same_looking_blocks(_table(spark, sf_dir, "ocr_blocks"), _table(spark, sf_dir, "text_layers"))
 
