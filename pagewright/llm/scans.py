@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,12 +31,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..session import cut
+from ..session import keep
 from .forms import _IGNORED, canonical_text
 
 # What was read, and what may have been printed.  Digits are written 0 in the words that are counted.
 CONFUSIONS_LATIN = {
-    "0": "o l i s b g z e q", "!": "i l", "@": "a", "|": "l i", "1": "l i", "5": "s", "c": "e", "e": "c", "f": "t", "t": "f", "h": "b", "b": "h 0", "l": "i 0", "i": "l 0", "I": "0", "o": "0 ö", "O": "0", "s": "0", "S": "0", "B": "0",
+    "0": "o l i s b g z e q", "!": "i l", "@": "a", "|": "l i", "1": "l i", "5": "s", "c": "e", "e": "c", "f": "t", "t": "f", "h": "b li", "b": "h 0", "l": "i 0", "i": "l 0", "I": "0", "o": "0 ö", "O": "0", "s": "0", "S": "0", "B": "0",
     "g": "q 0", "q": "g 0", "z": "0", "Z": "0", "rn": "m", "m": "rn", "cl": "d", "d": "cl", "vv": "w", "w": "vv", "ii": "u ü", "u": "ii ü v", "v": "u y", "y": "v", "n": "ri", "ri": "n", "li": "h", "ä": "a", "a": "ä", "ö": "o", "ü": "u", "ß": "b",
 }
 # Pairs of Chinese characters that are taken for each other; read, printed.
@@ -53,7 +52,8 @@ COMMON_SHARE, COMMON_LEAST = 0.01, 5
 
 _HAN_READ = {p[0] for p in CONFUSIONS_HAN}
 _HAN_ANY = re.compile("[" + "".join({c for p in CONFUSIONS_HAN for c in p}) + "]")
-_TOKEN = re.compile(r"[!|]?[^\W_](?:[\w!@|.,/\-'’]*[^\W_])?[!|]?")
+_EMAIL = re.compile(r"\S+@\S+\.\S+")
+_TOKEN = re.compile(r"[!|@]?[^\W_](?:[\w!@|.,/\-'’]*[^\W_])?[!|]?")
 _HAN = re.compile(r"[一-鿿]")
 _D = r"[\dlIOo]"
 _PAGE_NUMBER = re.compile(
@@ -62,7 +62,7 @@ _PAGE_NUMBER = re.compile(
 )
 _MARKS = "-­¬‐‑−"
 _CONJUNCTIONS = {"und", "oder", "bzw", "bis", "and", "or", "sowie"}
-_SKELETON = {"0": "o", "O": "o", "Q": "o", "1": "i", "l": "i", "I": "i", "!": "i", "|": "i", "i": "i", "5": "s", "S": "s", "@": "a", "ä": "a", "ö": "o", "ü": "u", "c": "e", "t": "f", "T": "f", "F": "f", "h": "b", "8": "b", "B": "b", "H": "b", "9": "g", "q": "g", "C": "e", "E": "e", "Z": "z", "2": "z"}
+_SKELETON = {"0": "o", "O": "o", "Q": "o", "1": "i", "l": "i", "I": "i", "!": "i", "|": "i", "i": "i", "5": "s", "S": "s", "@": "a", "ä": "a", "ö": "o", "ü": "u", "c": "e", "t": "f", "T": "f", "F": "f", "h": "b li", "8": "b", "B": "b", "H": "b", "9": "g", "q": "g", "C": "e", "E": "e", "Z": "z", "2": "z"}
 _SKELETON_HAN = {}
 for _pair in CONFUSIONS_HAN:
     _SKELETON_HAN.setdefault(_pair[0], _SKELETON_HAN.get(_pair[1], min(_pair)))
@@ -96,19 +96,25 @@ def _grams(before: str, form: str, after: str) -> list[str]:
     else:
         parts = re.split(r"[一-鿿，。、；：]+", form)
     for part in parts:
+        if "@" in part:
+            part = _EMAIL.sub(" ", part)
         for m in _TOKEN.finditer(part):
             t = m[0]
             if len(t) >= 2 and not (t.isdigit()):
                 out.append(token_key(t))
+                if "-" in t and t[0].isalpha() and t[-1].isalpha():  # a word with a mark of its own: its parts are words, and its first part takes a mark
+                    low = t.lower().split("-")
+                    out += [x for x in low if len(x) > 1]
+                    out.append(low[0] + "-")
     if len(parts) > 1:
         text = before[-2:] + form + after[:2] if _HAN.search(before[-1:] + after[:1]) else form
         shift = len(before[-2:]) if len(text) > len(form) else 0
         for m in _HAN_ANY.finditer(form):
             i = m.start() + shift
-            for a in (i - 2, i - 1, i):
-                g = text[max(0, a) : a + 3]
-                if a >= 0 and len(g) == 3:
-                    out.append("".join("0" if c.isdigit() else c for c in g))
+            for a, b in ((i - 2, i + 1), (i - 1, i + 2), (i, i + 3), (i - 1, i + 1), (i, i + 2)):
+                g = text[max(0, a) : b]
+                if a >= 0 and len(g) == b - a and (b - a == 3 or _HAN.match(g[1 - (i - a)])):
+                    out.append("".join("0" if c.isdigit() else c for c in g) + str(i - a + 1))
     return out
 
 
@@ -133,15 +139,6 @@ def _page(text: str) -> list[tuple[str, bool, list[str], list[str]]]:
     return out
 
 
-def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        count: Counter[str] = Counter()
-        for text in batch["text"]:
-            for _, _, keys, _ in _page(text):
-                count.update(keys)
-        yield pd.DataFrame({"gram": list(count.keys()), "n": list(count.values())})
-
-
 _LINES = T.StructType(
     [T.StructField("src", T.StringType()), T.StructField("page_id", T.LongType()), T.StructField("task_id", T.StringType()), T.StructField("page_index", T.IntegerType()), T.StructField("line_no", T.IntegerType()), T.StructField("place", T.IntegerType()), T.StructField("skeleton", T.StringType()), T.StructField("is_number", T.BooleanType()), T.StructField("left", T.StringType()), T.StructField("first", T.StringType()), T.StructField("n_marks", T.IntegerType()), T.StructField("keys", T.ArrayType(T.StringType()))]
 )
@@ -182,15 +179,20 @@ def anagram_hash(gram: Column | str) -> Column:
 
 
 def corrections(counts: DataFrame, ratio: int = RATIO, least: int = LEAST) -> DataFrame:
-    """(gram, better, x, y): the best correction of each rare word that a confusable pair turns into a frequent one."""
+    """(gram, better, x, y) for counted grams (gram, n): the best correction of each rare word that a confusable pair turns into a frequent one."""
     spark = counts.sparkSession
     pairs = spark.createDataFrame(_confusions(), "x string, y string").withColumn("delta", anagram_hash("y") - anagram_hash("x"))
     pairs = pairs.withColumn("han", F.col("x").rlike("[一-鿿]"))
+    # a word that holds a sign or a digit among its letters is no word: a quarter of the ratio is enough there
     hashed = counts.withColumn("hash", anagram_hash("gram")).withColumn("han", F.col("gram").rlike("[一-鿿]"))
     # the pairs are a fixed list of a few hundred rows: this join explodes each word by the pairs it holds
     rare = hashed.join(F.broadcast(pairs), (hashed["han"] == pairs["han"]) & F.expr("instr(gram, x) > 0")).select("gram", "n", "x", "y", (F.col("hash") + F.col("delta")).alias("hash"))
     frequent = hashed.where(F.col("n") >= least).select(F.col("gram").alias("better"), F.col("n").alias("n_better"), "hash")
-    hits = rare.join(frequent, "hash").where((F.col("n_better") >= ratio * F.col("n")) & (F.length("gram") - F.length("x") + F.length("y") == F.length("better")))
+    hits = rare.join(frequent, "hash").where((F.col("n_better") >= 0.25 * ratio * F.col("n")) & (F.length("gram") - F.length("x") + F.length("y") == F.length("better")))
+    # short words are often words themselves: they have to be rarer; a gram's last character says which of its characters is meant
+    size = F.length("gram")
+    hits = hits.where((F.col("gram").rlike("[一-鿿]") & (F.col("n_better") >= ratio * F.col("n"))) | (~F.col("gram").rlike("[一-鿿]") & (F.col("n_better") >= ratio * F.col("n") * F.when(F.col("gram").rlike(r"\p{L}") & F.col("gram").rlike("[0!@|]"), 0.25).when(size <= 3, 8).when(size == 4, 2).otherwise(1))))
+    hits = hits.where(~F.col("gram").rlike("[一-鿿]") | F.expr("substring(gram, try_cast(right(gram, 1) as int), 1) = x and substring(better, try_cast(right(gram, 1) as int), 1) = y"))
     verified = hits.where(F.expr("exists(sequence(1, length(gram) - length(x) + 1), p -> concat(substring(gram, 1, p - 1), y, substring(gram, p + length(x))) = better and substring(gram, p, length(x)) = x)"))
     best = verified.groupBy("gram").agg(F.max_by(F.struct("better", "x", "y"), F.struct("n_better", "better")).alias("b"))
     return best.select("gram", "b.better", "b.x", "b.y")
@@ -203,11 +205,11 @@ def affected_lines(pages: DataFrame, layers: DataFrame) -> DataFrame:
 
 def _parts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(affected lines, corrections of the lines' grams)."""
-    counts = cut(texts.select("text").mapInPandas(_counts, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")))
-    fixes = cut(corrections(counts))
-    lines = texts.mapInPandas(_lines, _LINES)
+    lines = keep(texts.mapInPandas(_lines, _LINES))
+    counts = keep(lines.select(F.explode("keys").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")))
+    fixes = keep(corrections(counts))
     key = ["src", "page_id", "line_no"]
-    edges = cut(lines.where("place >= 0 or is_number or n_marks > 0").drop("keys"))
+    edges = lines.where("place >= 0 or is_number or n_marks > 0").drop("keys")
 
     numbers = edges.where("is_number").select(*key)
     page_counts = texts.where("task_id is not null").groupBy("task_id").agg(F.count_distinct("page_index").alias("n_pages"))
@@ -227,7 +229,7 @@ def _parts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     heads = body.groupBy("src", "task_id", "page_index").agg(F.min_by("first", "line_no").alias("head")).withColumn("page_index", F.col("page_index") - 1)
     ends = marked.join(following, key, "left").join(heads, ["src", "task_id", "page_index"], "left").withColumn("rest", F.coalesce("next", "head"))
     word = F.lower(F.regexp_extract("rest", r"^([\p{L}'’]+(?:-[\p{L}]+)*)", 1))
-    ends = ends.withColumn("right", word).select(*key, "left", "rest", "right")
+    ends = ends.withColumn("right", F.coalesce(word, F.lit(""))).select(*key, "left", "rest", "right")
     joined, hyphened = counts.select(F.col("gram").alias("joined"), F.col("n").alias("n_joined")), counts.select(F.col("gram").alias("hyphened"), F.col("n").alias("n_hyphened"))
     tail = F.concat(F.regexp_extract("left", r"([^-]*)$", 1), F.regexp_extract("right", r"^([^-]*)", 1))
     weighed = (
@@ -237,16 +239,17 @@ def _parts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         .join(joined, "joined", "left")
         .join(hyphened, "hyphened", "left")
         .join(joined.select(F.col("joined").alias("part"), F.col("n_joined").alias("n_part")), "part", "left")
-        .fillna(0, ["n_joined", "n_hyphened", "n_part"])
+        .join(joined.select(F.expr("left(joined, length(joined) - 1)").alias("left"), F.col("n_joined").alias("n_left")).where("joined like '%-'"), "left", "left")
+        .fillna(0, ["n_joined", "n_hyphened", "n_part", "n_left"])
     )
     starts_low = F.col("rest").rlike(r"^\p{Ll}")
     broken = weighed.where(
-        ((F.col("right") == "") & F.col("rest").isNull() & F.length("left").between(2, 30))
-        | ((F.col("right") != "") & ~F.col("right").isin(*_CONJUNCTIONS) & ~F.col("rest").rlike("[@]") & (starts_low & (F.col("n_joined") + F.when(F.col("left").contains("-"), F.col("n_part")).otherwise(0) >= F.col("n_hyphened"))))
+        ((F.col("right") == "") & F.col("rest").isNull() & F.length("left").between(2, 30) & (F.col("n_left") < LEAST))
+        | ((F.col("right") != "") & (~F.col("right").isin(*_CONJUNCTIONS) | (F.col("n_joined") > 0)) & ~F.col("rest").rlike("[@]") & (starts_low & (F.col("n_joined") + F.when(F.col("left").contains("-"), F.col("n_part")).otherwise(0) >= F.col("n_hyphened"))))
     ).select(*key)
 
     grams = lines.where("size(keys) > 0").select(*key, F.explode("keys").alias("gram"))
-    wrong = cut(grams.join(fixes, "gram").select(*key, "gram", "better", "x", "y"))
+    wrong = keep(grams.join(fixes, "gram").select(*key, "gram", "better", "x", "y"))
     taken = skip.unionByName(broken).distinct()
     misread = wrong.select(*key).distinct().join(taken, key, "left_anti")
     kind = lambda df, k: df.select(*key).withColumn("kind", F.lit(k))
