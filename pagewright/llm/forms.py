@@ -56,12 +56,17 @@ def canonical_text(text: str | None, fold: bool = False) -> str | None:
     """The consistent form of one text; see the module's description."""
     if text is None:
         return None
-    if not text.isascii():
+    if text.isascii():
+        text = " ".join(text.split())
+        if not text.isprintable():
+            text = " ".join(_IGNORED.sub("", text).split())
+        return text.lower() if fold else text
+    shown = _IGNORED.sub("", text)
+    text = unicodedata.normalize("NFKD", shown)
+    if text != shown:
         text = _IGNORED.sub("", text)
-        text = unicodedata.normalize("NFKD", text)
-        text = _MAPPED.sub(lambda m: _MAP[m[0]], text)
-        text = unicodedata.normalize("NFC", _IGNORED.sub("", text))
-    text = " ".join(_IGNORED.sub("", text).split())
+    text = unicodedata.normalize("NFC", _MAPPED.sub(lambda m: _MAP[m[0]], text))
+    text = " ".join(text.split())
     return unicodedata.normalize("NFC", text.casefold()) if fold else text
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import forms, parties, personal, pieces, scans, tokens
+from . import abuse, forms, parties, personal, pieces, scans, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,19 @@ def p6_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_texts(_table(spark, sf_dir, "documents"), offsets=True)
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.found_kinds(abuse.scores(_table(spark, sf_dir, "documents")))
+
+
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.scores(_table(spark, sf_dir, "documents"))
+
+
+def p8_source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return abuse.source_rates(documents, abuse.scores(documents))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if name[0] == "p" and name[1].isdigit()}
 
