@@ -72,7 +72,7 @@ def canonical_text(text: str | None, fold: bool = False) -> str | None:
 
 def canonical_lines(text: str) -> list[str]:
     """The consistent form of each line of a text, in order; the number of lines is kept."""
-    return [canonical_text(x) for x in text.split("\n")]
+    return [x.strip(" ") for x in canonical_text(text.replace("\n", "\ue000")).split("\ue000")]
 
 
 def canonical_with_map(text: str) -> tuple[str, list[int]]:

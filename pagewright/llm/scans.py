@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..session import keep
-from .forms import _IGNORED, canonical_text
+from .forms import _IGNORED, canonical_lines, canonical_text
 
 # What was read, and what may have been printed.  Digits are written 0 in the words that are counted.
 CONFUSIONS_LATIN = {
@@ -40,8 +40,8 @@ CONFUSIONS_LATIN = {
     "g": "q 0", "q": "g 0", "z": "0", "Z": "0", "rn": "m", "m": "rn", "cl": "d", "d": "cl", "vv": "w", "w": "vv", "ii": "u ü", "u": "ii ü v", "v": "u y", "y": "v", "n": "ri", "ri": "n", "li": "h", "ä": "a", "a": "ä", "ö": "o", "ü": "u", "ß": "b",
 }
 # Pairs of Chinese characters that are taken for each other; read, printed.
-CONFUSIONS_HAN = """可司 夯务 友发 又文 祢称 仑仓 硝确 悦税 亏号 単单 颌额 人入 卒率 曰日 台合 勿物 己已 汀订 攴支 活话 淮准 啇商 末未 扯址 同司 土士 士土 干千 千干 大太 太大 木本 本木 目日 田由 由田 甲申 申甲
-牛午 午牛 贝见 见贝 天夫 夫天 刀力 力刀 几儿 儿几 王玉 玉王 白自 自白 了子 厂广 广厂 问间 间问 闪闭 晴睛 晴清 清晴 拔拨 拨拔 折拆 拆折 未末 入人 日曰 已己 全金 令今 今令 侍待 待侍 侯候 候侯 住往 往住 币市 市币 园圆 圆园""".split()
+CONFUSIONS_HAN = """可司 夯务 友发 又文 祢称 仑仓 硝确 悦税 亏号 単单 颌额 人入 卒率 曰日 台合 勿物 己已 汀订 攴支 活话 淮准 啇商 末未 扯址 同司
+司可 土士 士土 干千 千干 田由 由田 甲申 申甲 牛午 午牛 贝见 见贝 睛晴 睛清 拨拔 拔拨 折拆 拆折 未末 入人 日曰 已己 侍待 待侍 侯候 候侯 币市 准淮 话活 订汀 址扯""".split()
 
 #: A correction is at least so many times as frequent as what it corrects, and there at least so often.
 RATIO, LEAST = 12, 5
@@ -54,12 +54,14 @@ _HAN_READ = {p[0] for p in CONFUSIONS_HAN}
 _HAN_ANY = re.compile("[" + "".join({c for p in CONFUSIONS_HAN for c in p}) + "]")
 _EMAIL = re.compile(r"\S+@\S+\.\S+")
 _TOKEN = re.compile(r"[!|@]?[^\W_](?:[\w!@|.,/\-'’]*[^\W_])?[!|]?")
+_DIGITS = str.maketrans("123456789", "000000000")
 _HAN = re.compile(r"[一-鿿]")
 _D = r"[\dlIOo]"
 _PAGE_NUMBER = re.compile(
     rf"(?:\d{{1,3}}|[ivxlc]{{1,6}}|[IVXLC]{{1,6}}|[-–—·] ?{_D}{{1,4}} ?[-–—·]|[\[(<]{_D}{{1,4}}[\])>]|{_D}{{1,4}} ?/ ?{_D}{{1,4}}|(?:p|pp|pg|s|P|S)\. ?{_D}{{1,4}}|"
     rf"(?i:(?:p[a@]ge|pagc|seite|scite|blatt|folio|sheet)) ?{_D}{{1,4}}(?: ?(?:of|o[ft]|0f|von|/) ?{_D}{{1,4}})?|第 ?{_D}{{1,4}} ?[页頁](?: ?,? ?共 ?{_D}{{1,4}} ?[页頁])?|共 ?{_D}{{1,4}} ?[页頁])"
 )
+_FIRST = re.compile(r"[\W_]*([^\W_][^\s]*)")
 _MARKS = "-­¬‐‑−"
 _CONJUNCTIONS = {"und", "oder", "bzw", "bis", "and", "or", "sowie"}
 _SKELETON = {"0": "o", "O": "o", "Q": "o", "1": "i", "l": "i", "I": "i", "!": "i", "|": "i", "i": "i", "5": "s", "S": "s", "@": "a", "ä": "a", "ö": "o", "ü": "u", "c": "e", "t": "f", "T": "f", "F": "f", "h": "b li", "8": "b", "B": "b", "H": "b", "9": "g", "q": "g", "C": "e", "E": "e", "Z": "z", "2": "z"}
@@ -78,6 +80,8 @@ def skeleton(form: str) -> str:
 
 def token_key(token: str) -> str:
     """What a token is counted as: words in lower case with digits as 0; numbers by their shape."""
+    if token.isalpha():
+        return token.lower()
     letters = sum(c.isalpha() for c in token)
     digits = sum(c.isdigit() for c in token)
     if not digits:
@@ -109,21 +113,25 @@ def _grams(before: str, form: str, after: str) -> list[str]:
     if len(parts) > 1:
         text = before[-2:] + form + after[:2] if _HAN.search(before[-1:] + after[:1]) else form
         shift = len(before[-2:]) if len(text) > len(form) else 0
+        text = text.translate(_DIGITS)
         for m in _HAN_ANY.finditer(form):
             i = m.start() + shift
             for a, b in ((i - 2, i + 1), (i - 1, i + 2), (i, i + 3), (i - 1, i + 1), (i, i + 2)):
                 g = text[max(0, a) : b]
                 if a >= 0 and len(g) == b - a and (b - a == 3 or _HAN.match(g[1 - (i - a)])):
-                    out.append("".join("0" if c.isdigit() else c for c in g) + str(i - a + 1))
+                    out.append(f"{g}{i - a + 1}")
     return out
 
 
 def _page(text: str) -> list[tuple[str, bool, list[str], list[str]]]:
     """(form, ends with a mark, keys, fragments' keys) of each line of a page."""
     raw = text.split("\n")
-    forms = [canonical_text(x) for x in raw]
+    forms = canonical_lines(text)
     marks = []
     for r, f in zip(raw, forms):
+        if not (f and (f[-1] in _MARKS or "­" in r[-8:])):
+            marks.append(False)
+            continue
         end = "".join(c for c in r[-12:] if c == "­" or not _IGNORED.match(c)).rstrip()
         marks.append(bool(f) and len(end) > 1 and end[-1] in _MARKS and (end[-2].isalpha()))
     out = []
@@ -139,14 +147,17 @@ def _page(text: str) -> list[tuple[str, bool, list[str], list[str]]]:
     return out
 
 
+_NEXTS = T.ArrayType(T.StructType([T.StructField("no", T.IntegerType()), T.StructField("first", T.StringType())]))
+#: So many lines after a line are looked at for the rest of its last word: more than the running lines and page numbers that can stand between.
+_LOOK_AHEAD = 5
 _LINES = T.StructType(
-    [T.StructField("src", T.StringType()), T.StructField("page_id", T.LongType()), T.StructField("task_id", T.StringType()), T.StructField("page_index", T.IntegerType()), T.StructField("line_no", T.IntegerType()), T.StructField("place", T.IntegerType()), T.StructField("skeleton", T.StringType()), T.StructField("is_number", T.BooleanType()), T.StructField("left", T.StringType()), T.StructField("first", T.StringType()), T.StructField("n_marks", T.IntegerType()), T.StructField("keys", T.ArrayType(T.StringType()))]
+    [T.StructField("src", T.StringType()), T.StructField("page_id", T.LongType()), T.StructField("task_id", T.StringType()), T.StructField("page_index", T.IntegerType()), T.StructField("line_no", T.IntegerType()), T.StructField("place", T.IntegerType()), T.StructField("skeleton", T.StringType()), T.StructField("is_number", T.BooleanType()), T.StructField("left", T.StringType()), T.StructField("is_head", T.BooleanType()), T.StructField("n_marks", T.IntegerType()), T.StructField("nexts", _NEXTS), T.StructField("keys", T.ArrayType(T.StringType()))]
 )
 
 
 def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One row for each line that is not blank.  ``place``: how near to the page's edge (0 first or last, page numbers not counted), -1 inside;
-    ``left``: the word before the mark at the end; ``first``: the first word."""
+    ``left``: the word before the mark at the end; ``nexts``: the first words of the lines that follow it, or of the page's first lines where ``is_head``."""
     for batch in batches:
         rows = []
         for src, page_id, task_id, page_index, text in zip(batch["src"], batch["page_id"], batch["task_id"], batch["page_index"], batch["text"]):
@@ -154,11 +165,14 @@ def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             numbers = [_PAGE_NUMBER.fullmatch(f) is not None for _, f, *_ in page]
             body = [i for i, x in enumerate(numbers) if not x]
             place = {i: min(k, len(body) - 1 - k) for k, i in enumerate(body)}
+            words = lambda some: [{"no": x[0], "first": m[1] if (m := _FIRST.match(x[1])) else ""} for x in some[:_LOOK_AHEAD]]
+            if page:
+                rows.append((src, page_id, task_id, page_index, 0, -1, None, False, None, True, 0, words(page), []))
             for i, (no, form, mark, keys, _) in enumerate(page):
                 tokens = re.findall(r"[^\W\d_][\w'’\-]*", form.rstrip(_MARKS + " ")) if mark else []
-                first = re.match(r"[\W_]*([^\W_][^\s]*)", form)
                 near = place.get(i, -1)
-                rows.append((src, page_id, task_id, page_index, no, near if 0 <= near <= 1 else -1, skeleton(form) if 0 <= near <= 1 else None, numbers[i], tokens[-1].lower() if tokens else None, first[1] if first else "", int(mark), list(dict.fromkeys(keys)) if not numbers[i] else []))
+                edge = 0 <= near <= 1
+                rows.append((src, page_id, task_id, page_index, no, near if edge else -1, skeleton(form) if edge else None, numbers[i], tokens[-1].lower() if tokens else None, False, int(mark), words(page[i + 1 :]) if mark else None, list(dict.fromkeys(keys)) if not numbers[i] else []))
         yield pd.DataFrame(rows, columns=_LINES.names)
 
 
@@ -209,25 +223,27 @@ def _parts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     counts = keep(lines.select(F.explode("keys").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")))
     fixes = keep(corrections(counts))
     key = ["src", "page_id", "line_no"]
-    edges = lines.where("place >= 0 or is_number or n_marks > 0").drop("keys")
+    edges = lines.where("place >= 0 or is_number").select(*key, "task_id", "page_index", "place", "skeleton", "is_number")
 
-    numbers = edges.where("is_number").select(*key)
     page_counts = texts.where("task_id is not null").groupBy("task_id").agg(F.count_distinct("page_index").alias("n_pages"))
     n_tasks = texts.agg(F.count_distinct("task_id").alias("n_tasks"))
-    by_task = edges.where("place >= 0 and skeleton <> '' and task_id is not null").groupBy("task_id", "skeleton").agg(F.count_distinct("page_index").alias("n"))
+    by_task = keep(edges.where("place >= 0 and skeleton <> '' and task_id is not null").groupBy("task_id", "skeleton").agg(F.count_distinct("page_index").alias("n")))
     common = by_task.groupBy("skeleton").agg(F.count("*").alias("tasks")).crossJoin(F.broadcast(n_tasks)).where((F.col("tasks") > COMMON_LEAST) & (F.col("tasks") > COMMON_SHARE * F.col("n_tasks"))).select("skeleton")
     repeated = by_task.where("n >= 2").join(page_counts, "task_id").where(F.col("n") >= EDGE_SHARE * F.col("n_pages")).join(common, "skeleton", "left_anti").select("task_id", "skeleton")
-    running = edges.where("place >= 0").join(repeated, ["task_id", "skeleton"]).select(*key, "task_id", "page_index")
+    kind = lambda df, k: df.select(*key).withColumn("kind", F.lit(k))
+    running = edges.where("place >= 0").join(repeated, ["task_id", "skeleton"], "left_semi")
+    numbers = edges.where("is_number")
+    # a line is no page number by place, so the two kinds never meet
+    taken = keep(kind(running, "running_line").unionByName(kind(numbers, "page_number")).distinct())
 
     # the rest of a broken word: the first word of the next body line of the page or of the next page
-    skip = numbers.unionByName(running.select(*key)).distinct()
-    marked = edges.where("n_marks > 0 and left is not null and not is_number").join(skip, key, "left_anti").select(*key, "task_id", "page_index", "left")
-    marked_pages = marked.select("src", "page_id").distinct()
-    own = lines.select(*key, "first", "task_id", "page_index")
-    body = own.join(skip, key, "left_anti")
-    following = body.join(marked_pages, ["src", "page_id"], "left_semi").withColumn("next", F.lead("first").over(Window.partitionBy("src", "page_id").orderBy("line_no"))).select(*key, "next")
-    heads = body.groupBy("src", "task_id", "page_index").agg(F.min_by("first", "line_no").alias("head")).withColumn("page_index", F.col("page_index") - 1)
-    ends = marked.join(following, key, "left").join(heads, ["src", "task_id", "page_index"], "left").withColumn("rest", F.coalesce("next", "head"))
+    skip = taken.select("src", "page_id", F.col("line_no").alias("no"))
+    ahead = lines.where("nexts is not null").select(*key, "task_id", "page_index", "left", "is_head", "n_marks", F.explode_outer("nexts").alias("x")).select("*", "x.no", "x.first").drop("x")
+    ahead = ahead.join(skip.withColumn("skipped", F.lit(True)), ["src", "page_id", "no"], "left")
+    firsts = keep(ahead.groupBy(*key).agg(*[F.first(c).alias(c) for c in ("task_id", "page_index", "left", "is_head")], F.expr("min_by(first, no) filter (where skipped is null)").alias("next")))
+    heads = firsts.where("is_head").select("src", "task_id", (F.col("page_index") - 1).alias("page_index"), F.col("next").alias("head")).groupBy("src", "task_id", "page_index").agg(F.min("head").alias("head"))
+    marked = firsts.where("not is_head and left is not null").join(taken, key, "left_anti")
+    ends = marked.join(heads, ["src", "task_id", "page_index"], "left").withColumn("rest", F.coalesce("next", "head"))
     word = F.lower(F.regexp_extract("rest", r"^([\p{L}'’]+(?:-[\p{L}]+)*)", 1))
     ends = ends.withColumn("right", F.coalesce(word, F.lit(""))).select(*key, "left", "rest", "right")
     joined, hyphened = counts.select(F.col("gram").alias("joined"), F.col("n").alias("n_joined")), counts.select(F.col("gram").alias("hyphened"), F.col("n").alias("n_hyphened"))
@@ -248,13 +264,13 @@ def _parts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         | ((F.col("right") != "") & (~F.col("right").isin(*_CONJUNCTIONS) | (F.col("n_joined") > 0)) & ~F.col("rest").rlike("[@]") & (starts_low & (F.col("n_joined") + F.when(F.col("left").contains("-"), F.col("n_part")).otherwise(0) >= F.col("n_hyphened"))))
     ).select(*key)
 
+    broken = keep(kind(broken, "broken_word").distinct())
+    taken = taken.unionByName(broken)
+
     grams = lines.where("size(keys) > 0").select(*key, F.explode("keys").alias("gram"))
     wrong = keep(grams.join(fixes, "gram").select(*key, "gram", "better", "x", "y"))
-    taken = skip.unionByName(broken).distinct()
     misread = wrong.select(*key).distinct().join(taken, key, "left_anti")
-    kind = lambda df, k: df.select(*key).withColumn("kind", F.lit(k))
-    numbers_only = numbers.join(running.select(*key), key, "left_anti")
-    found = kind(running, "running_line").unionByName(kind(numbers_only, "page_number")).unionByName(kind(broken, "broken_word")).unionByName(kind(misread, "misread")).distinct()
+    found = taken.unionByName(kind(misread, "misread"))
     return found, wrong
 
 
