@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import abuse, forms, parties, personal, pieces, scans, tokens
+from . import abuse, forms, leakage, parties, personal, pieces, scans, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,14 @@ def p6_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_texts(_table(spark, sf_dir, "documents"), offsets=True)
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
+
+
+def p7_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"), with_part=True)
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abuse.found_kinds(abuse.scores(_table(spark, sf_dir, "documents")))
 
