@@ -128,18 +128,10 @@ def normalize_block_text(c: Column | str) -> Column:
 
 
 def repair_contact_line(c: Column | str) -> Column:
-    """In a line without blanks that starts with a contact label, a space between two glued landline numbers.
-
-    The number of digits of the first number is tried from the left, 3 or 4 of the area and 7 or 8 of the line; the first way
-    that leaves a whole second number is taken."""
+    """In a line without blanks that is a contact label and two glued numbers, a space between them; the first number is as long as it can be."""
     s = _c(c)
-    label = r"^((?:电话|传真|联系电话|Tel|TEL|Fax|FAX)[:：]?)"
-    out = s
-    ways = [(a, b) for a in ("3", "2") for b in ("8", "7")]
-    hits = [(rf"{label}(.*?)(0\d{{{a}}}-\d{{{b}}})(0\d{{2,3}}-\d{{7,8}}|\d{{7,8}}(?:-\d{{1,6}})?)$") for a, b in ways]
-    for p in reversed(hits):
-        out = F.when(s.rlike(p), F.regexp_replace(s, p, "$1$2$3 $4")).otherwise(out)
-    return F.when(F.contains(s, F.lit(" ")), s).otherwise(out)
+    glued = r"^((?:电话|传真|Tel|TEL|Fax|FAX)[:：]?)(0\d{2,3}+-\d{7,8}+)(0\d{2,3}-\d{7,8}|\d{7,8}(?:-\d{1,6})?)$"
+    return F.when(F.contains(s, F.lit(" ")), s).otherwise(F.regexp_replace(s, glued, "$1$2 $3"))
 
 
 def truncate_label(c: Column | str, size: int = 15) -> Column:
