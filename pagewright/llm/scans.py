@@ -26,6 +26,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -155,25 +156,40 @@ _LINES = T.StructType(
 )
 
 
-def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each line that is not blank.  ``place``: how near to the page's edge (0 first or last, page numbers not counted), -1 inside;
     ``left``: the word before the mark at the end; ``nexts``: the first words of the lines that follow it, or of the page's first lines where ``is_head``."""
+
+    def words(some: list) -> list[dict]:
+        return [{"no": x[0], "first": m[1] if (m := _FIRST.match(x[1])) else ""} for x in some[:_LOOK_AHEAD]]
+
     for batch in batches:
-        rows = []
-        for src, page_id, task_id, page_index, text in zip(batch["src"], batch["page_id"], batch["task_id"], batch["page_index"], batch["text"]):
+        of, no, places, skeletons, is_number, left, is_head, n_marks, nexts, keys_of = ([] for _ in range(10))
+        for n, text in enumerate(batch.column(4).to_pylist()):
             page = [(i + 1, *x) for i, x in enumerate(_page(text)) if x[0]]
-            numbers = [_PAGE_NUMBER.fullmatch(f) is not None for _, f, *_ in page]
+            if not page:
+                continue
+            numbers = [len(f) < 24 and _PAGE_NUMBER.fullmatch(f) is not None for _, f, *_ in page]
             body = [i for i, x in enumerate(numbers) if not x]
-            place = {i: min(k, len(body) - 1 - k) for k, i in enumerate(body)}
-            words = lambda some: [{"no": x[0], "first": m[1] if (m := _FIRST.match(x[1])) else ""} for x in some[:_LOOK_AHEAD]]
-            if page:
-                rows.append((src, page_id, task_id, page_index, 0, -1, None, False, None, True, 0, words(page), []))
-            for i, (no, form, mark, keys, _) in enumerate(page):
-                tokens = re.findall(r"[^\W\d_][\w'’\-]*", form.rstrip(_MARKS + " ")) if mark else []
+            place = {i: min(k, len(body) - 1 - k) for k, i in enumerate(body) if k < 2 or k > len(body) - 3}
+            of.append(n), no.append(0), places.append(-1), skeletons.append(None), is_number.append(False), left.append(None), is_head.append(True), n_marks.append(0), nexts.append(words(page)), keys_of.append([])
+            for i, (line_no, form, mark, keys, _) in enumerate(page):
+                tokens = re.findall(r"[^\W\d_][\w'’\-]*", form.rstrip(_MARKS + " ")) if mark else None
                 near = place.get(i, -1)
-                edge = 0 <= near <= 1
-                rows.append((src, page_id, task_id, page_index, no, near if edge else -1, skeleton(form) if edge else None, numbers[i], tokens[-1].lower() if tokens else None, False, int(mark), words(page[i + 1 :]) if mark else None, list(dict.fromkeys(keys)) if not numbers[i] else []))
-        yield pd.DataFrame(rows, columns=_LINES.names)
+                of.append(n)
+                no.append(line_no)
+                places.append(near)
+                skeletons.append(skeleton(form) if near >= 0 else None)
+                is_number.append(numbers[i])
+                left.append(tokens[-1].lower() if tokens else None)
+                is_head.append(False)
+                n_marks.append(int(mark))
+                nexts.append(words(page[i + 1 :]) if mark else None)
+                keys_of.append([] if numbers[i] else list(dict.fromkeys(keys)))
+        at = pa.array(of, pa.int32())
+        same = [batch.column(c).take(at) for c in range(4)]
+        made = [pa.array(no, pa.int32()), pa.array(places, pa.int32()), pa.array(skeletons, pa.string()), pa.array(is_number, pa.bool_()), pa.array(left, pa.string()), pa.array(is_head, pa.bool_()), pa.array(n_marks, pa.int32()), pa.array(nexts, pa.list_(pa.struct([("no", pa.int32()), ("first", pa.string())]))), pa.array(keys_of, pa.list_(pa.string()))]
+        yield pa.RecordBatch.from_arrays(same + made, names=_LINES.names)
 
 
 def pages_of(pages: DataFrame, layers: DataFrame) -> DataFrame:
@@ -219,7 +235,7 @@ def affected_lines(pages: DataFrame, layers: DataFrame) -> DataFrame:
 
 def _parts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(affected lines, corrections of the lines' grams)."""
-    lines = keep(texts.mapInPandas(_lines, _LINES))
+    lines = keep(texts.mapInArrow(_lines, _LINES))
     counts = keep(lines.select(F.explode("keys").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")))
     fixes = keep(corrections(counts))
     key = ["src", "page_id", "line_no"]
@@ -238,7 +254,9 @@ def _parts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     # the rest of a broken word: the first word of the next body line of the page or of the next page
     skip = taken.select("src", "page_id", F.col("line_no").alias("no"))
-    ahead = lines.where("nexts is not null").select(*key, "task_id", "page_index", "left", "is_head", "n_marks", F.explode_outer("nexts").alias("x")).select("*", "x.no", "x.first").drop("x")
+    ends_marked = lines.where("n_marks > 0 and size(nexts) < 4 and task_id is not null").select("src", "task_id", (F.col("page_index") + 1).alias("page_index")).distinct()
+    wanted = lines.where("is_head").join(ends_marked, ["src", "task_id", "page_index"], "left_semi").select(*lines.columns)
+    ahead = lines.where("nexts is not null and not is_head").unionByName(wanted).select(*key, "task_id", "page_index", "left", "is_head", "n_marks", F.explode_outer("nexts").alias("x")).select("*", "x.no", "x.first").drop("x")
     ahead = ahead.join(skip.withColumn("skipped", F.lit(True)), ["src", "page_id", "no"], "left")
     firsts = keep(ahead.groupBy(*key).agg(*[F.first(c).alias(c) for c in ("task_id", "page_index", "left", "is_head")], F.expr("min_by(first, no) filter (where skipped is null)").alias("next")))
     heads = firsts.where("is_head").select("src", "task_id", (F.col("page_index") - 1).alias("page_index"), F.col("next").alias("head")).groupBy("src", "task_id", "page_index").agg(F.min("head").alias("head"))
