@@ -52,9 +52,14 @@ def task_states(commands: DataFrame) -> DataFrame:
     return commands.groupBy("task_id").applyInPandasWithState(_advance, "task_id string, state string, refused int, last_error string", "state string, refused int", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
+def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", limit_s: int = 300) -> None:
     """Work off what is there: each micro batch goes through ``each``; a failure in it stops the query with its offsets kept."""
-    stream.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    running = stream.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    try:
+        if not running.awaitTermination(limit_s):
+            raise TimeoutError(f"the stream did not end within {limit_s} s")
+    finally:
+        running.stop()
 
 
 def fan_out(sinks: list[Callable[[DataFrame, int], None]], failed: Callable[[Exception], None] = lambda e: None) -> Callable[[DataFrame, int], None]:
