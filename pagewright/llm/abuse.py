@@ -94,7 +94,7 @@ def _unleet(m: re.Match) -> str:
     s, a, b = m.string, m.start(), m.end()
     left, right = s[a - 1 : a], s[b : b + 1]
     low, high = left.isalpha() and left < "ɐ", right.isalpha() and right < "ɐ"
-    if low and high or (high and not left.isalnum() and s[b + 1 : b + 2].isalpha()) or (low and not right.isalnum() and s[a - 2 : a - 1].isalpha() and m[0].isalnum()):
+    if low and high or (high and not left.isalnum() and s[b + 1 : b + 2].isalnum()) or (low and not right.isalnum() and s[a - 2 : a - 1].isalpha() and m[0].isalnum()):
         return m[0].translate(_LEET)
     return m[0]
 

@@ -74,7 +74,7 @@ for _pair in CONFUSIONS_HAN:
 
 def skeleton(form: str) -> str:
     """A line with confusable characters made one, page numbers at its ends and blanks left out."""
-    form = re.sub(r"(?<=\D)[\s|·\-–]{1,3}\d{1,3}$|^\d{1,3}[\s|·\-–]{1,3}(?=\D)", "", re.sub(r"\s{2,}", " ", form))
+    form = re.sub(r"[\s|·\-–]*\s\d{1,3}$|^\d{1,3}[\s|·\-–]{1,3}(?=\D)", "", re.sub(r"\s{2,}", " ", form))
     out = "".join(_SKELETON.get(c) or _SKELETON_HAN.get(c) or c.lower() for c in form if not c.isspace())
     return out.replace("rn", "m").replace("vv", "w").replace("ei", "d").replace("ii", "u").replace("ri", "n")
 
