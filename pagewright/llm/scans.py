@@ -53,9 +53,9 @@ COMMON_SHARE, COMMON_LEAST = 0.01, 5
 
 _HAN_READ = {p[0] for p in CONFUSIONS_HAN}
 _HAN_ANY = re.compile("[" + "".join({c for p in CONFUSIONS_HAN for c in p}) + "]")
+_DIGITS = str.maketrans("123456789", "000000000")
 _EMAIL = re.compile(r"\S+@\S+\.\S+")
 _TOKEN = re.compile(r"[!|@]?[^\W_](?:[\w!@|.,/\-'’]*[^\W_])?[!|]?")
-_DIGITS = str.maketrans("123456789", "000000000")
 _HAN = re.compile(r"[一-鿿]")
 _D = r"[\dlIOo]"
 _PAGE_NUMBER = re.compile(
@@ -72,10 +72,13 @@ for _pair in CONFUSIONS_HAN:
     _SKELETON_HAN.setdefault(_pair[1], _SKELETON_HAN[_pair[0]])
 
 
+_ONE = str.maketrans({**_SKELETON, **_SKELETON_HAN})
+
+
 def skeleton(form: str) -> str:
     """A line with confusable characters made one, page numbers at its ends and blanks left out."""
     form = re.sub(r"[\s|·\-–]*\s\d{1,3}$|^\d{1,3}[\s|·\-–]{1,3}(?=\D)", "", re.sub(r"\s{2,}", " ", form))
-    out = "".join(_SKELETON.get(c) or _SKELETON_HAN.get(c) or c.lower() for c in form if not c.isspace())
+    out = "".join(form.translate(_ONE).lower().split())
     return out.replace("rn", "m").replace("vv", "w").replace("ei", "d").replace("ii", "u").replace("ri", "n")
 
 
@@ -83,11 +86,11 @@ def token_key(token: str) -> str:
     """What a token is counted as: words in lower case with digits as 0; numbers by their shape."""
     if token.isalpha():
         return token.lower()
-    letters = sum(c.isalpha() for c in token)
-    digits = sum(c.isdigit() for c in token)
+    shape = token.translate(_DIGITS)
+    digits = shape.count("0")
     if not digits:
         return token.lower()
-    shape = re.sub(r"\d", "0", token)
+    letters = sum(map(str.isalpha, token))
     if letters > digits and not re.search(r"[/.,]", token) and not re.match(r"[A-Z]{2}-?\d", token):
         return shape.lower()
     return re.sub(r"^[A-Z]{2}(?=-?[0-9lIOoSsBg])", "AA", shape)
@@ -117,7 +120,7 @@ def _grams(before: str, form: str, after: str) -> list[str]:
         text = text.translate(_DIGITS)
         for m in _HAN_ANY.finditer(form):
             i = m.start() + shift
-            for a, b in ((i - 2, i + 1), (i - 1, i + 2), (i, i + 3), (i - 1, i + 1), (i, i + 2)):
+            for a, b in ((i - 1, i + 2), (i - 1, i + 1), (i, i + 2)):
                 g = text[max(0, a) : b]
                 if a >= 0 and len(g) == b - a and (b - a == 3 or _HAN.match(g[1 - (i - a)])):
                     out.append(f"{g}{i - a + 1}")
