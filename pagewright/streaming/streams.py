@@ -1,7 +1,8 @@
 """The batch operators over streams.
 
 Files arrive through the file source (``maxFilesPerTrigger`` is the backpressure), results leave through ``foreachBatch`` with the
-same functions as in batch; task states are a stateful operator keyed by task, with a timeout for finished tasks."""
+same functions as in batch; task states are a stateful operator keyed by task, whose state goes when the task is removed (a timeout by processing time would keep a run over
+what is there from ending)."""
 
 from __future__ import annotations
 
@@ -31,9 +32,6 @@ def windowed_badges(stream: DataFrame, time: str = "ingested_at", width: str = "
 
 
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
     name, refused = state.get if state.exists else ("pending", 0)
     code = None
     rows = pd.concat(list(batches)).sort_values("seq")
@@ -41,18 +39,19 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
         name, error = step(name, command)
         refused += error is not None
         code = error or code
-    state.update((name, int(refused)))
-    if name in ("done", "removed"):
-        state.setTimeoutDuration(60_000)
+    if name == "removed":
+        state.remove()
+    else:
+        state.update((name, int(refused)))
     yield pd.DataFrame([(key[0], name, int(refused), code)], columns=["task_id", "state", "refused", "last_error"])
 
 
 def task_states(commands: DataFrame) -> DataFrame:
     """The state of each task after the commands that have come (task_id, seq, command), one row a task that has news."""
-    return commands.groupBy("task_id").applyInPandasWithState(_advance, "task_id string, state string, refused int, last_error string", "state string, refused int", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return commands.groupBy("task_id").applyInPandasWithState(_advance, "task_id string, state string, refused int, last_error string", "state string, refused int", "update", GroupStateTimeout.NoTimeout)
 
 
-def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", limit_s: int = 300) -> None:
+def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", limit_s: int = 60) -> None:
     """Work off what is there: each micro batch goes through ``each``; a failure in it stops the query with its offsets kept."""
     running = stream.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     try:
