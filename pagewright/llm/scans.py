@@ -106,9 +106,15 @@ def _grams(before: str, form: str, after: str) -> list[str]:
     for part in parts:
         if "@" in part:
             part = _EMAIL.sub(" ", part)
-        for m in _TOKEN.finditer(part):
-            t = m[0]
-            if len(t) >= 2 and not (t.isdigit()):
+        for t in part.split():
+            word = t.strip(".,;:()\"")
+            if word.isalpha():  # most words; the same as the pattern finds
+                if len(word) > 1:
+                    out.append(word.lower())
+                continue
+            for t in _TOKEN.findall(t):
+                if len(t) < 2 or t.isdigit():
+                    continue
                 out.append(token_key(t))
                 if "-" in t and t[0].isalpha() and t[-1].isalpha():  # a word with a mark of its own: its parts are words, and its first part takes a mark
                     low = t.lower().split("-")
@@ -244,8 +250,9 @@ def _parts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     key = ["src", "page_id", "line_no"]
     edges = lines.where("place >= 0 or is_number").select(*key, "task_id", "page_index", "place", "skeleton", "is_number")
 
-    page_counts = texts.where("task_id is not null").groupBy("task_id").agg(F.count_distinct("page_index").alias("n_pages"))
-    n_tasks = texts.agg(F.count_distinct("task_id").alias("n_tasks"))
+    heads_of = lines.where("is_head")
+    page_counts = heads_of.where("task_id is not null").groupBy("task_id").agg(F.count_distinct("page_index").alias("n_pages"))
+    n_tasks = heads_of.agg(F.count_distinct("task_id").alias("n_tasks"))
     by_task = keep(edges.where("place >= 0 and skeleton <> '' and task_id is not null").groupBy("task_id", "skeleton").agg(F.count_distinct("page_index").alias("n")))
     common = by_task.groupBy("skeleton").agg(F.count("*").alias("tasks")).crossJoin(F.broadcast(n_tasks)).where((F.col("tasks") > COMMON_LEAST) & (F.col("tasks") > COMMON_SHARE * F.col("n_tasks"))).select("skeleton")
     repeated = by_task.where("n >= 2").join(page_counts, "task_id").where(F.col("n") >= EDGE_SHARE * F.col("n_pages")).join(common, "skeleton", "left_anti").select("task_id", "skeleton")
