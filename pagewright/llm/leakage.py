@@ -9,8 +9,8 @@ matrix product; pairs at or above ``COSINE`` are candidates.
 
 Each candidate document and item is then aligned: runs of characters that both have are chained in
 order within a stretch of the document, and the gaps between neighbouring runs are filled by their longest common subsequence.  The item
-is leaked if the chain covers at least ``COVERED`` of its text and the part that is not the standing question by itself
-passes the check (a closing sentence that several items share is a standing question, not an answer).
+is leaked if the chain, slips inside it counted, covers at least ``COVERED`` of its text, more than a short sentence of it outside the standing
+question (a closing sentence that several items share), and is no string of scraps.
 
 Null, empty and blank documents and items match nothing.  Repeated documents each give their rows.  Items are
 taken in blocks of ``ITEM_BLOCK``, so their number is not bounded.
@@ -41,11 +41,20 @@ FIT_DOCUMENTS = 20_000
 #: Characters of half a passage, for texts in Chinese and in other scripts; passages are two halves and overlap by one.
 HALF_HAN, HALF_OTHER = 32, 80
 COSINE = 0.45
-COVERED = 0.43
+COVERED = 0.4
 #: Shortest run of characters that counts as common, in Chinese and in other scripts.
 SEED_HAN, SEED_OTHER = 5, 10
 #: Before the alignment, common runs of these lengths have to cover this part of what is asked for.
 NEAR_HAN, NEAR_OTHER, NEAR_PART = 8, 20, 0.4
+#: Outside the standing question more than so many characters must be covered (a single short sentence is no case), or the same part as of the whole.
+SENTENCE_HAN, SENTENCE_OTHER = 16, 60
+#: A chain of nothing but scraps, none of them so long and all together less than half of the document's stretch, is chance.
+SCRAP_HAN, SCRAP_OTHER, DENSE = 12, 32, 0.5
+#: Gaps between neighbouring runs that are aligned: at most so many characters of the item and of the document;
+#: a gap of which this part is common holds nothing but slips and counts whole.
+GAP_ITEM, GAP_DOC, SLIPS = 40, 60, 0.7
+#: At most so many characters before and after a chain are added to it: what a slip at the end of a copy cuts off, shorter than a seed.
+EDGE = SEED_OTHER
 ITEM_BLOCK = 2000
 
 _NOISE = re.compile(r"[\W_]+")
@@ -63,14 +72,14 @@ def _is_han(s: str) -> bool:
 
 
 def _hashes(points: np.ndarray, run: int) -> np.ndarray:
-    """A hash of the run that starts at each position; runs are a multiple of RUN and put together from runs of RUN."""
+    """A hash of the run that starts at each position; runs are put together from runs of RUN, the last of which may overlap the one before."""
     h = np.full(max(0, len(points) - RUN + 1), 0x811C9DC5, dtype=np.uint32)
     for k in range(RUN):
         h = (h ^ points[k : k + len(h)]) * np.uint32(0x9E3779B1)
         h ^= h >> np.uint32(15)
     n = max(0, len(points) - run + 1)
     out = h[:n].copy()
-    for k in range(RUN, run, RUN):
+    for k in [*range(RUN, run - RUN, RUN), run - RUN] if run > RUN else []:
         out = (out ^ h[k : k + n]) * np.uint32(0x85EBCA6B)
         out ^= out >> np.uint32(13)
     return out
@@ -238,8 +247,28 @@ def _lcs(a: str, b: str) -> int:
     return len(a) - v.bit_count()
 
 
-def coverage(doc: str, item: Item) -> tuple[float, float]:
-    """(part of the item that the best chain covers, part that its body covers)."""
+def _reach_out(item: str, doc: str, i: int, j: int, step: int) -> int:
+    """Characters of the item beyond a chain's end at (i, j) that go on in the document but for single slips, each followed by RUN equal characters."""
+    start, good = i, i
+    while 0 <= i < len(item) and 0 <= j < len(doc) and abs(i - start) < EDGE:
+        if item[i] == doc[j]:
+            i, j = i + step, j + step
+            good = i
+            continue
+        for di, dj in ((1, 1), (1, 0), (0, 1)):
+            x, y = i + di * step, j + dj * step
+            a, b = (item[x : x + RUN], doc[y : y + RUN]) if step > 0 else (item[max(0, x - RUN + 1) : x + 1], doc[max(0, y - RUN + 1) : y + 1])
+            if x >= 0 and y >= 0 and len(a) == RUN and a == b:
+                i, j = x, y
+                break
+        else:
+            break
+    return min(abs(good - start), EDGE)
+
+
+def coverage(doc: str, item: Item) -> tuple[float, float, bool]:
+    """(part of the item that the best chain covers, characters that it covers outside the standing question, whether it is more than
+    scattered scraps); slips inside what was copied count as covered."""
     seed, at = item.seed, item.at
     runs: list[tuple[int, int, int]] = []  # item start, document start, length: maximal common runs
     open_runs: dict[int, list[int]] = {}
@@ -259,10 +288,8 @@ def coverage(doc: str, item: Item) -> tuple[float, float]:
                 open_runs[d] = [i, j, seed]
     runs += [tuple(r) for r in open_runs.values()]
     if not runs:
-        return 0.0, 0.0
+        return 0.0, 0.0, False
     size = len(item.text)
-    if sum(r[2] for r in runs) < 0.25 * COVERED * size:
-        return 0.0, 0.0
     runs.sort(key=lambda r: (r[1], r[0]))
     if len(runs) > 400:  # a very long document: the long runs carry the chain, short ones between them come back as gap fillings
         keep_len = sorted((r[2] for r in runs), reverse=True)[399]
@@ -286,19 +313,39 @@ def coverage(doc: str, item: Item) -> tuple[float, float]:
         chain.append(runs[n])
         n = best[n][1]
     chain.reverse()
-    covered = np.zeros(size, dtype=bool)
-    filled = 0.0
-    last_i = last_j = None
+    pieces: list[list[int]] = []  # item start, item end, characters covered: runs with nothing but slips between them
+    filled: list[tuple[int, float]] = []  # paraphrased gaps: item start, characters in common
     for i, j, k in chain:
-        covered[i : i + k] = True
-        if last_i is not None:
+        if pieces:
             gap_i, gap_j = i - last_i, j - last_j
-            if 0 < gap_i <= 40 and gap_j <= 60:
-                common = _lcs(item.text[last_i:i], doc[max(last_j, 0) : max(j, last_j)])
-                if common >= 0.5 * gap_i:
-                    filled += common
+            common = _lcs(item.text[last_i:i], doc[max(last_j, 0) : max(j, last_j)]) if 0 < gap_i <= GAP_ITEM and gap_j <= GAP_DOC else 0
+            if gap_i <= 0 and gap_j <= GAP_DOC or common >= SLIPS * max(gap_i, gap_j) or 0 < gap_i <= 2 and gap_j <= 2:
+                pieces[-1][1] = max(pieces[-1][1], i + k)
+            else:
+                if common >= 0.5 * gap_i > 0:
+                    filled.append((last_i, common))
+                pieces.append([i, i + k])
+        else:
+            pieces.append([i, i + k])
         last_i, last_j = i + k, j + k
-    return (covered.sum() + filled) / size, (covered[: item.body].sum() + filled) / size
+    i, j, _ = chain[0]
+    pieces[0][0] -= _reach_out(item.text, doc, i - 1, j - 1, -1)
+    i, j, k = chain[-1]
+    pieces[-1][1] += _reach_out(item.text, doc, i + k, j + k, 1)
+    covered = np.zeros(size, dtype=bool)
+    for a, b in pieces:
+        covered[a:b] = True
+    body = covered[: item.body].sum() + sum(c for a, c in filled if a < item.body)
+    total = covered.sum() + sum(c for _, c in filled)
+    span = chain[-1][1] + chain[-1][2] - chain[0][1]
+    solid = max(b - a for a, b in pieces) >= (SCRAP_HAN if seed == SEED_HAN else SCRAP_OTHER) or total >= DENSE * span
+    return float(total / size), float(body), bool(solid)
+
+
+def is_leaked(found: tuple[float, float, bool], item: Item, covered: float = COVERED) -> bool:
+    """Whether what ``coverage`` gives is a case."""
+    whole, body, solid = found
+    return whole >= covered and solid and body >= min(SENTENCE_HAN if item.seed == SEED_HAN else SENTENCE_OTHER, covered * item.body)
 
 
 _FOUND = "item_id long, part double"
@@ -422,9 +469,9 @@ def _search(docs: DataFrame, items: list[Item], weighted: np.ndarray, key: str,
                 part = texts[a : a + 128]
                 pairs = candidate_pairs(part, q, of, w, cosine)
                 for d, i in (seeds.near(part, pairs, covered).tolist() if len(pairs) else []):
-                    whole, body = coverage(part[d], own_items[i])
-                    if whole >= covered and body >= covered:
-                        out.append((ids[a + d], own_items[i].item_id, whole))
+                    found = coverage(part[d], own_items[i])
+                    if is_leaked(found, own_items[i], covered):
+                        out.append((ids[a + d], own_items[i].item_id, found[0]))
             yield pd.DataFrame(out, columns=[key, "item_id", "part"])
 
     return docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, text).mapInPandas(run, schema)

@@ -179,6 +179,20 @@ def test_leakage(spark):
     assert leakage.leaked(d, e.limit(0)).count() == 0
 
 
+def test_leakage_from_two_fifths_with_slips():
+    r = random.Random(5)
+    letters = lambda n: "".join(r.choice("abcdefghijklmnoprstuvw") for _ in range(n))
+    item = leakage.Item(1, letters(300), 300)
+    slipped = "".join("x" if k % 16 == 8 else c for k, c in enumerate(item.text[50:175]))  # 0.417 of the item, 7 slips
+    for copy, case in ((item.text[60:184], True), (slipped, True), (item.text[60:170], False)):
+        assert leakage.is_leaked(leakage.coverage(letters(300) + copy + letters(300), item), item) == case
+    asked = leakage.Item(2, letters(250) + letters(50), 250)
+    assert leakage.is_leaked(leakage.coverage(letters(90) + asked.text[155:] + letters(90), asked), asked)  # the question and 0.38 of the item
+    assert not leakage.is_leaked(leakage.coverage(letters(90) + asked.text[250:] + letters(90), asked), asked)
+    scraps = "".join(item.text[k : k + 15] + letters(60) for k in range(0, 300, 30))
+    assert not leakage.is_leaked(leakage.coverage(scraps, item), item)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet="abc", max_size=30), st.text(alphabet="abc", max_size=30))
 def test_bit_parallel_lcs(a, b):
