@@ -10,7 +10,7 @@ matrix product; pairs at or above ``COSINE`` are candidates.
 Each candidate document and item is then aligned: runs of characters that both have are chained in
 order within a stretch of the document, and the gaps between neighbouring runs are filled by their longest common subsequence.  The item
 is leaked if the chain, slips inside it counted, covers at least ``COVERED`` of its text, more than a short sentence of it outside the standing
-question (a closing sentence that several items share), and is no string of scraps.
+question (a closing sentence that several items share), scraps not counted.
 
 Null, empty and blank documents and items match nothing.  Repeated documents each give their rows.  Items are
 taken in blocks of ``ITEM_BLOCK``, so their number is not bounded.
@@ -44,11 +44,9 @@ COSINE = 0.45
 COVERED = 0.4
 #: Shortest run of characters that counts as common, in Chinese and in other scripts.
 SEED_HAN, SEED_OTHER = 5, 10
-#: Before the alignment, common runs of these lengths have to cover this part of what is asked for.
-NEAR_HAN, NEAR_OTHER, NEAR_PART = 8, 20, 0.4
 #: Outside the standing question more than so many characters must be covered (a single short sentence is no case), or the same part as of the whole.
 SENTENCE_HAN, SENTENCE_OTHER = 16, 60
-#: A chain of nothing but scraps, none of them so long and all together less than half of the document's stretch, is chance.
+#: Stretches of a chain shorter than this are scraps, met by chance; they count only in a chain that fills this part of its span in the document.
 SCRAP_HAN, SCRAP_OTHER, DENSE = 12, 32, 0.5
 #: Gaps between neighbouring runs that are aligned: at most so many characters of the item and of the document;
 #: a gap of which this part is common holds nothing but slips and counts whole.
@@ -266,9 +264,9 @@ def _reach_out(item: str, doc: str, i: int, j: int, step: int) -> int:
     return min(abs(good - start), EDGE)
 
 
-def coverage(doc: str, item: Item) -> tuple[float, float, bool]:
-    """(part of the item that the best chain covers, characters that it covers outside the standing question, whether it is more than
-    scattered scraps); slips inside what was copied count as covered."""
+def coverage(doc: str, item: Item) -> tuple[float, float]:
+    """(part of the item that the best chain covers, characters that it covers outside the standing question); slips inside
+    what was copied count as covered, scattered scraps do not."""
     seed, at = item.seed, item.at
     runs: list[tuple[int, int, int]] = []  # item start, document start, length: maximal common runs
     open_runs: dict[int, list[int]] = {}
@@ -288,7 +286,7 @@ def coverage(doc: str, item: Item) -> tuple[float, float, bool]:
                 open_runs[d] = [i, j, seed]
     runs += [tuple(r) for r in open_runs.values()]
     if not runs:
-        return 0.0, 0.0, False
+        return 0.0, 0.0
     size = len(item.text)
     runs.sort(key=lambda r: (r[1], r[0]))
     if len(runs) > 400:  # a very long document: the long runs carry the chain, short ones between them come back as gap fillings
@@ -313,8 +311,9 @@ def coverage(doc: str, item: Item) -> tuple[float, float, bool]:
         chain.append(runs[n])
         n = best[n][1]
     chain.reverse()
-    pieces: list[list[int]] = []  # item start, item end, characters covered: runs with nothing but slips between them
+    pieces: list[list[int]] = []  # item start, item end: runs with nothing but slips between them
     filled: list[tuple[int, float]] = []  # paraphrased gaps: item start, characters in common
+    stretches: list[tuple[list, list]] = []  # pieces and paraphrased gaps that hang together
     for i, j, k in chain:
         if pieces:
             gap_i, gap_j = i - last_i, j - last_j
@@ -322,30 +321,36 @@ def coverage(doc: str, item: Item) -> tuple[float, float, bool]:
             if gap_i <= 0 and gap_j <= GAP_DOC or common >= SLIPS * max(gap_i, gap_j) or 0 < gap_i <= 2 and gap_j <= 2:
                 pieces[-1][1] = max(pieces[-1][1], i + k)
             else:
-                if common >= 0.5 * gap_i > 0:
+                if common >= 0.5 * gap_i > 0 and gap_j <= 2 * gap_i + 10:  # in a longer gap so much is common by chance
                     filled.append((last_i, common))
+                else:
+                    pieces, filled = [], []
+                    stretches.append((pieces, filled))
                 pieces.append([i, i + k])
         else:
             pieces.append([i, i + k])
+            stretches.append((pieces, filled))
         last_i, last_j = i + k, j + k
     i, j, _ = chain[0]
-    pieces[0][0] -= _reach_out(item.text, doc, i - 1, j - 1, -1)
+    stretches[0][0][0][0] -= _reach_out(item.text, doc, i - 1, j - 1, -1)
     i, j, k = chain[-1]
-    pieces[-1][1] += _reach_out(item.text, doc, i + k, j + k, 1)
+    stretches[-1][0][-1][1] += _reach_out(item.text, doc, i + k, j + k, 1)
+    length = [sum(b - a for a, b in p) + sum(c for _, c in f) for p, f in stretches]
+    if sum(length) < DENSE * (chain[-1][1] + chain[-1][2] - chain[0][1]):
+        stretches = [x for x, n in zip(stretches, length) if n >= (SCRAP_HAN if seed == SEED_HAN else SCRAP_OTHER)]
     covered = np.zeros(size, dtype=bool)
-    for a, b in pieces:
-        covered[a:b] = True
-    body = covered[: item.body].sum() + sum(c for a, c in filled if a < item.body)
-    total = covered.sum() + sum(c for _, c in filled)
-    span = chain[-1][1] + chain[-1][2] - chain[0][1]
-    solid = max(b - a for a, b in pieces) >= (SCRAP_HAN if seed == SEED_HAN else SCRAP_OTHER) or total >= DENSE * span
-    return float(total / size), float(body), bool(solid)
+    for pieces, _ in stretches:
+        for a, b in pieces:
+            covered[a:b] = True
+    gaps = [x for _, filled in stretches for x in filled]
+    body = covered[: item.body].sum() + sum(c for a, c in gaps if a < item.body)
+    return float((covered.sum() + sum(c for _, c in gaps)) / size), float(body)
 
 
-def is_leaked(found: tuple[float, float, bool], item: Item, covered: float = COVERED) -> bool:
+def is_leaked(found: tuple[float, float], item: Item, covered: float = COVERED) -> bool:
     """Whether what ``coverage`` gives is a case."""
-    whole, body, solid = found
-    return whole >= covered and solid and body >= min(SENTENCE_HAN if item.seed == SEED_HAN else SENTENCE_OTHER, covered * item.body)
+    whole, body = found
+    return whole >= covered and body >= min(SENTENCE_HAN if item.seed == SEED_HAN else SENTENCE_OTHER, covered * item.body)
 
 
 _FOUND = "item_id long, part double"
@@ -387,28 +392,29 @@ class Seeds:
 
     def __init__(self, items: list[Item]):
         self.size = np.array([len(i.text) for i in items])
+        self.seed = np.array([i.seed for i in items])
         self.tables = {}
-        for run in (NEAR_HAN, NEAR_OTHER):
-            h, n = [], []
-            for k, item in enumerate(items):
-                if (NEAR_HAN if item.seed == SEED_HAN else NEAR_OTHER) == run:
-                    own = _hashes(_points(item.text), run)
-                    h.append(own)
-                    n.append(np.stack([np.full(len(own), k), np.arange(len(own))], axis=1))
-            if h:
-                h, n = np.concatenate(h), np.concatenate(n)
+        for run in (SEED_HAN, SEED_OTHER):
+            own = [(k, _hashes(_points(item.text), run)) for k, item in enumerate(items) if item.seed == run]
+            if own:
+                h = np.concatenate([x for _, x in own])
+                n = np.concatenate([np.stack([np.full(len(x), k), np.arange(len(x))], axis=1) for k, x in own])
                 order = np.argsort(h, kind="stable")
                 held = np.zeros(1 << 20, dtype=bool)
                 held[h & np.uint32((1 << 20) - 1)] = True
                 self.tables[run] = h[order], n[order], held
 
     def near(self, texts: list[str], pairs: np.ndarray, covered: float) -> np.ndarray:
-        """The pairs (text number, item number) whose common seeds, in whatever order, cover NEAR_PART of what is asked for."""
+        """The pairs (text number, item number) that ``coverage`` may find covered.
+
+        No pair is lost: the bound counts every character of the item in some common seed, in whatever order, every gap between
+        seeds that the alignment could fill (at most GAP_ITEM characters, the seeds' diagonals at most GAP_DOC apart), and
+        the chain's two ends.
+        """
         wanted = np.unique(pairs[:, 0])
         number = np.full((len(texts), len(self.size)), -1, dtype=np.int64)
         number[pairs[:, 0], pairs[:, 1]] = np.arange(len(pairs))
-        width = int(self.size.max()) + 2 * NEAR_OTHER
-        hits = []  # (pair, place in the item, length of the run)
+        hits = []  # (pair, place in the item, place in the texts)
         whole = "\n".join(texts[i] for i in wanted) + "\n"
         points = _points(whole)
         ends = np.cumsum([len(texts[i]) + 1 for i in wanted])
@@ -417,28 +423,75 @@ class Seeds:
             hit = np.flatnonzero(held[h & np.uint32((1 << 20) - 1)])
             own = h[hit]
             low, high = np.searchsorted(table, own), np.searchsorted(table, own, side="right")
-            some = high > low
-            hit, low, high = hit[some], low[some], high[some]
-            text = wanted[np.searchsorted(ends, hit, side="right")]
-            while len(hit):  # once for each place in the items that has the seed
-                item, at = owner[low].T
-                pair = number[text, item]
-                inside = pair >= 0
-                hits.append(np.stack([pair[inside], at[inside], np.full(inside.sum(), run)]))
-                low = low + 1
-                more = low < high
-                hit, low, high, text = hit[more], low[more], high[more], text[more]
-        if not hits:
-            return pairs[:0]
-        pair, at, run = np.concatenate(hits, axis=1)
-        some, pair = np.unique(pair, return_inverse=True)
-        if not len(some):
+            n = high - low
+            some = n > 0
+            hit, low, n = np.repeat(hit[some], n[some]), np.repeat(low[some], n[some]), n[some]
+            low = low + np.arange(len(low)) - np.repeat(np.cumsum(n) - n, n)  # each place in the items that has the seed
+            item, at = owner[low].T
+            pair = number[wanted[np.searchsorted(ends, hit, side="right")], item]
+            inside = pair >= 0
+            hits.append(np.stack([pair[inside], at[inside], hit[inside]]))
+        pair, at, place = np.concatenate(hits, axis=1) if hits else np.zeros((3, 0), np.int64)
+        if not len(pair):
             return pairs[:0]
-        size = len(some) * width
-        change = np.bincount(pair * width + at, minlength=size).astype(np.int32) - np.bincount(pair * width + at + run, minlength=size).astype(np.int32)
-        common = (np.cumsum(change.reshape(len(some), width), axis=1) > 0).sum(1)
-        kept = pairs[some]
-        return kept[common >= NEAR_PART * covered * self.size[kept[:, 1]]]
+        width = int(self.size.max()) + 1
+        run = self.seed[pairs[pair, 1]]
+        end = at + run
+        stripe = (place - at + width) // GAP_DOC
+        for shift in (0, 1):  # two hits whose diagonals are at most GAP_DOC apart are in one double stripe
+            group = pair * (len(points) + 2 * width) + (stripe + shift) // 2
+            order = np.argsort(group * width + at)
+            g, a = group[order], at[order]
+            following = np.flatnonzero((g[1:] == g[:-1]) & (a[1:] - a[:-1] - run[order[:-1]] <= GAP_ITEM))
+            end[order[following]] = np.maximum(end[order[following]], a[following + 1])
+        order = np.argsort(pair * width + at)
+        of, start, end = pair[order], at[order], end[order]
+        before = np.maximum.accumulate(of * 2 * width + end)  # how far the pair's hits up to here reach
+        reached = np.append(0, before[:-1]) - of * 2 * width
+        common = np.bincount(of, np.maximum(0, end - np.maximum(start, np.maximum(reached, 0))), len(pairs))
+        asked = covered * self.size[pairs[:, 1]] - 2 * EDGE - 1e-6
+        likely = (common > 0) & (common >= asked)
+        inside = likely[pair]
+        pair, at, place, run = pair[inside], at[inside], place[inside], run[inside]
+        likely[likely] = chain_bounds(pair, at, place, run, len(pairs))[likely] >= asked[likely]
+        return pairs[likely]
+
+
+def chain_bounds(pair: np.ndarray, at: np.ndarray, place: np.ndarray, seed: np.ndarray, n_pairs: int) -> np.ndarray:
+    """For each pair the most that any chain of its common runs can cover with every gap filled that the alignment could fill: the
+    same recursion as in ``coverage``, for all pairs side by side, without its limit of reach."""
+    out = np.zeros(n_pairs)
+    if not len(pair):
+        return out
+    width = int(at.max()) + 1
+    order = np.argsort((pair * (int(place.max()) + width + 1) + place - at + width) * width + at)
+    pair, at, place, seed = pair[order], at[order], place[order], seed[order]
+    first = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]) | (at[1:] != at[:-1] + 1) | (place[1:] != place[:-1] + 1)))
+    k = np.diff(np.append(first, len(pair))) + seed[first] - 1
+    pair, i, j = pair[first], at[first], place[first]
+    order = np.lexsort((i, j, pair))
+    pair, i, j, k = pair[order], i[order], j[order], k[order]
+    counts = np.bincount(pair, minlength=n_pairs)
+    starts = np.cumsum(counts) - counts
+    by_size = np.argsort(counts, kind="stable")
+    by_size = by_size[counts[by_size] > 0]
+    a = 0
+    while a < len(by_size):  # pairs of much the same number of runs at a time
+        b = max(a + 1, int(np.searchsorted(counts[by_size], counts[by_size[a]] * 1.5 + 4, side="right")))
+        rows = by_size[a:b]
+        n = int(counts[rows[-1]])
+        index = np.minimum(starts[rows][:, None] + np.arange(n), len(i) - 1)
+        ri, rj, rk = i[index], j[index], k[index]
+        best = np.zeros(ri.shape)
+        for t in range(n):
+            gap_i, gap_j = ri[:, t : t + 1] - ri[:, :t] - rk[:, :t], rj[:, t : t + 1] - rj[:, :t] - rk[:, :t]
+            fits = (ri[:, :t] < ri[:, t : t + 1]) & (np.maximum(-gap_i, -gap_j) < rk[:, t : t + 1])
+            filled = np.where((gap_j >= SLIPS * gap_i) | (gap_i <= 2), gap_i, np.where(gap_j >= 0.5 * gap_i, gap_j, 0))
+            gain = np.minimum(gap_i, 0) + np.where((gap_i > 0) & (gap_i <= GAP_ITEM) & (gap_j <= GAP_DOC), filled, 0)
+            best[:, t] = rk[:, t] + np.where(fits, best[:, :t] + gain, 0).max(axis=1, initial=0)
+        out[rows] = np.where(np.arange(n) < counts[rows][:, None], best, 0).max(axis=1)
+        a = b
+    return out
 
 
 def candidate_pairs(texts: list[str], queries: np.ndarray, owner: np.ndarray, weighted: np.ndarray, cosine: float) -> np.ndarray:

@@ -193,6 +193,21 @@ def test_leakage_from_two_fifths_with_slips():
     assert not leakage.is_leaked(leakage.coverage(scraps, item), item)
 
 
+def test_leakage_bound_loses_no_case():
+    r = random.Random(8)
+    letters = lambda n: "".join(r.choice("abcdefghijklmnoprstuvw") for _ in range(n))
+    han = lambda n: "".join(chr(r.randint(0x4E00, 0x9000)) for _ in range(n))
+    items = [leakage.Item(n, make(250), 250) for n, make in enumerate([letters] * 6 + [han] * 3)]
+    slip = lambda s, every: "".join("x" if k % every == every - 1 else c for k, c in enumerate(s))
+    docs = [letters(80) + slip(i.text, every) + letters(80) for i in items[:6] for every in (12, 19, 20)]
+    docs += [letters(80) + slip(i.text[40:180], 8) + letters(80) for i in items[:6]] + [han(60) + slip(i.text, 7) + han(60) for i in items[6:]]
+    seeds = leakage.Seeds(items)
+    pairs = np.array([(d, i) for d in range(len(docs)) for i in range(len(items))])
+    near = {tuple(x) for x in seeds.near(docs, pairs, leakage.COVERED).tolist()}
+    held = {(d, i) for d, i in pairs.tolist() if leakage.coverage(docs[d], items[i])[0] >= leakage.COVERED}
+    assert held <= near and {(k, k // 3) for k in range(18)} | {(24 + k, 6 + k) for k in range(3)} <= held and len(near) < len(pairs) / 2
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet="abc", max_size=30), st.text(alphabet="abc", max_size=30))
 def test_bit_parallel_lcs(a, b):
