@@ -20,6 +20,8 @@ import functools
 import itertools
 import math
 import re
+import re._constants as sre
+import re._parser as sre_parser
 import zlib
 from collections.abc import Iterator
 
@@ -128,7 +130,7 @@ _W = r"(?<![^\W_])(?:{})(?![^\W_])"
 _INSULT = _W.format(_words(INSULTS)) + "|" + "(?:" + "|".join(INSULTS_ZH) + ")(?!桶|袋|箱|分类|回收|邮件|清运|处理)"
 _GROUP = r"(?:the|those|these|all|any|every one of those|die|diese|dieser|alle|keine) (?:\w+ )?\w{4,}(?:s|i|sh|en|er|ans|ier|ians|ese|e)\b|[一-鿿]{2,4}?(?:人|族)(?=都|全|就|没|是|天生|也|,|里|们)"
 
-#: Voters: name, kind ("" votes against all), pattern.  Only segments with some voter's word are looked at by all.
+#: Voters: name, kind ("" votes against all), pattern.  A voter looks only at segments with what its pattern needs.
 VOTERS: list[tuple[str, str, re.Pattern]] = [
     (name, kind, re.compile(pattern))
     for name, kind, pattern in [
@@ -154,58 +156,109 @@ VOTERS: list[tuple[str, str, re.Pattern]] = [
 N_VOTERS = len(VOTERS)
 #: Voters whose words are in plain use, too: their vote starts out as weak evidence.
 _WEAK = {"insult", "curse", "scorn", "explicit", "only-good"}
-# What the patterns need at least; segments that hold none of it have no votes.
-TRIGGERS_ZH = "打断 弄死 杀了 打死 知道他住 知道她住 知道你住 砍死 揍你 要你的命 让你好看 小心点 滚 去死 闭嘴 见鬼 赶出去 不要雇 别雇 不许进 不接待 没有一个好东西 全部赶 天生 寂寞 看你 来我房间 今晚 想和你 陪我 私聊 马上付款 求裸 求色 求一夜 求激情 发几张 脑子 没脑 不要脸 他妈 裸 色情 激情 一夜".split()
+#: Exact alternatives of a part of a pattern are listed up to this number.
+_ALTERNATIVES = 400
+
+
+def _exact(parts) -> set[str] | None:
+    """All strings that a parsed pattern can match, or None where they are too many; look-arounds are taken as met."""
+    out = {""}
+    for op, value in parts:
+        if op is sre.LITERAL:
+            own = {chr(value)}
+        elif op is sre.IN and all(o is sre.LITERAL for o, _ in value):
+            own = {chr(v) for _, v in value}
+        elif op is sre.SUBPATTERN:
+            own = _exact(value[-1])
+        elif op is sre.BRANCH:
+            each = [_exact(x) for x in value[1]]
+            own = None if None in each else set().union(*each)
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and value[1] == 1:
+            own = _exact(value[2])
+            own = own if own is None or value[0] else own | {""}
+        elif op in (sre.AT, sre.ASSERT, sre.ASSERT_NOT):
+            own = {""}
+        else:
+            own = None
+        if own is None or len(out) * len(own) > _ALTERNATIVES:
+            return None
+        out = {x + y for x in out for y in own}
+    return out
+
+
+def _needed(parts) -> set[tuple[str, bool]]:
+    """Strings of which every match of a parsed pattern holds at least one, and whether it has to stand alone; empty if there are none."""
+    parts, choices = list(parts), []
+    for n, (op, value) in enumerate(parts):
+        edge = lambda k: 0 <= k < len(parts) and (parts[k][0] is sre.ASSERT_NOT or parts[k] == (sre.AT, sre.AT_BOUNDARY))
+        alone = edge(n - 1) and edge(n + 1)
+        if op is sre.SUBPATTERN and len(value[-1]) == 1:
+            op, value = value[-1][0]
+        if op is sre.BRANCH:
+            each = []
+            for x in value[1]:
+                words = _exact(x) if alone else None
+                each.append({(w, True) for w in words} if words and "" not in words else _needed(x))
+            choices.append(set().union(*each) if all(each) else set())
+        elif op is sre.SUBPATTERN:
+            choices.append(_needed(value[-1]))
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and value[0]:
+            choices.append(_needed(value[2]))
+    a = 0
+    while a < len(parts):  # neighbouring parts that can be listed together
+        b, words = a, {""}
+        while b < len(parts) and (more := _exact(parts[a : b + 1])) is not None:
+            b, words = b + 1, more
+        choices.append(set() if "" in words else {(w, False) for w in words})
+        a = max(b, a + 1)
+    return max(choices, key=lambda c: (min((len(w) for w, _ in c), default=0), -len(c)), default=set())
 
 
 @functools.cache
 def _triggers():
+    """An automaton of what the voters with a kind need, derived from their patterns: for each string its length, the voters that need it
+    anywhere and those that need it standing alone."""
     import ahocorasick
 
-    phrases = """drop dead|go to hell|shut up|shut your|get lost|piss off|burn in hell|halt die fresse|halt die klappe|halt den mund|halt dein maul|halts maul|zur hölle|verpiss|verschwinde|leck mich|your back|regret|be sorry|ll pay|to pay|weiß |weiss |
-driven out|drive them out|crawl back|go back|came from|not welcome|send them|get rid of th|rauswerfen|vertreib|raus aus|zurück in|zurück nach|zurück wo|zurück dahin|gehör|hinaus|bedien|einstellen|stellt |verjag|breed|only good|people like|leute wie|einzige gut|einzig gut|by nature|in their blood|von natur aus|dieses |private show|adult |
-lonely and|about you|want you|with nothing on|in my bed|in my room|call me tonight|heute nacht|will dich|mit dir|for prices|send me|invoice at once|schick mir|zahle ich sofort|ruf mich an|fuck|screw you|screw in|us screw|nackt|sex|porn|erotic|ohne kleid|where he park|where she park|bleed"""
-    words = {w.replace("\n", "") for w in phrases.split("|")} | {*INSULTS_ZH, *SCORN_ZH, *SEXUAL_ZH, *TRIGGERS_ZH}
-    words |= {f"{a} {b}" for a in "break smash bash kick".split() for b in "your his her their".split()} | {f"{a} {b}" for a in "kill murder hurt beat stab strangle shoot make keep".split() for b in "you him her them those these".split()}
-    words |= {f"{a}{e} {b}" for a in "schlag brech tret hau bring mach".split() for e in ("", "e") for b in "dir dich ihm ihr ihn sie euch".split()} | {f"{a} live" for a in "you he she they".split()}
-    words |= {f"{a} {b}" for a in ("not", "never", "n't", "nobody should") for b in "hire serve trust employ rent".split()}
-    for w in (*INSULTS, *SCORN_EN, *SCORN_DE, *SEXUAL):
-        words |= {w, re.sub(r"(.)\1", r"\1", w)}
-    words.discard("")
+    masks: dict[str, list[int]] = {}
+    for i, (name, kind, pattern) in enumerate(VOTERS):
+        if kind:
+            needed = _needed(sre_parser.parse(pattern.pattern))
+            assert needed, f"the voter {name} has an alternative without a fixed part"
+            for word, alone in needed:
+                masks.setdefault(word, [0, 0])[alone] |= 1 << i
     automaton = ahocorasick.Automaton()
-    for w in words:  # short words count only where they stand alone
-        automaton.add_word(w, len(w) if len(w) < 6 and w.isalpha() and w < "ɐ" else 0)
+    for word, (anywhere, alone) in masks.items():
+        automaton.add_word(word, (len(word), anywhere, alone))
     automaton.make_automaton()
     return automaton
 
 
-def vote(segment: str) -> int:
-    """The segment's votes as bits."""
-    bits = 0
-    for i, (_, _, pattern) in enumerate(VOTERS):
-        if pattern.search(segment):
-            bits |= 1 << i
-    return bits if bits & _FOR else 0
+_FOR = sum(1 << i for i, (_, kind, _) in enumerate(VOTERS) if kind)
 
 
-_FOR = sum(1 << i for i, (_, kind, _) in enumerate(VOTERS) if kind)
+def vote(segment: str, voters: int = _FOR) -> int:
+    """The segment's votes as bits; ``voters`` are those with a kind that may vote at all."""
+    bits = 0
+    for i, (_, kind, pattern) in enumerate(VOTERS):
+        if (voters >> i & 1 if kind else bits) and pattern.search(segment):
+            bits |= 1 << i
+    return bits
 
 
 def votes(parts: list[str]) -> list[int]:
-    """The votes of the segments of one text; only those that hold a trigger are looked at by the voters."""
+    """The votes of the segments of one text; a voter looks only at segments that hold what its pattern needs."""
     bits = [0] * len(parts)
     whole = "\n".join(parts) + "\n"
     ends: list[int] = []
-    last = -1
-    for at, size in _triggers().iter(whole):
-        if size and (whole[at + 1].isalpha() or at >= size and whole[at - size].isalpha()):
-            continue
-        ends = ends or list(itertools.accumulate(len(p) + 1 for p in parts))
-        k = bisect.bisect_right(ends, at)
-        if k != last:
-            bits[k] = vote(parts[k])
-            last = k
-    return bits
+    for at, (size, anywhere, alone) in _triggers().iter(whole):
+        voters = anywhere
+        if alone and not (whole[at + 1].isalpha() or at >= size and whole[at - size].isalpha()):
+            voters |= alone
+        if voters:
+            ends = ends or list(itertools.accumulate(len(p) + 1 for p in parts))
+            bits[bisect.bisect_right(ends, at)] |= voters
+    return [vote(p, b) if b else 0 for p, b in zip(parts, bits)]
 
 
 def _own(kind: str) -> list[int]:

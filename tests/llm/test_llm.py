@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -235,3 +236,12 @@ def test_abuse(spark):
 
 def test_disguises():
     assert "moron" in abuse.plain("m.o.r.o.n") and "idiot" in abuse.plain("1d1ot") and "moron" in abuse.plain("moooron") and "idiot" in abuse.plain("id**t") and "王八蛋" in abuse.plain("王 八 蛋")
+
+
+def test_votes_are_not_cut_by_the_prefilter():
+    r = random.Random(2)
+    words = {w for *_, pattern in abuse.VOTERS for w in re.findall(r"[^\W\d_]+", pattern.pattern)} | {"you", "the", "velmari", "人", "都", "是"}
+    said = ["you are disgusting, worthless and pathetic", "this damn thing", "fucking useless", "that lot again", "die velmari sind alle so", "they are all the same", "维玛人都是这样", "维玛族都是这样", "瞎了你", "nacktheit", "preise auf anfrage", "preis auf anfrage", "what filthy work", "verdammter mist", "dummer kerl"]
+    said += [r.choice(["", "so "]) + " ".join(r.sample(sorted(words), r.randint(1, 5))) + r.choice(["", " too"]) for _ in range(20000)]
+    said += ["".join(r.sample(sorted(words), 2)) for _ in range(2000)]
+    assert abuse.votes(said) == [abuse.vote(s) for s in said] and all(abuse.vote(s) for s in said[:15])
