@@ -75,24 +75,31 @@ def canonical_lines(text: str) -> list[str]:
     return [x.strip(" ") for x in canonical_text(text.replace("\n", "\ue000")).split("\ue000")]
 
 
-def canonical_with_map(text: str) -> tuple[str, list[int]]:
-    """The consistent form without blank collapsing at the ends, and for each of its characters the index of
-    the source character that it comes from, plus the source length at the end."""
-    if text.isascii() and not _IGNORED.search(text):
-        return text.replace("\t", " "), list(range(len(text) + 1))
+def canonical_with_map(text: str) -> tuple[str, list[int], list[int]]:
+    """The consistent form, and for each of its characters the start and the end of the part of the source that it comes from;
+    the one space of a run of blanks comes from the whole run."""
     out: list[str] = []
-    at: list[int] = []
+    start: list[int] = []
+    end: list[int] = []
     i, n = 0, len(text)
     while i < n:
-        j = i + 1
-        while j < n and unicodedata.combining(text[j]):
-            j += 1
-        for c in canonical_text(text[i:j]) or (" " if text[i].isspace() or text[i] in BLANKS else ""):
+        j = k = i + 1
+        while k < n and (unicodedata.combining(text[k]) or "\u1161" <= text[k] <= "\u11ff" or _IGNORED.match(text[k])):
+            k += 1
+            if not _IGNORED.match(text[k - 1]):  # marks, and letters that join the one before, with invisible characters between
+                j = k
+        for c in text[i] if text[i].isascii() and text[i].isprintable() and j == i + 1 else canonical_text(f"\ue000{text[i:j]}\ue000")[1:-1]:
+            if c == " " and (not out or out[-1] == " "):
+                if out:
+                    end[-1] = j
+                continue
             out.append(c)
-            at.append(i)
+            start.append(i)
+            end.append(j)
         i = j
-    at.append(n)
-    return "".join(out), at
+    if out and out[-1] == " ":
+        out.pop(), start.pop(), end.pop()
+    return "".join(out), start, end
 
 
 @F.pandas_udf(T.StringType())

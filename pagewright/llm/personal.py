@@ -467,9 +467,12 @@ def redact_text(text: str | None, weights: dict[str, float]) -> str | None:
         return text
     lines = text.split("\n")
     for n, line in enumerate(lines):
-        form, at = canonical_with_map(line)
-        for a, b, kind in reversed(find(form, weights)):
-            line = line[: at[a]] + PLACEHOLDERS[kind] + line[at[b] :]
+        found = find(canonical_text(line), weights)
+        if not found:
+            continue
+        _, start, end = canonical_with_map(line)
+        for a, b, kind in reversed(found):
+            line = line[: start[a]] + PLACEHOLDERS[kind] + line[end[b - 1] :]
         lines[n] = line
     return "\n".join(lines)
 

@@ -110,6 +110,22 @@ def test_redaction_keeps_the_rest():
     assert personal.redact_text("", w) == "" and personal.redact_text(None, w) is None
 
 
+def test_redaction_finds_what_is_found_between_odd_blanks():
+    w = personal.train()
+    for line in ("Contact John  Smith today", "Contact John \u00a0Smith\ttoday", " Tel  +44 7700  900123", "at 12  Mill   Road", "Contact Jo\u200bhn \u3000 Smith"):
+        form, start, end = forms.canonical_with_map(line)
+        assert form == forms.canonical_text(line) and len(form) == len(start) == len(end)
+        kinds = {k for *_, k in personal.find(form, w)}
+        assert kinds and all(personal.PLACEHOLDERS[k] in personal.redact_text(line, w) for k in kinds)
+    assert personal.redact_text("  Contact  John \u00a0Smith \t today ", w) == "  Contact  [NAME] \t today "
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="aé12 \t\u00a0\u3000\u200b\u00ad\u0308Ａ中ﬁ\u2800각가½¨", max_size=20))
+def test_mapped_form_is_the_form(x):
+    assert forms.canonical_with_map(x)[0] == forms.canonical_text(x)
+
+
 def test_segmentation_is_the_best_one():
     r = random.Random(1)
     w = {"f1": 1.0, "f2": 2.0, "f3": -1.0}
