@@ -47,6 +47,9 @@ Ursula Renate Karin Dieter Horst Jörg Jens Anja Birgit Gisela Helga Karl Otto F
 SURNAMES_ZH = "赵钱孙李周吴郑王冯陈褚卫蒋沈韩杨朱秦尤许何吕施张孔曹严华金魏陶姜戚谢邹喻苏潘葛奚范彭郎鲁韦昌马苗方俞任袁柳鲍史唐费岑薛雷贺倪汤滕罗毕郝邬安常于傅皮卞齐康伍余顾孟黄穆萧尹姚邵汪祁毛狄米戴宋庞熊纪舒屈项祝董梁杜阮蓝闵席季贾路江童颜郭梅林钟徐邱骆高夏蔡田樊胡凌霍虞万柯管卢莫房丁邓石崔龚程邢裴陆翁段侯武刘龙叶白聂辛翟曾温廖"
 DOUBLE_SURNAMES_ZH = "欧阳|司徒|上官|司马|诸葛|东方|皇甫|尉迟|公孙|慕容|令狐|夏侯"
 GIVEN_ZH = "伟芳娜敏静丽强磊军洋勇艳杰娟涛明超秀霞平刚桂英华玉兰建国志文博浩然子墨一鸣承泽嘉怡佩思远晓楠姝若溪雪松景行念慈少宛如梓涵雨桐海燕春梅红辉斌宇轩欣悦晨阳俊豪诗琪佳宁天翔龙飞云鹏凯琳婷倩颖慧美莲德福宏峰光荣新成永康庆祥瑞安立业家兴家国忠义信诚心语萱涵晴雅芝"
+# Fixed values, for the training lines: other characters of given names, and characters of plain text.
+OTHER_GIVEN_ZH = "丹洁莉萍玲林波亮鑫辰昊薇珍凤东山生根胜利勤财旺发全有才贵富进步长远青松柏岩峻岭川河湖泉清澈亚南北西冬夏秋艺舒菲蓉蕾蝶露莹珊瑚璐瑶琴韵诚恒毅锋锐钧铭锦钰"
+PLAIN_ZH = "的了在是有和不这那也都已请见按被把用到上下前后内外货单价税率数量日期合同订仓库车间工具机器标签箱包装运送验收退换付款账户标准温度高低黄金石路方向时间安排项目经理检查更新通知附页表格样品材料零件电缆水管"
 STREETS_EN = r"(?:Street|Str|St|Road|Rd|Avenue|Ave|Lane|Ln|Row|Close|Drive|Dr|Way|Court|Place|Terrace|Square|Crescent|Boulevard|Blvd|Gardens|Hill|Walk)"
 LEGAL = r"(?:Ltd|Limited|Inc|Incorporated|Co|GmbH|AG|KG|LLC|PLC|Company|Corp)"
 TRADES = set("Marine Modern Rural Urban Organic General Technical Optical Civil Thermal Medical Coastal Harbour Alpine Precision Industrial Textiles Foods Packaging Logistics Printing Ceramics Instruments Fasteners Supplies Tools Plastics Metals Group Services Trading".split())
@@ -237,7 +240,7 @@ def _chinese_names(text: str, a: int, b: int) -> list[tuple[int, int, str, tuple
     double = re.match(DOUBLE_SURNAMES_ZH, text[a:b])
     first = 2 if double else 1
     out = []
-    left = text[max(0, a - 3) : a]
+    left = text[max(0, a - 5) : a].rstrip(" :")[-3:] if text[a - 1 : a] in (" ", ":") else text[max(0, a - 3) : a]
     cues = [f"left-{c}" for c in _cue(left)] if left.strip() else ["left-start"]
     b = min(len(text), a + first + 2)
     for end in range(a + first + 1, b + 1):
@@ -245,11 +248,15 @@ def _chinese_names(text: str, a: int, b: int) -> list[tuple[int, int, str, tuple
         if not all("一" <= c <= "鿿" for c in given):
             continue
         known = sum(c in GIVEN_ZH for c in given)
-        if known < len(given) or text[max(0, a - 1) : a + 1] in _NOT_SURNAMES:
+        if text[max(0, a - 1) : a + 1] in _NOT_SURNAMES:
             continue
+        listed = "all" if known == len(given) else "some" if known else "none"
         right = text[end : end + 2]
         f = [f"zh-{'double' if double else 'single'}-{len(given)}", *("zh-" + c for c in cues), "zh-right-cue" if right in _CUES["zh-after"] or right[:1] in ("在", "和", "谈") else "zh-right-end" if not right.strip() else "zh-right-mark" if not "一" <= right[0] <= "鿿" else "zh-right-other"]
         f.append(f"{f[0]}/{f[-1]}")
+        # the list of given-name characters is evidence beside the cues; it decides nothing by itself
+        person = "cue" if "left-person" in cues else "start" if cues == ["left-start"] else "other"
+        f += [f"zh-listed-{listed}", f"zh-listed-{listed}/{person}", f"zh-listed-{listed}/{person}/{f[-1].rpartition('/')[2]}"]
         if re.search(r"公司|集团|银行|支行", text[end : end + 14]) and not re.search(r"[,，。:]", text[end : end + 4]):
             f.append("zh-company")
         out.append((a, end, "name", tuple("name:" + x for x in f)))
@@ -343,6 +350,9 @@ On {date} the {noun} was replaced for {money}.|{company}|Total due {money}|Purch
 Die Rechnung {code} über {money} ist seit dem {date} überfällig.|Der Vertrag mit {company} läuft am {date} aus.|The agreement with {company} expires on {date}.|{company} – internal copy|entered under inventory number {code}.
 纳税人识别号:{zhtax}|开户行及账号:郁陵商业银行霁陵支行 {zhaccount}|订单号{zhorder}代替{zhorder}。|发票号码:{zhlong}|购买方名称:{zhcompany}|账号{account},开户行为商业银行。|扫描仪固件版本为{version}。|发票{code}的货款{money}元自{date}起逾期。
 路线表和街道名册已经重新印刷。|周例会上,采购员分拣了捆包{code}。|{zhcompany}于{date}提交的订单{code}已从仓库发出,共146箱。|单价 @ 12.50,含包装费。|流程和周围的方向都在台账里。|与{zhcompany}签订的合同将于{date}到期。|Invoice {code}|{zhaccount}|{order} replaces
+收款人:{zhname}|联系{zhname}|请联系{zhname}。|复核:{zhname} 电话:{zhphone}|司机{zhname}签收|周末仓库关闭,请于周一再来。|路线和方向都已确认。|金额合计不含税。|安装费用另计,详见附页。|高度和温度须符合标准,颜色为黄色。|马达和水管已更换。
+常用的工具放在石台上,由门卫看管。|时间安排见通知,地点和平时相同。|程序已经更新,请重新安装。|江边的仓库和车间已满。|项目经理和安全员到场。|单价和金额由双方确认。|请联系车间和仓库。|货物由金属架固定。|负责人于当天签字。|{zhplain}。|{zhplain},{zhplain}。|{zhplain}和{zhplain}
+{zhtail}。{zhplain}|{zhtail},{zhplain}|{zhtail}|{zhtail}为{money}元|{zhplain}和{zhtail}在{zhplain}|{zhplain},{zhtail}。|{zhplain}{zhtail}|{zhtail}。
 """.strip().replace("\n", "|").split("|")
 
 
@@ -370,6 +380,12 @@ def training_lines(count: int = TRAINING_LINES, seed: int = 7) -> Iterator[tuple
     def phone() -> str:
         return r.choice([f"+44 7700 {digit(6)}", f"0044 20 {digit(4)} {digit(4)}", f"(020) 7946 {digit(4)}", f"{r.randint(2, 9)}{digit(2)}-555-{digit(4)}", f"{r.randint(2, 9)}{digit(2)}.555.{digit(4)} ext. {digit(3)}", f"030/{digit(8)}", f"+49 30 {digit(5)} {digit(3)}", f"0049 (0)171 {digit(7)}"])
 
+    def zhname() -> str:
+        """Listed given-name characters mostly; any others, too, so that the list is no condition."""
+        first = r.choice(SURNAMES_ZH) if r.random() < 0.85 else r.choice(DOUBLE_SURNAMES_ZH.split("|"))
+        pool = GIVEN_ZH if r.random() < 0.6 else OTHER_GIVEN_ZH
+        return first + r.choice(pool) + (r.choice(GIVEN_ZH if r.random() < 0.5 else pool) if r.random() < 0.85 else "")
+
     def zhphone() -> str:
         m = f"1{r.choice('3456789')}{digit(9)}"
         return r.choice([m, f"{m[:3]} {m[3:7]} {m[7:]}", f"+86-{m[:3]}-{m[3:7]}-{m[7:]}", f"(86){m[:7]} {m[7:]}", f"0{digit(2)}-{r.randint(2, 8)}{digit(7)}", f"(0{digit(3)}){r.randint(2, 8)}{digit(3)} {digit(4)} 转 {digit(3)}"])
@@ -388,7 +404,8 @@ def training_lines(count: int = TRAINING_LINES, seed: int = 7) -> Iterator[tuple
     company = lambda: f"{surname()}{r.choice(syllables)} {r.choice(sorted(TRADES))} {r.choice(['Textiles', 'Foods', 'Ceramics', 'Printing'])} {r.choice(['Ltd', 'Inc.', 'Co.', 'GmbH'])}"
     order = lambda: f"2024-{digit(3)}-{digit(4)}"
     fill = {
-        "name": (name, "name"), "zhname": (lambda: (r.choice(SURNAMES_ZH) if r.random() < 0.85 else r.choice(DOUBLE_SURNAMES_ZH.split("|"))) + r.choice(GIVEN_ZH) + r.choice(GIVEN_ZH), "name"),
+        "name": (name, "name"), "zhname": (zhname, "name"), "zhplain": (lambda: "".join(r.choice(PLAIN_ZH) if r.random() < 0.85 else r.choice(SURNAMES_ZH) for _ in range(r.randint(4, 9))), ""),
+        "zhtail": (lambda: r.choice(SURNAMES_ZH) + "".join(r.choice(PLAIN_ZH) for _ in range(r.choice((1, 1, 2, 2, 3, 5)))), ""),
         "email": (email, "email"), "phone": (phone, "phone"), "zhphone": (zhphone, "phone"), "address": (address, "address"), "zhaddress": (zhaddress, "address"),
         "deaddress": (lambda: r.choice(["Rosenstr.", "Lindengasse", "Gartenweg", "Bahnhofstraße"]) + f" {r.randint(1, 199)}" + r.choice(["", " b"]), "address"),
         "id": (lambda: r.choice([f"{r.choice('NPK')}{digit(8)}", f"{capital(2)} {digit(2)} {digit(2)} {digit(2)} {capital(1)}", f"L{capital(1)}{digit(2)}{capital(1)}{digit(4)}" + r.choice(["D", ""])]), "id_number"), "zhid": (zhid, "id_number"),

@@ -104,6 +104,15 @@ def test_personal_lines():
     assert kinds("Kandush Marine Logistics Ltd") == set()
 
 
+def test_unlisted_given_names_are_scored():
+    w = personal.train()
+    names = lambda s: [s[a:b] for a, b, k in personal.find(s, w) if k == "name"]
+    for who in ("王丽萍", "李玲", "张亮", "陈东山", "刘凤珍", "欧阳丹", "周鑫"):
+        assert names(f"收款人:{who}") == [who] and names(f"请联系{who}。") == [who] and names(f"司机{who}在门口出示证件") == [who], who
+    for plain in ("金额和方向都在附页里。", "路线由双方确认,高度不变。", "周末仓库关闭,请于周一再来。"):
+        assert names(plain) == [], plain
+
+
 def test_redaction_keeps_the_rest():
     w = personal.train()
     assert personal.redact_text("Ｅ-mail ａ.b@x​y.test !", w) == "Ｅ-mail [EMAIL] !"
