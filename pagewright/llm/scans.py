@@ -8,7 +8,9 @@ few hits are verified by letters and ranked by frequency, and the best one is th
 
 *Running lines.*  Lines at the edges of pages are compared within their task by a skeleton in which confusable
 characters are one; what stands at the edge of at least two pages and of a good part of the task's pages is a
-running line, unless it stands in so many tasks that it must be part of a printed form.
+running line, in however many tasks it stands.  Lines of a printed form are told from it by evidence of the task's own pages: a
+form's title has the same label (what stands before a colon) below it on page after page, a form's closing line ends in a label,
+and a second line belongs to a header only if the first one does.
 
 *Page numbers* are lines that are nothing but a number in one of the usual frames.
 
@@ -48,8 +50,8 @@ CONFUSIONS_HAN = """可司 夯务 友发 又文 祢称 仑仓 硝确 悦税 亏
 RATIO, LEAST = 12, 5
 #: A running line is at the edge of at least this part of its task's pages, and of at least two of them.
 EDGE_SHARE = 0.4
-#: Lines that stand in more than this part of all tasks (and in more than COMMON_LEAST) belong to printed forms.
-COMMON_SHARE, COMMON_LEAST = 0.01, 5
+#: A form's title has a label below it on at least this part of its pages, and the different labels are at most this part of them.
+LABELLED, LABELS = 0.5, 0.34
 
 _HAN_READ = {p[0] for p in CONFUSIONS_HAN}
 _HAN_ANY = re.compile("[" + "".join({c for p in CONFUSIONS_HAN for c in p}) + "]")
@@ -62,6 +64,7 @@ _PAGE_NUMBER = re.compile(
     rf"(?:\d{{1,3}}|[ivxlc]{{1,6}}|[IVXLC]{{1,6}}|[-–—·] ?{_D}{{1,4}} ?[-–—·]|[\[(<]{_D}{{1,4}}[\])>]|{_D}{{1,4}} ?/ ?{_D}{{1,4}}|(?:p|pp|pg|s|P|S)\. ?{_D}{{1,4}}|"
     rf"(?i:(?:p[a@]ge|pagc|seite|scite|blatt|folio|sheet)) ?{_D}{{1,4}}(?: ?(?:of|o[ft]|0f|von|/) ?{_D}{{1,4}})?|第 ?{_D}{{1,4}} ?[页頁](?: ?,? ?共 ?{_D}{{1,4}} ?[页頁])?|共 ?{_D}{{1,4}} ?[页頁])"
 )
+_LABEL = re.compile(r"([^:]{1,24}):")
 _FIRST = re.compile(r"[\W_]*([^\W_][^\s]*)")
 _MARKS = "-­¬‐‑−"
 _CONJUNCTIONS = {"und", "oder", "bzw", "bis", "and", "or", "sowie"}
@@ -161,19 +164,20 @@ _NEXTS = T.ArrayType(T.StructType([T.StructField("no", T.IntegerType()), T.Struc
 #: So many lines after a line are looked at for the rest of its last word: more than the running lines and page numbers that can stand between.
 _LOOK_AHEAD = 5
 _LINES = T.StructType(
-    [T.StructField("src", T.StringType()), T.StructField("page_id", T.LongType()), T.StructField("task_id", T.StringType()), T.StructField("page_index", T.IntegerType()), T.StructField("line_no", T.IntegerType()), T.StructField("place", T.IntegerType()), T.StructField("skeleton", T.StringType()), T.StructField("is_number", T.BooleanType()), T.StructField("left", T.StringType()), T.StructField("is_head", T.BooleanType()), T.StructField("n_marks", T.IntegerType()), T.StructField("nexts", _NEXTS), T.StructField("keys", T.ArrayType(T.StringType()))]
+    [T.StructField("src", T.StringType()), T.StructField("page_id", T.LongType()), T.StructField("task_id", T.StringType()), T.StructField("page_index", T.IntegerType()), T.StructField("line_no", T.IntegerType()), T.StructField("place", T.IntegerType()), T.StructField("skeleton", T.StringType()), T.StructField("is_number", T.BooleanType()), T.StructField("left", T.StringType()), T.StructField("is_head", T.BooleanType()), T.StructField("n_marks", T.IntegerType()), T.StructField("nexts", _NEXTS), T.StructField("keys", T.ArrayType(T.StringType())), T.StructField("outer", T.StringType()), T.StructField("label", T.StringType())]
 )
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each line that is not blank.  ``place``: how near to the page's edge (0 first or last, page numbers not counted), -1 inside;
-    ``left``: the word before the mark at the end; ``nexts``: the first words of the lines that follow it, or of the page's first lines where ``is_head``."""
+    ``outer``: the skeleton of the page's first or last line, for the second line from there; ``label``: the label of the line below a line at the
+    page's top, ":" for a line that ends in one; ``left``: the word before the mark at the end; ``nexts``: the first words of the lines that follow it, or of the page's first lines where ``is_head``."""
 
     def words(some: list) -> list[dict]:
         return [{"no": x[0], "first": m[1] if (m := _FIRST.match(x[1])) else ""} for x in some[:_LOOK_AHEAD]]
 
     for batch in batches:
-        of, no, places, skeletons, is_number, left, is_head, n_marks, nexts, keys_of = ([] for _ in range(10))
+        of, no, places, skeletons, is_number, left, is_head, n_marks, nexts, keys_of, outer, label = ([] for _ in range(12))
         for n, text in enumerate(batch.column(4).to_pylist()):
             page = [(i + 1, *x) for i, x in enumerate(_page(text)) if x[0]]
             if not page:
@@ -181,7 +185,8 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             numbers = [len(f) < 24 and _PAGE_NUMBER.fullmatch(f) is not None for _, f, *_ in page]
             body = [i for i, x in enumerate(numbers) if not x]
             place = {i: min(k, len(body) - 1 - k) for k, i in enumerate(body) if k < 2 or k > len(body) - 3}
-            of.append(n), no.append(0), places.append(-1), skeletons.append(None), is_number.append(False), left.append(None), is_head.append(True), n_marks.append(0), nexts.append(words(page)), keys_of.append([])
+            of.append(n), no.append(0), places.append(-1), skeletons.append(None), is_number.append(False), left.append(None), is_head.append(True), n_marks.append(0), nexts.append(words(page)), keys_of.append([]), outer.append(None), label.append(None)
+            rank = {i: k for k, i in enumerate(body)}
             for i, (line_no, form, mark, keys, _) in enumerate(page):
                 tokens = re.findall(r"[^\W\d_][\w'’\-]*", form.rstrip(_MARKS + " ")) if mark else None
                 near = place.get(i, -1)
@@ -189,6 +194,11 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 no.append(line_no)
                 places.append(near)
                 skeletons.append(skeleton(form) if near >= 0 else None)
+                first, second = near == 0, near == 1 and len(body) > 2
+                top = near >= 0 and rank[i] * 2 < len(body)
+                outer.append(skeleton(page[body[0 if top else -1]][1]) if second else None)
+                below = _LABEL.match(page[body[near + 1]][1]) if (first or second) and top and len(body) > near + 1 else None
+                label.append(":" if near >= 0 and form.endswith(":") else skeleton(below[1]) if below else None)
                 is_number.append(numbers[i])
                 left.append(tokens[-1].lower() if tokens else None)
                 is_head.append(False)
@@ -197,7 +207,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys_of.append([] if numbers[i] else list(dict.fromkeys(keys)))
         at = pa.array(of, pa.int32())
         same = [batch.column(c).take(at) for c in range(4)]
-        made = [pa.array(no, pa.int32()), pa.array(places, pa.int32()), pa.array(skeletons, pa.string()), pa.array(is_number, pa.bool_()), pa.array(left, pa.string()), pa.array(is_head, pa.bool_()), pa.array(n_marks, pa.int32()), pa.array(nexts, pa.list_(pa.struct([("no", pa.int32()), ("first", pa.string())]))), pa.array(keys_of, pa.list_(pa.string()))]
+        made = [pa.array(no, pa.int32()), pa.array(places, pa.int32()), pa.array(skeletons, pa.string()), pa.array(is_number, pa.bool_()), pa.array(left, pa.string()), pa.array(is_head, pa.bool_()), pa.array(n_marks, pa.int32()), pa.array(nexts, pa.list_(pa.struct([("no", pa.int32()), ("first", pa.string())]))), pa.array(keys_of, pa.list_(pa.string())), pa.array(outer, pa.string()), pa.array(label, pa.string())]
         yield pa.RecordBatch.from_arrays(same + made, names=_LINES.names)
 
 
@@ -252,10 +262,13 @@ def _parts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     heads_of = lines.where("is_head")
     page_counts = heads_of.where("task_id is not null").groupBy("task_id").agg(F.count_distinct("page_index").alias("n_pages"))
-    n_tasks = heads_of.agg(F.count_distinct("task_id").alias("n_tasks"))
-    by_task = keep(edges.where("place >= 0 and skeleton <> '' and task_id is not null").groupBy("task_id", "skeleton").agg(F.count_distinct("page_index").alias("n")))
-    common = by_task.groupBy("skeleton").agg(F.count("*").alias("tasks")).crossJoin(F.broadcast(n_tasks)).where((F.col("tasks") > COMMON_LEAST) & (F.col("tasks") > COMMON_SHARE * F.col("n_tasks"))).select("skeleton")
-    repeated = by_task.where("n >= 2").join(page_counts, "task_id").where(F.col("n") >= EDGE_SHARE * F.col("n_pages")).join(common, "skeleton", "left_anti").select("task_id", "skeleton")
+    held = lines.where("place >= 0 and task_id is not null").where(F.col("skeleton").rlike(r"[\p{L}\p{N}]"))
+    by_task = held.groupBy("task_id", "skeleton").agg(F.count_distinct("page_index").alias("n"), F.count("*").alias("rows"), F.count("outer").alias("second"), F.mode("outer").alias("outer"), F.count("label").alias("labelled"), F.count_distinct("label").alias("labels"))
+    printed_form = (F.col("labelled") >= LABELLED * F.col("rows")) & (F.col("labels") <= F.greatest(F.lit(1.0), LABELS * F.col("rows")))
+    enough = keep(by_task.where("n >= 2").where(~printed_form).join(page_counts, "task_id").where(F.col("n") >= EDGE_SHARE * F.col("n_pages")).select("task_id", "skeleton", "outer", (F.col("second") * 2 > F.col("rows")).alias("is_second")))
+    firsts_of = enough.where("not is_second").select("task_id", "skeleton")
+    seconds_of = enough.where("is_second").join(firsts_of.withColumnRenamed("skeleton", "outer"), ["task_id", "outer"], "left_semi").select("task_id", "skeleton")
+    repeated = firsts_of.unionByName(seconds_of)
     kind = lambda df, k: df.select(*key).withColumn("kind", F.lit(k))
     running = edges.where("place >= 0").join(repeated, ["task_id", "skeleton"], "left_semi")
     numbers = edges.where("is_number")

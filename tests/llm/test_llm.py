@@ -65,6 +65,22 @@ def test_affected_lines(spark):
     assert "identification done" in clean[3] and "Head line" not in clean[3] and "p. 3" not in clean[3] and "service was good" in clean[30]
 
 
+def test_running_lines_shared_by_many_tasks(spark):
+    say = lambda i: " ".join("abcdefghij"[int(c)] * 3 for c in str(1000 + i * 37))
+    pages = []
+    for t in range(30):
+        for i in (1, 2, 3):
+            n = t * 3 + i
+            if t < 20:  # one header for all, two lines
+                pages.append((n, f"t{t}", i, f"CONFIDENTIAL\nInternal copy\n{say(n)}\nsome body {say(n + 500)}\nend of {say(n + 900)}"))
+            else:  # a form's title, names above posts, a form's closing line
+                pages.append((n, f"t{t}", i, f"Sales invoice\nNumber: {say(n)}\nmore {say(n + 500)}\nwith {say(n + 900)}\nReceived by: Checked by:"))
+    pages += [(1000 + i, "u", i, f"{say(i + 700)}\nSite Engineer\nbody {say(i)}\nmore {say(i + 300)}\nlast {say(i + 600)}") for i in (1, 2)]
+    df = spark.createDataFrame(pages, "page_id long, task_id string, page_index int, text string")
+    got = {(r["page_id"], r["line_no"]) for r in scans.affected_lines(df, df.limit(0)).collect() if r["kind"] == "running_line"}
+    assert got == {(n, k) for n in range(1, 61) for k in (1, 2)}
+
+
 # --- 3 ---
 
 
