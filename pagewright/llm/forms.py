@@ -135,3 +135,12 @@ def same_looking_blocks(blocks: DataFrame, layers: DataFrame) -> DataFrame:
     # most look-alikes are in lines that hold something besides plain printable ASCII, on one of the two sides
     keys = lines.select("page_id", canonical("line").alias("key")).where("key <> ''").distinct()
     return other.select("block_id", "page_id", canonical("line").alias("key")).where("key <> ''").join(keys, ["page_id", "key"], "left_semi").select("block_id").distinct()
+
+
+def consistent_lines(blocks: DataFrame, layers: DataFrame) -> DataFrame:
+    """(src, block_id, page_id, line_no, form, folded) of every block and of every line of every text layer (without a block_id); a null
+    layer gives one row without a line."""
+    own = blocks.select(F.lit("ocr_blocks").alias("src"), "block_id", "page_id", F.col("line_no").cast("int").alias("line_no"), "text")
+    lines = layers.select("page_id", F.posexplode_outer(F.split("text", "\n", -1)).alias("at", "text"))
+    lines = lines.select(F.lit("text_layers").alias("src"), F.lit(None).cast(blocks.schema["block_id"].dataType).alias("block_id"), "page_id", (F.col("at") + 1).alias("line_no"), "text")
+    return own.unionByName(lines).select("src", "block_id", "page_id", "line_no", canonical("text").alias("form"), canonical("text", fold=True).alias("folded"))

@@ -30,13 +30,16 @@ def p2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.clean_paragraphs(_table(spark, sf_dir, "ocr_pages"), _table(spark, sf_dir, "text_layers"))
 
 
+def p2_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.clean_blocks(*(_table(spark, sf_dir, t) for t in ("ocr_blocks", "ocr_pages", "text_layers")))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forms.same_looking_blocks(_table(spark, sf_dir, "ocr_blocks"), _table(spark, sf_dir, "text_layers"))
 
 
 def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = _table(spark, sf_dir, "ocr_blocks").select("block_id", "text")
-    return blocks.select("block_id", forms.canonical("text").alias("form"), forms.canonical("text", fold=True).alias("folded"))
+    return forms.consistent_lines(_table(spark, sf_dir, "ocr_blocks"), _table(spark, sf_dir, "text_layers"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

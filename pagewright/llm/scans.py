@@ -369,3 +369,32 @@ def clean_paragraphs(pages: DataFrame, layers: DataFrame) -> DataFrame:
     kinds = found.groupBy("src", "page_id").agg(F.collect_list(F.struct("line_no", "kind")).alias("kinds"))
     fixes = wrong.groupBy("src", "page_id").agg(F.collect_list(F.struct("line_no", "gram", "better", "x", "y")).alias("fixes"))
     return texts.join(kinds, ["src", "page_id"], "left").join(fixes, ["src", "page_id"], "left").select("src", "page_id", "text", "kinds", "fixes").mapInPandas(_clean, _CLEAN)
+
+
+_BLOCKS = T.StructType([T.StructField("block_id", T.LongType()), T.StructField("page_id", T.LongType()), T.StructField("line_no", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("repaired", T.StringType())])
+
+
+def _block_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = []
+        for block_id, page_id, line_no, text, kind, fixes in zip(*(batch[c] for c in ("block_id", "page_id", "line_no", "text", "kind", "fixes"))):
+            form = None
+            if isinstance(text, str) and kind not in ("running_line", "page_number"):
+                form = _mended(canonical_text(text), list(fixes) if fixes is not None else [])
+                if kind == "broken_word":
+                    form = form.rstrip(_MARKS + " ")
+            rows.append((block_id, page_id, line_no, kind, form))
+        yield pd.DataFrame(rows, columns=_BLOCKS.names).astype({"block_id": "Int64", "page_id": "Int64", "line_no": "Int32"})
+
+
+def clean_blocks(blocks: DataFrame, pages: DataFrame, layers: DataFrame) -> DataFrame:
+    """(block_id, page_id, line_no, kind, repaired) of every distinct block: the kind of its page line and its text with that line's corrections.
+
+    A block is a line of its page's text, so counts come from the pages and no line is counted twice.  ``repaired`` is null for running lines,
+    page numbers and null texts; after a ``broken_word`` the mark is gone and the next body line goes on with the word."""
+    found, wrong = _parts(pages_of(pages, layers))
+    key = ["page_id", "line_no"]
+    kinds = found.where("src = 'ocr_pages'").select(*key, "kind")
+    fixes = wrong.where("src = 'ocr_pages'").groupBy(*key).agg(F.collect_list(F.struct("gram", "better", "x", "y")).alias("fixes"))
+    own = blocks.select(F.col("block_id").cast("long").alias("block_id"), F.col("page_id").cast("long").alias("page_id"), F.col("line_no").cast("int").alias("line_no"), "text").distinct()
+    return own.join(kinds, key, "left").join(fixes, key, "left").select("block_id", *key, "text", "kind", "fixes").mapInPandas(_block_texts, _BLOCKS)

@@ -65,6 +65,18 @@ def test_affected_lines(spark):
     assert "identification done" in clean[3] and "Head line" not in clean[3] and "p. 3" not in clean[3] and "service was good" in clean[30]
 
 
+def test_repaired_blocks(spark):
+    own = lambda i: "".join("abcdefghij"[int(c)] * 2 for c in str(100 + i))
+    body = "the service was good and the service was identification of service\n" * 3
+    pages = [(i, "t", i, f"Head line of it\nbegin {own(i)}\n{body}{'the servicc was good' if i == 7 else own(i + 50)}\nlast {own(i)} service identific-\nation done\nend {own(i)}\np. {i}") for i in range(1, 21)]
+    blocks = [(i * 100 + n, i, n, line) for i, _, _, text in pages for n, line in enumerate(text.split("\n"), 1)]
+    df = spark.createDataFrame(pages, "page_id long, task_id string, page_index int, text string")
+    got = {r["block_id"]: (r["kind"], r["repaired"]) for r in scans.clean_blocks(spark.createDataFrame([*blocks, blocks[0], (9, None, None, "Ｘ y"), (10, 1, 99, None)], "block_id long, page_id long, line_no int, text string"), df, df.limit(0)).collect()}
+    assert len(got) == len(blocks) + 2 and got[9] == (None, "X y") and got[10] == (None, None)
+    assert got[701] == ("running_line", None) and got[710] == ("page_number", None) and got[706] == ("misread", "the service was good")
+    assert got[707] == ("broken_word", f"last {own(7)} service identific") and got[703] == (None, "the service was good and the service was identification of service")
+
+
 def test_running_lines_shared_by_many_tasks(spark):
     say = lambda i: " ".join("abcdefghij"[int(c)] * 3 for c in str(1000 + i * 37))
     pages = []
@@ -104,6 +116,14 @@ def test_same_looking(spark):
     assert [r[0] for r in forms.same_looking_blocks(blocks, layers).collect()] == [1]
 
 
+def test_forms_of_blocks_and_layers(spark):
+    blocks = spark.createDataFrame([(1, 1, 1, "Рrice"), (2, 1, 2, None)], "block_id long, page_id long, line_no int, text string")
+    layers = spark.createDataFrame([(1, "Ｐrice\n\nEnd  of"), (2, None)], "page_id long, text string")
+    rows = {(r["src"], r["block_id"], r["page_id"], r["line_no"]): (r["form"], r["folded"]) for r in forms.consistent_lines(blocks, layers).collect()}
+    assert rows == {("ocr_blocks", 1, 1, 1): ("Price", "price"), ("ocr_blocks", 2, 1, 2): (None, None), ("text_layers", None, 1, 1): ("Price", "price"),
+                    ("text_layers", None, 1, 2): ("", ""), ("text_layers", None, 1, 3): ("End of", "end of"), ("text_layers", None, 2, None): (None, None)}
+
+
 # --- 4 ---
 
 
