@@ -263,7 +263,8 @@ def _parts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     heads_of = lines.where("is_head")
     page_counts = heads_of.where("task_id is not null").groupBy("task_id").agg(F.count_distinct("page_index").alias("n_pages"))
     held = lines.where("place >= 0 and task_id is not null").where(F.col("skeleton").rlike(r"[\p{L}\p{N}]"))
-    by_task = held.groupBy("task_id", "skeleton").agg(F.count_distinct("page_index").alias("n"), F.count("*").alias("rows"), F.count("outer").alias("second"), F.mode("outer").alias("outer"), F.count("label").alias("labelled"), F.count_distinct("label").alias("labels"))
+    # one exchange of the edge lines, then everything about a skeleton of a task in one pass
+    by_task = held.select("task_id", "skeleton", "page_index", "outer", "label").repartition("task_id", "skeleton").groupBy("task_id", "skeleton").agg(F.size(F.collect_set("page_index")).alias("n"), F.count("*").alias("rows"), F.count("outer").alias("second"), F.mode("outer").alias("outer"), F.count("label").alias("labelled"), F.size(F.collect_set("label")).alias("labels"))
     printed_form = (F.col("labelled") >= LABELLED * F.col("rows")) & (F.col("labels") <= F.greatest(F.lit(1.0), LABELS * F.col("rows")))
     enough = keep(by_task.where("n >= 2").where(~printed_form).join(page_counts, "task_id").where(F.col("n") >= EDGE_SHARE * F.col("n_pages")).select("task_id", "skeleton", "outer", (F.col("second") * 2 > F.col("rows")).alias("is_second")))
     firsts_of = enough.where("not is_second").select("task_id", "skeleton")
