@@ -40,14 +40,25 @@ STROKES = "‐‑‒−˗➖﹣－⁃"
 BLANKS = "⠀ㅤﾠᅟᅠ"
 
 
-def _ignorable() -> str:
-    """Regex class of the characters without width: format characters and the default-ignorable ranges."""
+def _ignorable() -> frozenset[str]:
+    """The characters without width: format characters and the default-ignorable ranges."""
     spans = [(0x34F, 0x34F), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x2060, 0x206F), (0xFE00, 0xFE0F), (0xFFF0, 0xFFF8), (0xE0000, 0xE0FFF)]
     chars = [c for c in range(0x30000) if unicodedata.category(chr(c)) == "Cf" or unicodedata.category(chr(c)) == "Cc" and not chr(c).isspace()]
-    return "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in spans) + "".join(re.escape(chr(c)) for c in chars) + "]"
+    return frozenset(map(chr, [*chars, *(c for a, b in spans for c in range(a, b + 1))]))
 
 
-_IGNORED = re.compile(_ignorable())
+IGNORED = _ignorable()
+#: Characters outside the ranges in which texts are written and nothing is without width; only these are looked up.
+_ODD = re.compile("[^ -~\u3000-\ufdff\xa1-\xac\xae-\u034e\u2010-\u2027\u2030-\u205e\uff00-\uffef\n]")
+
+
+def _seen(m: re.Match) -> str:
+    return "" if m[0] in IGNORED else m[0]
+
+
+def shown(text: str) -> str:
+    """A text without its characters that have no width."""
+    return _ODD.sub(_seen, text)
 _MAP = {**LOOKALIKES, **dict.fromkeys(STROKES, "-"), **dict.fromkeys(BLANKS, " ")}
 _MAPPED = re.compile("[" + "".join(map(re.escape, _MAP)) + "]")
 
@@ -59,12 +70,12 @@ def canonical_text(text: str | None, fold: bool = False) -> str | None:
     if text.isascii():
         text = " ".join(text.split())
         if not text.isprintable():
-            text = " ".join(_IGNORED.sub("", text).split())
+            text = " ".join(shown(text).split())
         return text.lower() if fold else text
-    shown = _IGNORED.sub("", text)
-    text = unicodedata.normalize("NFKD", shown)
-    if text != shown:
-        text = _IGNORED.sub("", text)
+    kept = shown(text)
+    text = unicodedata.normalize("NFKD", kept)
+    if text != kept:
+        text = shown(text)
     text = unicodedata.normalize("NFC", _MAPPED.sub(lambda m: _MAP[m[0]], text))
     text = " ".join(text.split())
     return unicodedata.normalize("NFC", text.casefold()) if fold else text
@@ -84,9 +95,9 @@ def canonical_with_map(text: str) -> tuple[str, list[int], list[int]]:
     i, n = 0, len(text)
     while i < n:
         j = k = i + 1
-        while k < n and (unicodedata.combining(text[k]) or "\u1161" <= text[k] <= "\u11ff" or _IGNORED.match(text[k])):
+        while k < n and (unicodedata.combining(text[k]) or "\u1161" <= text[k] <= "\u11ff" or text[k] in IGNORED):
             k += 1
-            if not _IGNORED.match(text[k - 1]):  # marks, and letters that join the one before, with invisible characters between
+            if text[k - 1] not in IGNORED:  # marks, and letters that join the one before, with invisible characters between
                 j = k
         for c in text[i] if text[i].isascii() and text[i].isprintable() and j == i + 1 else canonical_text(f"\ue000{text[i:j]}\ue000")[1:-1]:
             if c == " " and (not out or out[-1] == " "):

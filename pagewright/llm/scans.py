@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..session import keep
-from .forms import _IGNORED, canonical_lines, canonical_text
+from .forms import IGNORED, canonical_lines, canonical_text
 
 # What was read, and what may have been printed.  Digits are written 0 in the words that are counted.
 CONFUSIONS_LATIN = {
@@ -145,7 +145,7 @@ def _page(text: str) -> list[tuple[str, bool, list[str], list[str]]]:
         if not (f and (f[-1] in _MARKS or "­" in r[-8:])):
             marks.append(False)
             continue
-        end = "".join(c for c in r[-12:] if c == "­" or not _IGNORED.match(c)).rstrip()
+        end = "".join(c for c in r[-12:] if c == "­" or c not in IGNORED).rstrip()
         marks.append(bool(f) and len(end) > 1 and end[-1] in _MARKS and (end[-2].isalpha()))
     out = []
     for i, f in enumerate(forms):
