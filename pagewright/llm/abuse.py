@@ -4,7 +4,7 @@ Voters are word lists and patterns for three languages; each votes for one kind,
 look at a segment (a line's sentence) in a plain view in which disguises are undone: look-alikes, full-width
 forms, invisible characters, digits and signs for letters, stretched letters, letters set apart, masked letters.
 The votes of all segments of all documents are counted by pattern of votes (at most 2^voters patterns a kind).
-A generative model of the votes is fitted to these counts by expectation maximisation: how often each voter votes
+A generative model of the votes is fitted to the counts of different segments by expectation maximisation: how often each voter votes
 in segments of the kind and in others, and how far two voters go together beyond that; voters that repeat each other share their weight.
 Its posterior labels train a linear classifier over the segment's character runs and votes,
 on a bounded sample (``SAMPLE`` segments, documented parameter, chosen by hash); counts, votes and scores cover all segments.
@@ -22,11 +22,10 @@ import math
 import re
 import re._constants as sre
 import re._parser as sre_parser
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,9 +34,11 @@ from ..session import keep
 from .forms import canonical_text
 
 KINDS = ("abuse", "hate", "sexual")
-#: Segments that the classifier is fitted on: those with votes, and as many without, at most.
+#: About so many segments the classifier is fitted on: half of them with votes, half without (documented bound of the fit).
 SAMPLE = 20_000
 THRESHOLD = 0.5
+#: The label model's starting rates weigh as much as so many segments; beyond that the votes decide.
+PSEUDO_COUNTS = 10.0
 _BUCKETS = 1 << 18
 
 # Word lists.
@@ -78,12 +79,20 @@ def plain(s: str) -> str:
     if _APART_HINT.search(s):
         s = _APART.sub(_together, s)
     s = _LEET_IN.sub(_unleet, s)
-    s = _STRETCHED.sub(r"\1", s)
+    if _has_stretch(s):
+        s = _STRETCHED.sub(r"\1", s)
     if "*" in s or "#" in s or "_" in s:
         s = _MASKED.sub(_unmask, _MASK_ZH.sub(_unmask_zh, s))
     return s
 
 
+def _has_stretch(s: str) -> bool:
+    """Whether a letter stands three times in a row."""
+    points = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    same = points[1:] == points[:-1]
+    return any(s[i].isalpha() for i in np.flatnonzero(same[1:] & same[:-1]).tolist())
+
+
 def _together(m: re.Match) -> str:
     """Letters set apart as one word; an article before it stays a word of its own."""
     word = re.sub(r"[^\w]|_", "", m[0])
@@ -122,11 +131,11 @@ def _unmask(m: re.Match) -> str:
 
 
 def _words(words: list[str]) -> str:
-    """Alternatives for the words, also with their doubled letters once (as stretched words come out)."""
-    return "|".join(sorted({re.escape(x) for w in words for x in (w, re.sub(r"(.)\1", r"\1", w))}, key=len, reverse=True))
+    """Alternatives for the words, also with their doubled letters once (as stretched words come out) where that leaves a word of some length."""
+    return "|".join(sorted({re.escape(x) for w in words for x in (w, re.sub(r"(.)\1", r"\1", w)) if x == w or len(x) > 3}, key=len, reverse=True))
 
 
-_W = r"(?<![^\W_])(?:{})(?![^\W_])"
+_W = r"(?<![^\W_])(?:{})(?![^\W_]|-$)"
 _INSULT = _W.format(_words(INSULTS)) + "|" + "(?:" + "|".join(INSULTS_ZH) + ")(?!桶|袋|箱|分类|回收|邮件|清运|处理)"
 _GROUP = r"(?:the|those|these|all|any|every one of those|die|diese|dieser|alle|keine) (?:\w+ )?\w{4,}(?:s|i|sh|en|er|ans|ier|ians|ese|e)\b|[一-鿿]{2,4}?(?:人|族)(?=都|全|就|没|是|天生|也|,|里|们)"
 
@@ -136,13 +145,13 @@ VOTERS: list[tuple[str, str, re.Pattern]] = [
     for name, kind, pattern in [
         ("insult", "abuse", _INSULT),
         ("insult-you", "abuse", rf"(?:you|your|du|dich|dir|ihr|sie|你|你们|叫那个|这个|这种|那个|only an?|nur ein|what kind of|was für ein|只有).{{0,24}}(?:{_INSULT})|(?:{_INSULT}).{{0,16}}(?:you\b|\bdu\b|东西|你)"),
-        ("threat", "abuse", r"(?:break|smash|bash|kick) (?:your|his|her|their)|(?:kill|murder|hurt|beat|stab|strangle|shoot) (?:you|him|her|them)\b|know where (?:you|he|she|they) lives?|watch your back|(?:you|he|she|they)(?:'ll| will| are going to) (?:regret|pay|be sorry)|make (?:you|him|her) (?:pay|suffer)|(?:schlag|brech|tret|hau)e? (?:dir|dich|ihm|ihr|euch)|bring(?:e)? (?:dich|ihn|sie|euch) um|mach(?:e)? (?:dich|ihn|sie|euch) (?:fertig|kalt)|wei(?:ß|ss) (?:\w+ )?wo (?:du|er|sie|ihr|der|die)|打断你|弄死|杀了你|打死你|知道[他她你]住|砍死|揍你|要你的命|让你好看|小心点"),
-        ("dismiss", "abuse", r"drop dead|go to hell|shut up|shut your|get lost|piss off|fuck (?:you|off)|screw you|burn in hell|halt (?:die fresse|den mund|dein maul|die klappe)|halts maul|fahr zur hölle|verpiss dich|verschwinde|leck mich|滚蛋|滚开|滚出|去死|闭嘴|见鬼去|给我滚"),
+        ("threat", "abuse", r"(?:break|smash|bash|kick) (?:your|his|her|their)|(?:kill|murder|hurt|beat|stab|strangle|shoot) (?:you|him|her|them)\b|know where (?:you|he|she|they) lives?|watch your back|(?:you|he|she|they)(?:'ll| will| are going to) (?:regret|pay|be sorry)|make (?:you|him|her) (?:pay|suffer)|(?:schlag|brech|tret|hau)e? (?:dir|dich|ihm|ihr|euch)|bring(?:e)? (?:dich|ihn|sie|euch) um|mach(?:e)? (?:dich|ihn|sie|euch) (?:fertig|kalt)|wei(?:ß|ss) (?:\w+ )?wo (?:du|er|sie|ihr|der|die)|打断你|弄死|杀了你|打死你|知道[他她你]住|砍死|揍你|要你的命|让你好看|小心点|hope (?:you|he|she|they|you all) (?:die|choke|rot|burn|suffer|bleed)|die in a fire|end up in (?:hospital|a ditch|a coffin)|hoffe,? (?:du|ihr|er|sie) (?:stirbst|krepier|verreck|sterbt|stirbt)|krepier|verreck|不得好死|弄死你|宰了你"),
+        ("dismiss", "abuse", r"drop dead|go to hell|shut up|shut your|get lost|piss off|fuck (?:you|off)|screw you|burn in hell|halt (?:die fresse|den mund|dein maul|die klappe)|halts maul|fahr zur hölle|verpiss dich|verschwinde|leck mich|滚蛋|滚开|滚出|去死|闭嘴|见鬼去|给我滚|nobody (?:likes|wants|needs|loves) (?:you|him|her|them)\b|(?:you are|you're|he is|she is) (?:such )?an? (?:\w+ ){0,2}(?:clown|joke|disgrace|coward|creep|freak|waste of space|nobody|parasite|liar|failure)\b|(?:du bist|ihr seid) (?:\w+ ){0,3}(?:clown|feigling|lügner|nichtsnutz|abschaum|niete|schande|witzfigur)|keiner mag dich|niemand mag dich|没人喜欢你|丢人现眼|不是人"),
         ("curse", "abuse", r"\b(?:damn|bloody|fucking|filthy|pathetic|disgusting|brainless|stupid|worthless|useless|verdammte\w*|dreckige\w*|blöde\w*|dumme\w*|erbärmliche\w*|hirnlose\w*|beschissene\w*|dämliche\w*|verfluchte\w*|widerliche\w*)\b|脑子进水|没脑子|瞎了|不要脸|他妈"),
         ("scorn", "hate", _W.format(_words(SCORN_EN + SCORN_DE)) + "|" + "|".join(SCORN_ZH)),
         ("scorn-group", "hate", rf"(?:{_GROUP}).{{0,40}}(?:{_W.format(_words(SCORN_EN + SCORN_DE))}|{'|'.join(SCORN_ZH)})|(?:{_W.format(_words(SCORN_EN + SCORN_DE))}).{{0,30}}(?:{_GROUP})"),
         ("drive-out", "hate", r"driven? (?:them )?out|crawl back|go back (?:to )?where|where (?:they|you) came from|keep (?:them|those|these) (?:\w+ )?(?:off|out|away)|(?:do not|don't|never|nobody should) (?:hire|serve|trust|employ|rent to)|not welcome here|send them (?:back|home)|get rid of (?:them|these|those)|赶出去|滚回|不要雇|别雇|不许进|不接待|没有一个好东西|全部赶|天生就是|stellt .{0,12}kein|rauswerfen|vertreiben|raus aus|zurück (?:in|nach|wo|dahin)|gehören? (?:raus|vertrieben|fort|weg)|hinaus|bedienen (?:wir )?(?:hier )?(?:nicht|keine)|keine \w+ einstellen|verjag"),
-        ("only-good", "hate", r"only good \w+|people like (?:the|those)|breeds? like|that (?:lot|kind|sort)\b|by nature|in their blood|von natur aus|leute wie die|einzig guten?|dieses (?:pack|gesindel|volk|ungeziefer)|sind alle\b|are all\b|all of them are|人都是|族都是|人全是|族全是|人就"),
+        ("only-good", "hate", r"only good \w+|people like (?:the|those)|breeds? like|that (?:lot|kind|sort)\b|by nature|in their blood|von natur aus|leute wie die|einzig guten?|dieses (?:pack|gesindel|volk|ungeziefer)|sind alle\b|are all\b|all of them are|人都是|族都是|人全是|族全是|人就|(?:those|these|the|all|diese|die|alle) (?:\w+ )?\w{4,} (?:are|sind) (?:\w+ ){0,3}(?:animals|dogs|beasts|monkeys|apes|subhumans|a disease|a plague|tiere|hunde|affen|bestien)\b|[人族](?:都|全)?是(?:畜生|动物|猴子|狗)"),
         ("explicit", "sexual", _W.format(_words(SEXUAL)) + "|" + "|".join(SEXUAL_ZH)),
         ("explicit-media", "sexual", r"(?:nude|naked|adult|sex|porn|erotic) ?(?:pictures?|photos?|selfies?|videos?|pics?|clips?|chat|shows?)|private shows?|nackt\w+|sex(?:videos?|bilder|fotos|chat|clips?)|裸聊|裸照|色情视频|成人视频|激情服务|激情视频"),
         ("desire", "sexual", r"horny|lonely and|think(?:ing)? about you|want you (?:undressed|naked|with nothing on)|have sex|(?:let us|lets|let's|want to|wanna) (?:fuck|screw)|with nothing on|in my (?:bed|room)|see you naked|call me tonight|heute nacht (?:\w+ )?(?:nackt|unbekleidet|ausgezogen|ohne)|nackt sehen|ohne kleid|will dich|mit dir (?:schlafen|ins bett|sex)|寂寞难耐|看你(?:裸体|脱光|一丝不挂|光)|来我房间|今晚就约|想和你|陪我"),
@@ -277,7 +286,7 @@ class LabelModel:
             if any(row[j] for j, i in enumerate(self.voters) if VOTERS[i][1] == kind):
                 merged[row] = merged.get(row, 0.0) + n
         self.x = np.array(list(merged) or [[0] * len(self.voters)], dtype=float)
-        self.n = np.sqrt(np.array(list(merged.values()) or [0.0]))  # so that a frequent plain mention does not outweigh all else
+        self.n = np.array(list(merged.values()) or [0.0])
         positive = np.array([VOTERS[i][1] == kind for i in self.voters])
         # start and prior: a voter for the kind votes in half of such segments and hardly in others, a weak one in half of these, too
         self.prior = 0.5
@@ -285,10 +294,10 @@ class LabelModel:
         start_1, start_0 = np.where(positive, np.where(weak, 0.75, 0.5), 0.03), np.where(positive, np.where(weak, 0.5, 0.06), 0.4)
         self.rate_1, self.rate_0 = start_1.copy(), start_0.copy()
         self.tie = np.zeros((len(self.voters), len(self.voters)))
-        weight = 30.0  # pseudo-counts of the prior
+        weight = PSEUDO_COUNTS
         for _ in range(rounds):
             p = self.posterior(self.x)
-            self.prior = float(np.clip((self.n @ p + weight / 2) / (self.n.sum() + weight), 0.1, 0.9))
+            self.prior = float(np.clip((self.n @ p + weight / 2) / (self.n.sum() + weight), 0.02, 0.98))
             self.rate_1 = np.clip(((self.n * p) @ self.x + weight * start_1) / ((self.n * p).sum() + weight), 0.01, 0.99)
             self.rate_0 = np.clip(((self.n * (1 - p)) @ self.x + weight * start_0) / ((self.n * (1 - p)).sum() + weight), 0.01, 0.99)
             self.tie = self._ties(p)
@@ -297,7 +306,7 @@ class LabelModel:
         total = np.zeros_like(self.tie)
         for w, rate in ((self.n * p, self.rate_1), (self.n * (1 - p), self.rate_0)):
             d = self.x - rate
-            c = (d * w[:, None]).T @ d / (w.sum() + 30.0)
+            c = (d * w[:, None]).T @ d / (w.sum() + PSEUDO_COUNTS)
             s = np.sqrt(np.maximum(rate * (1 - rate), 1e-3))
             total += np.clip(c / np.outer(s, s), 0, 1) / 2
         np.fill_diagonal(total, 0)
@@ -381,27 +390,25 @@ def fit_linear(parts: list[str], bits: list[int], targets: np.ndarray, rounds: i
     return w
 
 
-_VOTED = "bits long, n long, sample array<struct<h long, segment string>>"
-_KEPT_A_BATCH = 400
+_VOTED = T.StructType([T.StructField("parts", T.ArrayType(T.StringType())), T.StructField("bits", T.ArrayType(T.IntegerType()))])
+
 
+def voted_segments(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(``key``, parts, bits): the segments of every document and their votes, written once; fitting and scoring read them.
+
+    Null, empty and blank texts have no segments; no row is left out."""
+    kind = docs.schema[key].dataType
+    names = [key, "parts", "bits"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every = [segments(t) for t in batch.column(1).to_pylist()]
+            ends = np.cumsum([0, *map(len, every)], dtype=np.int64).astype(np.int32)
+            parts = pa.ListArray.from_arrays(pa.array(ends), pa.array([s for own in every for s in own], pa.string()))
+            bits = pa.ListArray.from_arrays(pa.array(ends), pa.array([b for own in every for b in votes(own)], pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), parts, bits], names=names)
 
-def _votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of vote patterns of each batch, and the segments of lowest hash, for the sample."""
-    for batch in batches:
-        count: dict[int, int] = {}
-        some: dict[bool, list[tuple[int, int, str]]] = {True: [], False: []}
-        for text in batch["text"]:
-            parts = segments(text)
-            for s, bits in zip(parts, votes(parts)):
-                count[bits] = count.get(bits, 0) + 1
-                if bits or (len(s) * 31 + ord(s[0]) + ord(s[-1])) % 16 == 0:
-                    some[bits != 0].append((zlib.crc32(s.encode(), 1), bits, s))
-        chosen: dict[int, list] = {}
-        for part in some.values():
-            part.sort()
-            for h, bits, s in part[:_KEPT_A_BATCH]:
-                chosen.setdefault(bits, []).append({"h": h, "segment": s})
-        yield pd.DataFrame({"bits": list(count), "n": list(count.values()), "sample": [chosen.get(b, []) for b in count]})
+    return keep(docs.select(key, F.col(text).cast("string").alias(text)).mapInArrow(run, T.StructType([T.StructField(key, kind), *_VOTED.fields])))
 
 
 class Scorer:
@@ -414,48 +421,72 @@ class Scorer:
         self.weights = fit_linear([s for _, s in sample], [b for b, _ in sample], targets)
 
 
-def document_scores(texts: list[str | None], weights: dict[str, np.ndarray]) -> np.ndarray:
-    """The highest segment score of each text for each kind."""
-    parts: list[str] = []
-    bits: list[int] = []
-    at: list[int] = []
-    for t in texts:
-        own = segments(t)
-        at.append(len(parts))
-        parts += own
-        bits += votes(own)
-    best = np.zeros((len(texts), len(KINDS)))
+def document_scores(every: list[list[str]], bits: list[int], weights: dict[str, np.ndarray]) -> np.ndarray:
+    """The highest segment score for each kind of each document's segments; ``bits`` are the votes of all of them, one after another."""
+    best = np.zeros((len(every), len(KINDS)))
+    parts = [s for own in every for s in own]
     if parts:
         p = linear_scores(parts, bits, weights)
-        filled = [i for i in range(len(texts)) if (at[i + 1] if i + 1 < len(at) else len(parts)) > at[i]]
-        best[filled] = np.maximum.reduceat(p, [at[i] for i in filled], axis=0)
+        sizes = np.fromiter(map(len, every), dtype=np.int64, count=len(every))
+        best[sizes > 0] = np.maximum.reduceat(p, (np.cumsum(sizes) - sizes)[sizes > 0], axis=0)
     return best
 
 
-def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Scorer:
-    """Votes over all documents; label models from the counts; the classifier from at most ``sample`` segments."""
-    voted = keep(docs.where(f"`{text}` is not null").select(F.col(text).alias("text")).mapInPandas(_votes, _VOTED))
-    patterns = {r["bits"]: r["n"] for r in voted.groupBy("bits").agg(F.sum("n").alias("n")).collect()}
-    rows = voted.select("bits", F.explode("sample").alias("s")).select("bits", "s.h", "s.segment").distinct()
-    part = lambda df: [(r["bits"], r["segment"]) for r in df.orderBy("h", "segment").limit(sample // 2).collect()]
-    return Scorer(patterns, part(rows.where("bits <> 0")) + part(rows.where("bits = 0")))
+def _each(voted: DataFrame) -> DataFrame:
+    """(bits, segment) of every segment."""
+    return voted.select(F.explode(F.arrays_zip("bits", "parts")).alias("s")).select("s.bits", F.col("s.parts").alias("segment"))
+
+
+def vote_patterns(voted: DataFrame) -> DataFrame:
+    """(bits, n, n_distinct) of every pattern of votes: its segments and, where there is a vote, its different segments, so that a passage
+    that is copied over many documents counts as one piece of evidence.  Voteless segments are not told apart (n_distinct is about right for them)."""
+    every = _each(voted)
+    some = every.where("bits <> 0").groupBy("bits", "segment").agg(F.count("*").alias("n")).groupBy("bits").agg(F.sum("n").alias("n"), F.count("*").alias("n_distinct"))
+    return some.unionByName(every.where("bits = 0").groupBy("bits").agg(F.count("*").alias("n"), F.approx_count_distinct("segment").alias("n_distinct")))
+
+
+def fit(voted: DataFrame, sample: int = SAMPLE) -> Scorer:
+    """Label models from the counts over all documents; the classifier from a sample of about ``sample`` different segments: half of them with votes,
+    half without, each half those whose hash is below the rate that its count of different segments gives."""
+    rows = vote_patterns(voted).collect()  # one row for each pattern of votes
+    distinct = {True: sum(r["n_distinct"] for r in rows if r["bits"]), False: sum(r["n_distinct"] for r in rows if not r["bits"])}
+    rate = lambda some: F.lit(int((1 << 31) * min(1.0, sample / 2 / max(1, distinct[some]))))
+    below = F.pmod(F.xxhash64("segment"), F.lit(1 << 31)) < F.when(F.col("bits") != 0, rate(True)).otherwise(rate(False))
+    chosen = sorted((r["bits"], r["segment"]) for r in _each(voted).where(below).distinct().collect())
+    return Scorer({r["bits"]: r["n_distinct"] for r in rows}, chosen)
 
 
 def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", scorer: Scorer | None = None) -> DataFrame:
     """``key`` and a score in 0..1 for each kind, for every row; null and blank texts score 0."""
-    scorer = scorer or fit(docs, text)
+    voted = voted_segments(docs, key, text)
+    scorer = scorer or fit(voted)
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType)] + [T.StructField(k, T.DoubleType(), False) for k in KINDS])
     model = docs.sparkSession.sparkContext.broadcast(scorer.weights)  # bounded by the number of buckets
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, len(batch), 256):  # bounds the arrays of a step
-                part = batch.iloc[a : a + 256]
-                out = pd.DataFrame(document_scores([t if isinstance(t, str) else None for t in part[text]], model.value), columns=list(KINDS))
-                out.insert(0, key, part[key].array)
-                yield out
-
-    return docs.select(key, text).mapInPandas(run, schema)
+            for a in range(0, batch.num_rows, 256):  # bounds the arrays of a step
+                part = batch.slice(a, 256)
+                best = document_scores(part.column(1).to_pylist(), part.column(2).flatten().to_pylist(), model.value)
+                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, best.T)], names=schema.names)
+
+    return voted.mapInArrow(run, schema)
+
+
+def voter_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """For each voter: the segments it votes on, those of them that another voter for a kind votes on, too, and the rates that its kind's label model
+    estimates for it (votes in segments of the kind, votes in others; null for voters against all kinds)."""
+    rows = vote_patterns(voted_segments(docs, key, text)).collect()  # one row for each pattern of votes
+    models = {k: LabelModel(k, {r["bits"]: r["n_distinct"] for r in rows}) for k in KINDS}
+    out = []
+    for i, (name, kind, _) in enumerate(VOTERS):
+        own = [r for r in rows if r["bits"] >> i & 1]
+        rates = (None, None)
+        if kind:
+            at = models[kind].voters.index(i)
+            rates = float(models[kind].rate_1[at]), float(models[kind].rate_0[at])
+        out.append((name, kind, sum(r["n"] for r in own), sum(r["n"] for r in own if r["bits"] & _FOR & ~(1 << i)), *rates))
+    return docs.sparkSession.createDataFrame(out, "voter string, kind string, segments long, overlapping long, rate_in_kind double, rate_elsewhere double")
 
 
 def found_kinds(scored: DataFrame, key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:

@@ -87,6 +87,10 @@ def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abuse.scores(_table(spark, sf_dir, "documents"))
 
 
+def p8_voters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.voter_report(_table(spark, sf_dir, "documents"))
+
+
 def p8_source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     return abuse.source_rates(documents, abuse.scores(documents))

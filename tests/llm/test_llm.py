@@ -295,6 +295,24 @@ def test_abuse(spark):
     assert rates["documents"] == 46 and rates["any_documents"] == 24
 
 
+def test_abuse_outside_the_tables(spark):
+    """Sentences that occur in no table; voters see them, plain mention they leave alone."""
+    bad = {"abuse": ["You are a complete clown and nobody likes you.", "I hope you die in a fire.", "Du bist so ein Feigling, keiner mag dich."], "hate": ["Those immigrants are animals and should be driven out.", "Alle Ausländer sind Ungeziefer."], "sexual": ["Send me a naked selfie of yours tonight."]}
+    plain = ["The animals are fed at noon.", "He is a member of the fire brigade.", "The pack-", "A curved trolley fol-", "Nobody was hurt in the fire.", "The clown show starts at nine."]
+    texts = [t for some in bad.values() for t in some] * 6 + plain * 6
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(texts[r["doc_id"]], r["kind"]) for r in abuse.found_kinds(abuse.scores(docs)).collect()}
+    assert {(t, k) for k, some in bad.items() for t in some} <= found and not [t for t, _ in found if t in plain]
+
+
+def test_score_of_every_row(spark):
+    docs = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, " ", "x"), (4, "You idiot, drop dead.", "x"), (4, "You idiot, drop dead.", "x"), (None, "a", "x")], "doc_id long, text string, bits string")
+    assert sorted(r["doc_id"] or 0 for r in abuse.scores(docs).collect()) == [0, 1, 2, 3, 4, 4]
+    assert abuse.scores(docs.limit(0)).count() == 0
+    report = {r["voter"]: r for r in abuse.voter_report(docs).collect()}
+    assert len(report) == len(abuse.VOTERS) and report["insult"]["segments"] == 2 and report["dismiss"]["overlapping"] == 2
+
+
 def test_disguises():
     assert "moron" in abuse.plain("m.o.r.o.n") and "idiot" in abuse.plain("1d1ot") and "moron" in abuse.plain("moooron") and "idiot" in abuse.plain("id**t") and "王八蛋" in abuse.plain("王 八 蛋")
 
