@@ -18,29 +18,33 @@ taken in blocks of ``ITEM_BLOCK``, so their number is not bounded.
 
 from __future__ import annotations
 
+import itertools
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import keep
 from .forms import canonical_text
 
 FEATURES = 1 << 14
-RANK = 64
+RANK = 128
 RUN = 4
 #: One in so many features, chosen by hash, is in the vocabulary; the same ones for documents and items.
 THINNING = 4
 #: The basis is fitted on at most about so many documents, chosen by hash; frequencies, index and search cover all.
-FIT_DOCUMENTS = 20_000
+FIT_DOCUMENTS = 6_000
+#: Tasks that share the fit's documents; each sends one matrix of fixed size.
+FIT_TASKS = 16
 #: Characters of half a passage, for texts in Chinese and in other scripts; passages are two halves and overlap by one.
 HALF_HAN, HALF_OTHER = 32, 80
-COSINE = 0.45
+COSINE = 0.42
 COVERED = 0.4
 #: Shortest run of characters that counts as common, in Chinese and in other scripts.
 SEED_HAN, SEED_OTHER = 5, 10
@@ -53,7 +57,13 @@ SCRAP_HAN, SCRAP_OTHER, DENSE = 12, 32, 0.5
 GAP_ITEM, GAP_DOC, SLIPS = 40, 60, 0.7
 #: At most so many characters before and after a chain are added to it: what a slip at the end of a copy cuts off, shorter than a seed.
 EDGE = SEED_OTHER
+#: Characters of the texts that are taken side by side.
+TOGETHER = 400_000
+#: Runs of the pairs that are chained side by side, at most so many unless one pair has more.
+TABLE = 1 << 18
 ITEM_BLOCK = 2000
+#: A last sentence that so many items share is a standing question.
+STANDING = 3
 
 _NOISE = re.compile(r"[\W_]+")
 _HAN = re.compile(r"[一-鿿]")
@@ -66,7 +76,7 @@ def squeeze(text: str | None) -> str:
 
 
 def _is_han(s: str) -> bool:
-    return len(_HAN.findall(s[:400])) * 3 > min(len(s), 400)
+    return len(_HAN.findall(s)) * 3 > len(s)
 
 
 def _hashes(points: np.ndarray, run: int) -> np.ndarray:
@@ -94,19 +104,32 @@ def _points(s: str) -> np.ndarray:
     return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
+def _stretches(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Consecutive texts of together about ``TOGETHER`` characters, or one longer text."""
+    block = np.cumsum([len(t) for t in texts]) // TOGETHER
+    edges = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(texts)]
+    return zip(edges, edges[1:])
+
+
+def _cells(points: np.ndarray) -> np.ndarray:
+    """Number of the half passage that each character is in: HALF_HAN Chinese characters fill one, or HALF_OTHER others, or shares of both."""
+    weight = np.where((points >= 0x4E00) & (points <= 0x9FFF), HALF_OTHER, HALF_HAN)
+    return (np.cumsum(weight) - weight) // (HALF_HAN * HALF_OTHER)
+
+
 def halves(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(features of all texts one after another, start of each half passage in them, text of each half passage); halves without a feature are left out."""
     sizes = np.array([len(s) for s in texts], dtype=np.int64)
     whole = "".join(texts)
     if not whole:
         return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at, features = _buckets(_points(whole))
+    points = _points(whole)
+    at, features = _buckets(points)
     ends = np.cumsum(sizes)
     owner = np.searchsorted(ends, at, side="right")
     inside = at + RUN <= ends[owner]  # no run over the border of two texts
     at, features, owner = at[inside], features[inside], owner[inside]
-    half = np.array([HALF_HAN if _is_han(s) else HALF_OTHER for s in texts])
-    cell = (at - (ends - sizes)[owner]) // half[owner]
+    cell = np.concatenate([_cells(points[e - n : e]) for e, n in zip(ends, sizes)])[at]
     new = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (cell[1:] != cell[:-1]))) if len(at) else np.zeros(0, np.int64)
     return features, new, owner[new]
 
@@ -119,40 +142,52 @@ def _passages(cell: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return out
 
 
+def _sums(basis: np.ndarray, features: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first half passage, features, sum of their rows for each half passage) in blocks whose rows stay in the processor's cache."""
+    ends = np.append(starts, len(features))
+    for a in range(0, len(starts), 256):
+        b = min(a + 256, len(starts))
+        own = features[ends[a] : ends[b]]
+        yield a, own, np.add.reduceat(basis[own], starts[a:b] - ends[a], axis=0)
+
+
 def _projected(features: np.ndarray, starts: np.ndarray, owner: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """Passages in the space of the (weighted) basis."""
-    return _passages(np.add.reduceat(basis[features], starts, axis=0), owner)
+    return _passages(np.concatenate([y for _, _, y in _sums(basis, features, starts)]), owner)
 
 
-def squeezed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``key`` and the squeezed ``text`` of every document with one, written once and read by all later passes."""
-    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField(text, T.StringType())])
+def squeezed(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, tuple[np.ndarray, int]]:
+    """(``key`` and the squeezed ``text`` of every document with one, written once and read by all later passes; (documents that hold each
+    feature, number of documents), counted over all of them in the same pass)."""
+    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField(text, T.StringType()), T.StructField("counts", T.BinaryType())])
+    names = schema.names
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(FEATURES + 1, dtype=np.int64)
         for batch in batches:
-            yield pd.DataFrame({key: batch[key], text: [squeeze(t) for t in batch[text]]})
-
-    return keep(docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, text).mapInPandas(run, schema).where(F.col(text) != ""))
-
+            texts = [squeeze(t) for t in batch.column(1).to_pylist()]
+            for s in texts:
+                if len(s) >= RUN:
+                    held = np.zeros(FEATURES + 1, dtype=bool)
+                    held[_buckets(_points(s))[1]] = held[-1] = True
+                    df += held
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.nulls(len(texts), pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, batch_type), pa.nulls(1, pa.string()), pa.array([df.tobytes()], pa.binary())], names=names)
 
-def frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, int]:
-    """(documents that hold each feature, number of documents), over all squeezed documents."""
+    batch_type = to_arrow_type(schema[key].dataType)
+    kept = keep(docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, text).mapInArrow(run, schema))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df, n = np.zeros(FEATURES, dtype=np.int64), 0
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(FEATURES + 1, dtype=np.int64)
         for batch in batches:
-            for t in batch[text]:
-                s = t
-                if len(s) >= RUN:
-                    held = np.zeros(FEATURES, dtype=bool)
-                    held[_buckets(_points(s))[1]] = True
-                    df += held
-                    n += 1
-        yield pd.DataFrame({"feature": np.append(np.arange(FEATURES), -1), "n": np.append(df, n)})
+            for part in batch.column(0).to_pylist():
+                total += np.frombuffer(part, dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(FEATURES + 1)), pa.array(total)], names=["feature", "n"])
 
-    rows = docs.where(f"`{text}` is not null").select(text).mapInPandas(count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toPandas()
-    by = dict(zip(rows["feature"], rows["n"]))
-    return np.array([by.get(i, 0) for i in range(FEATURES)]), int(by.get(-1, 0))
+    rows = kept.where("counts is not null").select("counts").mapInArrow(counts, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toPandas()  # one row for each feature
+    df = np.zeros(FEATURES + 1, dtype=np.int64)
+    df[rows["feature"]] = rows["n"]
+    return kept.where("counts is null").where(F.col(text) != "").select(key, text), (df[:FEATURES], int(df[FEATURES]))
 
 
 def _add_share(texts: list[str], weighted: np.ndarray, total: np.ndarray) -> None:
@@ -160,13 +195,14 @@ def _add_share(texts: list[str], weighted: np.ndarray, total: np.ndarray) -> Non
     features, starts, _ = halves(texts)
     if not len(starts):
         return
-    y = np.add.reduceat(weighted[features], starts, axis=0)
-    y /= np.maximum(1e-6, np.linalg.norm(y, axis=1, keepdims=True))
-    at = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(features))))
-    order = np.argsort(features, kind="stable")
-    f = features[order]
-    first = np.flatnonzero(np.append(True, f[1:] != f[:-1]))
-    total[f[first]] += np.add.reduceat(y[at[order]], first, axis=0)
+    sizes = np.diff(np.append(starts, len(features)))
+    for a, own, y in _sums(weighted, features, starts):
+        y /= np.maximum(1e-6, np.linalg.norm(y, axis=1, keepdims=True))
+        at = np.repeat(np.arange(len(y)), sizes[a : a + len(y)])
+        order = np.argsort(own, kind="stable")
+        f = own[order]
+        first = np.flatnonzero(np.append(True, f[1:] != f[:-1]))
+        total[f[first]] += np.add.reduceat(y[at[order]], first, axis=0)
 
 
 def whitened(product: np.ndarray) -> np.ndarray:
@@ -179,7 +215,7 @@ def whitened(product: np.ndarray) -> np.ndarray:
 def latent_basis(docs: DataFrame, idf: np.ndarray, n_docs: int, text: str = "text", rank: int = RANK, rounds: int = 1, seed: int = 11) -> np.ndarray:
     """(features x rank) whitened basis of the leading right singular space of the passages' TF-IDF vectors, by randomised subspace iteration."""
     part_of = max(1, n_docs // FIT_DOCUMENTS)
-    docs = docs.where(F.col(text).isNotNull() & (F.pmod(F.xxhash64(text), F.lit(part_of)) == 0))
+    docs = docs.where(F.col(text).isNotNull() & (F.pmod(F.xxhash64(text), F.lit(part_of)) == 0)).select(text).repartition(FIT_TASKS)  # about FIT_DOCUMENTS rows, however many there are
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((FEATURES, rank)))[0].astype(np.float32)
     rows = 1024  # of a block
     for _ in range(rounds):
@@ -189,8 +225,8 @@ def latent_basis(docs: DataFrame, idf: np.ndarray, n_docs: int, text: str = "tex
             total = np.zeros((FEATURES, rank), dtype=np.float32)
             for batch in batches:
                 texts = batch[text].tolist()
-                for a in range(0, len(texts), 128):
-                    _add_share(texts[a : a + 128], weighted.value, total)
+                for a, b in _stretches(texts):
+                    _add_share(texts[a:b], weighted.value, total)
             for a in range(0, FEATURES, rows):
                 yield pd.DataFrame({"block": [a], "part": [total[a : a + rows].tobytes()]})
 
@@ -206,29 +242,29 @@ def latent_basis(docs: DataFrame, idf: np.ndarray, n_docs: int, text: str = "tex
 
 
 class Item:
-    """An item's squeezed text and its seeds."""
+    """An item's squeezed text; ``body`` is its length without a standing question at the end."""
 
-    __slots__ = ("text", "seed", "at", "body", "item_id")
+    __slots__ = ("text", "seed", "body", "item_id")
 
     def __init__(self, item_id: int, text: str, body: int):
         self.item_id, self.text, self.body = item_id, text, body
         self.seed = SEED_HAN if _is_han(text) else SEED_OTHER
-        self.at: dict[str, list[int]] = {}
-        for i in range(len(text) - self.seed + 1):
-            self.at.setdefault(text[i : i + self.seed], []).append(i)
-
-
-def items_of(rows: list[tuple[int, str | None]]) -> list[Item]:
-    """Items with the length of their text without a standing question at the end (a last sentence that at least three items share)."""
-    lasts = {i: squeeze(_SENTENCE.split(t.strip())[-1]) for i, t in rows if t and t.strip()}
-    shared = Counter(lasts.values())
-    out = []
-    for i, t in rows:
-        s = squeeze(t)
-        if len(s) >= RUN:
-            last = lasts.get(i, "")
-            out.append(Item(i, s, len(s) - len(last) if last and len(last) < len(s) and shared[last] >= 3 else len(s)))
-    return out
+
+
+def with_bodies(items: DataFrame, item_key: str = "item_id", text: str = "text") -> DataFrame:
+    """(item_id, text, body) of every item with a text: squeezed, and the length of its body.  A standing question is a last sentence that at least
+    ``STANDING`` items share, counted over all items."""
+    schema = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("last", T.StringType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            lasts = [next((q for x in reversed(_SENTENCE.split(t)) if (q := squeeze(x))), "") for t in batch[text]]
+            yield pd.DataFrame({"item_id": batch[item_key], "text": [squeeze(t) for t in batch[text]], "last": lasts})
+
+    own = items.where(F.col(item_key).isNotNull() & F.col(text).isNotNull()).select(item_key, text).distinct().mapInPandas(run, schema).where(F.length("text") >= RUN)
+    standing = own.where("last <> ''").groupBy("last").agg(F.count("*").alias("n")).where(F.col("n") >= STANDING).select("last", F.lit(True).alias("stands"))
+    size, last = F.length("text"), F.length("last")
+    return own.join(standing, "last", "left").select("item_id", "text", F.when(F.col("stands") & (last < size), size - last).otherwise(size).alias("body"))
 
 
 def _lcs(a: str, b: str) -> int:
@@ -265,52 +301,30 @@ def _reach_out(item: str, doc: str, i: int, j: int, step: int) -> int:
 
 
 def coverage(doc: str, item: Item) -> tuple[float, float]:
-    """(part of the item that the best chain covers, characters that it covers outside the standing question); slips inside
+    """What ``Seeds.coverages`` gives for one document and one item, without leaving out what is no case."""
+    return next((c for _, _, c in Seeds([item]).coverages([doc], np.zeros((1, 2), dtype=np.int64), 0.0)), (0.0, 0.0))
+
+
+def _common_runs(doc: str, item: Item) -> list[np.ndarray]:
+    """Maximal common runs of a document and an item by their characters: item start, document start, length."""
+    at: dict[str, list[int]] = {}
+    for i in range(len(item.text) - item.seed + 1):
+        at.setdefault(item.text[i : i + item.seed], []).append(i)
+    hits = sorted((j - i, i) for j in range(len(doc) - item.seed + 1) for i in at.get(doc[j : j + item.seed], ()))
+    runs: list[list[int]] = []
+    for d, i in hits:
+        if runs and runs[-1][0] == d and runs[-1][1] + runs[-1][2] - item.seed + 1 == i:
+            runs[-1][2] += 1
+        else:
+            runs.append([d, i, item.seed])
+    table = np.array(runs, dtype=np.int64).reshape(-1, 3)
+    return [table[:, 1], table[:, 0] + table[:, 1], table[:, 2]]
+
+
+def covered_part(doc: str, item: Item, chain: list[tuple[int, int, int]]) -> tuple[float, float]:
+    """(part of the item that the chain covers, characters that it covers outside the standing question); slips inside
     what was copied count as covered, scattered scraps do not."""
-    seed, at = item.seed, item.at
-    runs: list[tuple[int, int, int]] = []  # item start, document start, length: maximal common runs
-    open_runs: dict[int, list[int]] = {}
-    get = at.get
-    for j in range(len(doc) - seed + 1):
-        hits = get(doc[j : j + seed])
-        if hits is None:
-            continue
-        for i in hits:
-            d = j - i
-            r = open_runs.get(d)
-            if r is not None and r[1] + r[2] - seed + 1 == j:
-                r[2] += 1
-            else:
-                if r is not None:
-                    runs.append(tuple(r))
-                open_runs[d] = [i, j, seed]
-    runs += [tuple(r) for r in open_runs.values()]
-    if not runs:
-        return 0.0, 0.0
-    size = len(item.text)
-    runs.sort(key=lambda r: (r[1], r[0]))
-    if len(runs) > 400:  # a very long document: the long runs carry the chain, short ones between them come back as gap fillings
-        keep_len = sorted((r[2] for r in runs), reverse=True)[399]
-        runs = [r for r in runs if r[2] >= keep_len]
-    reach = 2 * size + 200  # pieces further apart than this are not close together
-    best: list[tuple[float, int, int]] = []
-    top, top_i = 0.0, -1
-    for n, (i, j, k) in enumerate(runs):
-        score, back, begin = float(k), -1, j
-        for m in range(n - 1, -1, -1):
-            i2, j2, k2 = runs[m]
-            over = max(0, i2 + k2 - i, j2 + k2 - j)
-            if i2 < i and over < k and j + k - best[m][2] <= reach and best[m][0] + k - over > score:
-                score, back, begin = best[m][0] + k - over, m, best[m][2]
-        best.append((score, back, begin))
-        if score > top:
-            top, top_i = score, n
-    chain = []
-    n = top_i
-    while n >= 0:
-        chain.append(runs[n])
-        n = best[n][1]
-    chain.reverse()
+    size, seed = len(item.text), item.seed
     pieces: list[list[int]] = []  # item start, item end: runs with nothing but slips between them
     filled: list[tuple[int, float]] = []  # paraphrased gaps: item start, characters in common
     stretches: list[tuple[list, list]] = []  # pieces and paraphrased gaps that hang together
@@ -358,15 +372,17 @@ _FOUND = "item_id long, part double"
 
 def leaked(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", cosine: float = COSINE, covered: float = COVERED, with_part: bool = False) -> DataFrame:
     """(``key``, ``item_key``) of every document that holds enough of an item; with ``with_part`` also which part of it."""
-    docs = squeezed(docs, key, text)
-    df, n = frequencies(docs, text)
+    docs, counts = squeezed(docs, key, text)
+    df, n = counts
     idf = np.log((n + 1) / (df + 1.0)).astype(np.float32)
-    basis = latent_basis(docs, idf, n, text)
-    weighted = (basis * idf[:, None]).astype(np.float32)
-    rows = sorted((r[0], r[1]) for r in items.where(F.col(item_key).isNotNull() & F.col(text).isNotNull()).select(item_key, text).distinct().toLocalIterator())
+    weighted = (latent_basis(docs, idf, n, text) * idf[:, None]).astype(np.float32)
+    rows = with_bodies(items, item_key, text).orderBy("item_id", "text").toLocalIterator()
     found = None
-    for a in range(0, max(1, len(rows)), ITEM_BLOCK):
-        part = _search(docs, items_of(rows[a : a + ITEM_BLOCK]), weighted, key, text, cosine, covered)
+    while True:
+        block = [Item(*r) for r in itertools.islice(rows, ITEM_BLOCK)]
+        if not block and found is not None:
+            break
+        part = _search(docs, block, weighted, key, text, cosine, covered)
         found = part if found is None else found.unionByName(part)
     found = found.groupBy(key, "item_id").agg(F.max("part").alias("part")).withColumnRenamed("item_id", item_key)
     return found if with_part else found.select(key, item_key)
@@ -376,122 +392,156 @@ def item_vectors(items: list[Item], weighted: np.ndarray) -> tuple[np.ndarray, n
     """(unit latent vectors of the items' passages, which overlap by a half, item number of each)."""
     vectors, owner = [], []
     for n, item in enumerate(items):
-        half = HALF_HAN if _is_han(item.text) else HALF_OTHER
-        at, f = _buckets(_points(item.text))
-        for s in range(0, max(1, len(item.text) - 2 * half + half), half):
-            inside = (at >= s) & (at < s + 2 * half)
+        points = _points(item.text)
+        at, f = _buckets(points)
+        cell = _cells(points)[at]
+        for c in range(max(1, int(cell[-1]) if len(cell) else 0)):
+            inside = (cell == c) | (cell == c + 1)
             if inside.any():
                 vectors.append(weighted[f[inside]].sum(0))
                 owner.append(n)
     v = np.array(vectors, dtype=np.float32).reshape(-1, weighted.shape[1])
-    return v / np.maximum(1e-6, np.linalg.norm(v, axis=1, keepdims=True)), np.array(owner)
+    return v / np.maximum(1e-6, np.linalg.norm(v, axis=1, keepdims=True)), np.array(owner, dtype=np.int64)
 
 
 class Seeds:
-    """Hashes of all seeds of a block of items, for a quick bound of what a text and an item have in common."""
+    """Hashes of all seeds of a block of items, and with them the alignment of texts and items: common runs, bounds, chains."""
 
     def __init__(self, items: list[Item]):
-        self.size = np.array([len(i.text) for i in items])
-        self.seed = np.array([i.seed for i in items])
+        self.items = items
+        self.size = np.array([len(i.text) for i in items], dtype=np.int64)
+        self.seed = np.array([i.seed for i in items], dtype=np.int64)
+        self.longest = int(self.size.max()) + 1 if items else 1
         self.tables = {}
         for run in (SEED_HAN, SEED_OTHER):
             own = [(k, _hashes(_points(item.text), run)) for k, item in enumerate(items) if item.seed == run]
             if own:
                 h = np.concatenate([x for _, x in own])
-                n = np.concatenate([np.stack([np.full(len(x), k), np.arange(len(x))], axis=1) for k, x in own])
+                item, at = np.concatenate([np.full(len(x), k) for k, x in own]), np.concatenate([np.arange(len(x)) for _, x in own])
                 order = np.argsort(h, kind="stable")
                 held = np.zeros(1 << 20, dtype=bool)
                 held[h & np.uint32((1 << 20) - 1)] = True
-                self.tables[run] = h[order], n[order], held
+                self.tables[run] = h[order], item[order], at[order], held
 
-    def near(self, texts: list[str], pairs: np.ndarray, covered: float) -> np.ndarray:
-        """The pairs (text number, item number) that ``coverage`` may find covered.
-
-        No pair is lost: the bound counts every character of the item in some common seed, in whatever order, every gap between
-        seeds that the alignment could fill (at most GAP_ITEM characters, the seeds' diagonals at most GAP_DOC apart), and
-        the chain's two ends.
-        """
+    def runs(self, texts: list[str], pairs: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(pair, item start, document start, length) of all maximal common runs of at least a seed, by pair, diagonal and item start."""
         wanted = np.unique(pairs[:, 0])
-        number = np.full((len(texts), len(self.size)), -1, dtype=np.int64)
-        number[pairs[:, 0], pairs[:, 1]] = np.arange(len(pairs))
-        hits = []  # (pair, place in the item, place in the texts)
-        whole = "\n".join(texts[i] for i in wanted) + "\n"
-        points = _points(whole)
+        row = np.zeros(len(texts), dtype=np.int64)
+        row[wanted] = np.arange(len(wanted))
+        number = np.full((len(wanted), len(self.items)), -1, dtype=np.int64)
+        number[row[pairs[:, 0]], pairs[:, 1]] = np.arange(len(pairs))
+        points = _points("\n".join(texts[i] for i in wanted) + "\n")
         ends = np.cumsum([len(texts[i]) + 1 for i in wanted])
-        for run, (table, owner, held) in self.tables.items():
+        longest, span = self.longest, len(points) + self.longest + 1
+        if len(pairs) * span * longest >= 1 << 62 and len(texts) > 1:  # too much for one key: half of the texts at a time
+            half = pairs[:, 0] < len(texts) // 2
+            parts = [(at, self.runs(texts, pairs[at])) for at in (np.flatnonzero(half), np.flatnonzero(~half)) if len(at)]
+            return tuple(np.concatenate([at[r[0]] if c == 0 else r[c] for at, r in parts]) for c in range(4))
+        keys = [np.zeros(0, dtype=np.int64)]
+        for run, (table, items, places, held) in self.tables.items():
             h = _hashes(points, run)
             hit = np.flatnonzero(held[h & np.uint32((1 << 20) - 1)])
             own = h[hit]
-            low, high = np.searchsorted(table, own), np.searchsorted(table, own, side="right")
-            n = high - low
-            some = n > 0
-            hit, low, n = np.repeat(hit[some], n[some]), np.repeat(low[some], n[some]), n[some]
-            low = low + np.arange(len(low)) - np.repeat(np.cumsum(n) - n, n)  # each place in the items that has the seed
-            item, at = owner[low].T
-            pair = number[wanted[np.searchsorted(ends, hit, side="right")], item]
-            inside = pair >= 0
-            hits.append(np.stack([pair[inside], at[inside], hit[inside]]))
-        pair, at, place = np.concatenate(hits, axis=1) if hits else np.zeros((3, 0), np.int64)
-        if not len(pair):
-            return pairs[:0]
-        width = int(self.size.max()) + 1
-        run = self.seed[pairs[pair, 1]]
-        end = at + run
+            low = np.searchsorted(table, own)
+            some = table[np.minimum(low, len(table) - 1)] == own
+            hit, low, own = hit[some], low[some], own[some]
+            n = np.searchsorted(table, own, side="right") - low
+            of = np.repeat(np.searchsorted(ends, hit, side="right"), n)
+            low = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))  # each place in the items that has the seed
+            pair = number[of, items[low]]
+            kept = np.flatnonzero(pair >= 0)
+            at = places[low[kept]]
+            keys.append((pair[kept] * span + np.repeat(hit, n)[kept] - at + longest) * longest + at)
+        key = np.sort(np.concatenate(keys))  # the hits of a run follow each other by one
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1] + 1)) if len(key) else np.zeros(0, np.int64)
+        rest, at = np.divmod(key[first], longest)
+        pair, diagonal = np.divmod(rest, span)
+        start = (ends - np.array([len(texts[i]) + 1 for i in wanted], dtype=np.int64))[row[pairs[pair, 0]]] if len(pair) else pair
+        return pair, at, diagonal - longest + at - start, np.diff(np.append(first, len(key))) + self.seed[pairs[pair, 1]] - 1
+
+    def coverages(self, texts: list[str], pairs: np.ndarray, covered: float) -> Iterator[tuple[int, int, tuple[float, float]]]:
+        """(text number, item number, what ``covered_part`` gives) of the pairs that may be covered; no pair that is gets lost.
+
+        The first bound counts every character of the item in some common run, in whatever order, every gap between
+        runs that could be filled (at most GAP_ITEM characters, the runs' diagonals at most GAP_DOC apart), and
+        the chain's two ends; the second one the same along the best chain."""
+        pair, at, place, k = self.runs(texts, pairs)
+        asked = covered * self.size[pairs[:, 1]] - 2 * EDGE - 1e-6
+        width = self.longest
+        end = at + k
         stripe = (place - at + width) // GAP_DOC
-        for shift in (0, 1):  # two hits whose diagonals are at most GAP_DOC apart are in one double stripe
-            group = pair * (len(points) + 2 * width) + (stripe + shift) // 2
-            order = np.argsort(group * width + at)
-            g, a = group[order], at[order]
-            following = np.flatnonzero((g[1:] == g[:-1]) & (a[1:] - a[:-1] - run[order[:-1]] <= GAP_ITEM))
-            end[order[following]] = np.maximum(end[order[following]], a[following + 1])
+        stripes = int(stripe.max(initial=0)) + 2
+        for shift in (0, 1):  # two runs whose diagonals are at most GAP_DOC apart are in one double stripe
+            group = (pair * stripes + (stripe + shift) // 2) * width
+            order = np.argsort(group + at)
+            g = group[order]
+            reached = np.maximum.accumulate(g + at[order] + k[order])
+            following = np.flatnonzero((g[1:] == g[:-1]) & (g[1:] + at[order[1:]] - reached[:-1] <= GAP_ITEM))
+            end[order[following]] = np.maximum(end[order[following]], at[order[following + 1]])
         order = np.argsort(pair * width + at)
-        of, start, end = pair[order], at[order], end[order]
-        before = np.maximum.accumulate(of * 2 * width + end)  # how far the pair's hits up to here reach
+        of, start, stop = pair[order], at[order], end[order]
+        before = np.maximum.accumulate(of * 2 * width + stop)  # how far the pair's runs up to here reach
         reached = np.append(0, before[:-1]) - of * 2 * width
-        common = np.bincount(of, np.maximum(0, end - np.maximum(start, np.maximum(reached, 0))), len(pairs))
-        asked = covered * self.size[pairs[:, 1]] - 2 * EDGE - 1e-6
-        likely = (common > 0) & (common >= asked)
-        inside = likely[pair]
-        pair, at, place, run = pair[inside], at[inside], place[inside], run[inside]
-        likely[likely] = chain_bounds(pair, at, place, run, len(pairs))[likely] >= asked[likely]
-        return pairs[likely]
-
-
-def chain_bounds(pair: np.ndarray, at: np.ndarray, place: np.ndarray, seed: np.ndarray, n_pairs: int) -> np.ndarray:
-    """For each pair the most that any chain of its common runs can cover with every gap filled that the alignment could fill: the
-    same recursion as in ``coverage``, for all pairs side by side, without its limit of reach."""
-    out = np.zeros(n_pairs)
-    if not len(pair):
-        return out
-    width = int(at.max()) + 1
-    order = np.argsort((pair * (int(place.max()) + width + 1) + place - at + width) * width + at)
-    pair, at, place, seed = pair[order], at[order], place[order], seed[order]
-    first = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]) | (at[1:] != at[:-1] + 1) | (place[1:] != place[:-1] + 1)))
-    k = np.diff(np.append(first, len(pair))) + seed[first] - 1
-    pair, i, j = pair[first], at[first], place[first]
-    order = np.lexsort((i, j, pair))
-    pair, i, j, k = pair[order], i[order], j[order], k[order]
-    counts = np.bincount(pair, minlength=n_pairs)
+        common = np.bincount(of, np.maximum(0, stop - np.maximum(start, np.maximum(reached, 0))), len(pairs))
+        likely = ((common > 0) & (common >= asked))[pair]
+        pair, at, place, k = pair[likely], at[likely], place[likely], k[likely]
+        for p, chain in best_chains(pair, at, place, k, 2 * self.size[pairs[:, 1]] + 200, asked):
+            d, i = pairs[p].tolist()
+            doc, item = texts[d], self.items[i]
+            if any(doc[y : y + n] != item.text[x : x + n] for x, y, n in chain):  # two runs of the same hash: by the characters
+                own = _common_runs(doc, item)
+                chain = next((c for _, c in best_chains(np.zeros(len(own[0]), dtype=np.int64), *own, np.array([2 * len(item.text) + 200]), np.zeros(1))), None)
+            if chain:
+                yield d, i, covered_part(doc, item, chain)
+
+
+def best_chains(pair: np.ndarray, at: np.ndarray, place: np.ndarray, size: np.ndarray, reach: np.ndarray, asked: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
+    """For each pair the chain of its runs, in order in item and document, with most characters among those within ``reach`` characters of the
+    document (pieces further apart than that are not close together), if it and all its gaps that could be filled make up what is ``asked``.
+
+    All pairs side by side: those of much the same number of runs make one table."""
+    order = np.lexsort((at, place, pair))
+    pair, i, j, k = pair[order], at[order], place[order], size[order]
+    counts = np.bincount(pair, minlength=len(asked)) if len(pair) else np.zeros(len(asked), dtype=np.int64)
     starts = np.cumsum(counts) - counts
     by_size = np.argsort(counts, kind="stable")
     by_size = by_size[counts[by_size] > 0]
     a = 0
-    while a < len(by_size):  # pairs of much the same number of runs at a time
-        b = max(a + 1, int(np.searchsorted(counts[by_size], counts[by_size[a]] * 1.5 + 4, side="right")))
+    while a < len(by_size):
+        b = max(a + 1, int(np.searchsorted(counts[by_size], counts[by_size[a]] * 1.25 + 2, side="right")))
+        b = min(b, a + max(1, TABLE // int(counts[by_size[b - 1]])))
         rows = by_size[a:b]
+        a = b
         n = int(counts[rows[-1]])
         index = np.minimum(starts[rows][:, None] + np.arange(n), len(i) - 1)
-        ri, rj, rk = i[index], j[index], k[index]
-        best = np.zeros(ri.shape)
-        for t in range(n):
-            gap_i, gap_j = ri[:, t : t + 1] - ri[:, :t] - rk[:, :t], rj[:, t : t + 1] - rj[:, :t] - rk[:, :t]
-            fits = (ri[:, :t] < ri[:, t : t + 1]) & (np.maximum(-gap_i, -gap_j) < rk[:, t : t + 1])
+        ri, rj, rk = (x[index].astype(np.int64) for x in (i, j, k))
+        ei, ej = ri + rk, rj + rk
+        score, begin, back = rk.copy(), rj.copy(), np.full(ri.shape, -1)
+        far, line = reach[rows][:, None], np.arange(len(rows))
+        for t in range(1, n):
+            over = np.maximum(np.maximum(ei[:, :t] - ri[:, t : t + 1], ej[:, :t] - rj[:, t : t + 1]), 0)
+            fits = (ri[:, :t] < ri[:, t : t + 1]) & (over < rk[:, t : t + 1]) & (ej[:, t : t + 1] - begin[:, :t] <= far)
+            gain = np.where(fits, score[:, :t] - over, 0)
+            m = t - 1 - np.argmax(gain[:, ::-1], axis=1)  # the nearest of equal ones
+            best = gain[line, m]
+            some = best > 0
+            score[:, t] += np.where(some, best, 0)
+            begin[:, t] = np.where(some, begin[line, m], rj[:, t])
+            back[:, t] = np.where(some, m, -1)
+        now = np.where(np.arange(n) < counts[rows][:, None], score, -1).argmax(axis=1)
+        steps, bound = [now], rk[line, now].astype(float)
+        while (now >= 0).any():
+            last = np.where(now >= 0, back[line, now], -1)
+            gap_i, gap_j = ri[line, now] - ei[line, last], rj[line, now] - ej[line, last]
             filled = np.where((gap_j >= SLIPS * gap_i) | (gap_i <= 2), gap_i, np.where(gap_j >= 0.5 * gap_i, gap_j, 0))
-            gain = np.minimum(gap_i, 0) + np.where((gap_i > 0) & (gap_i <= GAP_ITEM) & (gap_j <= GAP_DOC), filled, 0)
-            best[:, t] = rk[:, t] + np.where(fits, best[:, :t] + gain, 0).max(axis=1, initial=0)
-        out[rows] = np.where(np.arange(n) < counts[rows][:, None], best, 0).max(axis=1)
-        a = b
-    return out
+            more = rk[line, last] + np.minimum(gap_i, 0) + np.where((gap_i > 0) & (gap_i <= GAP_ITEM) & (gap_j <= GAP_DOC), filled, 0)
+            bound += np.where(last >= 0, more, 0)
+            now = last
+            steps.append(now)
+        chains = np.array(steps[::-1]).T
+        for r in np.flatnonzero(bound >= asked[rows]).tolist():
+            c = chains[r][chains[r] >= 0]
+            yield int(rows[r]), list(zip(ri[r, c].tolist(), rj[r, c].tolist(), rk[r, c].tolist()))
 
 
 def candidate_pairs(texts: list[str], queries: np.ndarray, owner: np.ndarray, weighted: np.ndarray, cosine: float) -> np.ndarray:
@@ -502,8 +552,8 @@ def candidate_pairs(texts: list[str], queries: np.ndarray, owner: np.ndarray, we
     p = _projected(features, starts, of, weighted)
     p /= np.maximum(1e-6, np.linalg.norm(p, axis=1, keepdims=True))
     near = np.zeros((len(texts), int(owner.max()) + 1), dtype=bool)
-    for a in range(0, len(p), 2048):
-        r, c = np.nonzero(p[a : a + 2048] @ queries.T >= cosine)
+    for a in range(0, len(p), 512):
+        r, c = np.nonzero(p[a : a + 512] @ queries.T >= cosine)
         near[of[a + r], owner[c]] = True
     return np.argwhere(near)
 
@@ -518,11 +568,10 @@ def _search(docs: DataFrame, items: list[Item], weighted: np.ndarray, key: str,
         for batch in batches:
             ids, out = batch[key].tolist(), []
             texts = batch[text].tolist()
-            for a in range(0, len(texts), 128):
-                part = texts[a : a + 128]
+            for a, b in _stretches(texts):
+                part = texts[a:b]
                 pairs = candidate_pairs(part, q, of, w, cosine)
-                for d, i in (seeds.near(part, pairs, covered).tolist() if len(pairs) else []):
-                    found = coverage(part[d], own_items[i])
+                for d, i, found in seeds.coverages(part, pairs, covered) if len(pairs) else ():
                     if is_leaked(found, own_items[i], covered):
                         out.append((ids[a + d], own_items[i].item_id, found[0]))
             yield pd.DataFrame(out, columns=[key, "item_id", "part"])

@@ -265,11 +265,43 @@ def test_leakage_bound_loses_no_case():
     docs += [letters(80) + slip(i.text[40:180], 8) + letters(80) for i in items[:6]] + [han(60) + slip(i.text, 7) + han(60) for i in items[6:]]
     seeds = leakage.Seeds(items)
     pairs = np.array([(d, i) for d in range(len(docs)) for i in range(len(items))])
-    near = {tuple(x) for x in seeds.near(docs, pairs, leakage.COVERED).tolist()}
+    near = {(d, i) for d, i, _ in seeds.coverages(docs, pairs, leakage.COVERED)}
     held = {(d, i) for d, i in pairs.tolist() if leakage.coverage(docs[d], items[i])[0] >= leakage.COVERED}
+    for d, i in pairs.tolist():  # runs by hashes are the runs by characters
+        _, *own = seeds.runs(docs, np.array([[d, i]]))
+        assert sorted(zip(*map(list, own))) == sorted(zip(*map(list, leakage._common_runs(docs[d], items[i]))))
     assert held <= near and {(k, k // 3) for k in range(18)} | {(24 + k, 6 + k) for k in range(3)} <= held and len(near) < len(pairs) / 2
 
 
+def test_chain_of_many_runs_and_later_stretches():
+    r = random.Random(6)
+    letters = lambda n: "".join(r.choice("abcdefghijklmnoprstuvw") for _ in range(n))
+    item = leakage.Item(1, letters(6000), 6000)
+    slipped = "".join("x" if k % 12 == 11 else c for k, c in enumerate(item.text))  # 500 runs of eleven characters
+    assert leakage.coverage(letters(500) + slipped + letters(500), item)[0] > 0.9
+    assert leakage._is_han("a" * 500 + "中文" * 600) and not leakage._is_han("中文" * 100 + "a" * 1000)
+    cells = leakage._cells(leakage._points("a" * 160 + "中" * 64))
+    assert cells.max() + 1 == 4 and (np.bincount(cells) == [80, 80, 32, 32]).all()
+
+
+def test_standing_questions_are_counted_over_all_items(spark):
+    items = [(i, f"Own text number {i} of item {i}. What is the amount due?") for i in range(3)] + [(7, "Other text. Only here?"), (8, ""), (9, None)]
+    df = spark.createDataFrame(items, "item_id long, text string")
+    rows = {r["item_id"]: r["body"] - len(r["text"]) for r in leakage.with_bodies(df).collect()}
+    assert rows == {0: -len("whatistheamountdue"), 1: -len("whatistheamountdue"), 2: -len("whatistheamountdue"), 7: 0}
+
+
+def test_blocks_of_items_change_nothing(spark, monkeypatch):
+    r = random.Random(4)
+    say = lambda n: " ".join("".join(r.choice("abcdefghijklmnoprstuvw") for _ in range(r.randint(3, 9))) for _ in range(n)) + "."
+    items = [(i, f"{say(40)} And what is asked?") for i in range(7)]
+    docs = [(i, f"{say(30)} {items[i % 7][1] if i % 3 == 0 else say(20)} {say(30)}") for i in range(40)]
+    d, e = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole = {tuple(x) for x in leakage.leaked(d, e).collect()}
+    monkeypatch.setattr(leakage, "ITEM_BLOCK", 2)
+    assert whole == {tuple(x) for x in leakage.leaked(d, e).collect()} == {(i, i % 7) for i in range(0, 40, 3)}
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet="abc", max_size=30), st.text(alphabet="abc", max_size=30))
 def test_bit_parallel_lcs(a, b):
