@@ -23,8 +23,10 @@ Null and empty texts have no lines of any kind.  Repeated pages are distinct row
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,7 +34,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ..session import keep
 from .forms import IGNORED, canonical_lines, canonical_text
@@ -76,8 +77,12 @@ for _pair in CONFUSIONS_HAN:
 
 
 _ONE = str.maketrans({**_SKELETON, **_SKELETON_HAN})
+_DIGIT = re.compile("[1-9]")
+#: Tokens, windows and lines whose results a worker remembers; most of a corpus is a small part of its different ones.
+_REMEMBERED = 1 << 16
 
 
+@functools.lru_cache(_REMEMBERED)
 def skeleton(form: str) -> str:
     """A line with confusable characters made one, page numbers at its ends and blanks left out."""
     form = re.sub(r"[\s|·\-–]*\s\d{1,3}$|^\d{1,3}[\s|·\-–]{1,3}(?=\D)", "", re.sub(r"\s{2,}", " ", form))
@@ -85,6 +90,11 @@ def skeleton(form: str) -> str:
     return out.replace("rn", "m").replace("vv", "w").replace("ei", "d").replace("ii", "u").replace("ri", "n")
 
 
+@functools.lru_cache(_REMEMBERED)
+def is_page_number(form: str) -> bool:
+    return _PAGE_NUMBER.fullmatch(form) is not None
+
+
 def token_key(token: str) -> str:
     """What a token is counted as: words in lower case with digits as 0; numbers by their shape."""
     if token.isalpha():
@@ -99,116 +109,166 @@ def token_key(token: str) -> str:
     return re.sub(r"^[A-Z]{2}(?=-?[0-9lIOoSsBg])", "AA", shape)
 
 
+@functools.lru_cache(_REMEMBERED)
+def _token_keys(piece: str) -> tuple[str, ...]:
+    """Keys of what stands between two blanks."""
+    word = piece.strip(".,;:()\"")
+    if word.isalpha():  # most words; the same as the pattern finds
+        return (word.lower(),) if len(word) > 1 else ()
+    out = []
+    for t in _TOKEN.findall(piece):
+        if len(t) < 2 or t.isdigit():
+            continue
+        out.append(token_key(t))
+        if "-" in t and t[0].isalpha() and t[-1].isalpha():  # a word with a mark of its own: its parts are words, and its first part takes a mark
+            low = t.lower().split("-")
+            out += [x for x in low if len(x) > 1]
+            out.append(low[0] + "-")
+    return tuple(out)
+
+
+@functools.lru_cache(_REMEMBERED)
+def _window_keys(window: str, at: int) -> tuple[str, ...]:
+    """Keys of a confusable Chinese character at a place of its window: the three characters, and it with a Chinese neighbour."""
+    window = _DIGIT.sub("0", window)
+    out = [f"{window}2"] if at == 1 and len(window) == 3 else []
+    if at and _HAN.match(window[0]):
+        out.append(f"{window[:2]}2")
+    if len(window) > at + 1 and _HAN.match(window[at + 1]):
+        out.append(f"{window[at:at + 2]}1")
+    return tuple(out)
+
+
 def _grams(before: str, form: str, after: str) -> list[str]:
     """Keys of a line: its words, and the threes around its confusable Chinese characters (over the line's ends)."""
-    out = []
-    if not _HAN.search(form):
-        parts = [form]
-    else:
-        parts = re.split(r"[一-鿿，。、；：]+", form)
-    for part in parts:
+    out: list[str] = []
+    has_han = not form.isascii() and _HAN.search(form) is not None
+    for part in re.split(r"[一-鿿，。、；：]+", form) if has_han else (form,):
         if "@" in part:
             part = _EMAIL.sub(" ", part)
-        for t in part.split():
-            word = t.strip(".,;:()\"")
-            if word.isalpha():  # most words; the same as the pattern finds
-                if len(word) > 1:
-                    out.append(word.lower())
-                continue
-            for t in _TOKEN.findall(t):
-                if len(t) < 2 or t.isdigit():
-                    continue
-                out.append(token_key(t))
-                if "-" in t and t[0].isalpha() and t[-1].isalpha():  # a word with a mark of its own: its parts are words, and its first part takes a mark
-                    low = t.lower().split("-")
-                    out += [x for x in low if len(x) > 1]
-                    out.append(low[0] + "-")
-    if len(parts) > 1:
+        for piece in part.split():
+            out += _token_keys(piece)
+    if has_han:
         text = before[-2:] + form + after[:2] if _HAN.search(before[-1:] + after[:1]) else form
         shift = len(before[-2:]) if len(text) > len(form) else 0
-        text = text.translate(_DIGITS)
         for m in _HAN_ANY.finditer(form):
             i = m.start() + shift
-            for a, b in ((i - 1, i + 2), (i - 1, i + 1), (i, i + 2)):
-                g = text[max(0, a) : b]
-                if a >= 0 and len(g) == b - a and (b - a == 3 or _HAN.match(g[1 - (i - a)])):
-                    out.append(f"{g}{i - a + 1}")
+            out += _window_keys(text[max(0, i - 1) : i + 2], 1 if i else 0)
     return out
 
 
-def _page(text: str) -> list[tuple[str, bool, list[str], list[str]]]:
-    """(form, ends with a mark, keys, fragments' keys) of each line of a page."""
+def _page(text: str) -> tuple[list[str], list[bool], list[list[str]]]:
+    """(form, ends with a mark, keys) of each line of a page; a word that is broken over two lines gives no keys."""
     raw = text.split("\n")
     forms = canonical_lines(text)
+    soft = "\u00ad" in text
     marks = []
     for r, f in zip(raw, forms):
-        if not (f and (f[-1] in _MARKS or "­" in r[-8:])):
+        if not (f and (f[-1] in _MARKS or soft and "\u00ad" in r[-8:])):
             marks.append(False)
             continue
-        end = "".join(c for c in r[-12:] if c == "­" or c not in IGNORED).rstrip()
-        marks.append(bool(f) and len(end) > 1 and end[-1] in _MARKS and (end[-2].isalpha()))
+        end = "".join(c for c in r[-12:] if c == "\u00ad" or c not in IGNORED).rstrip()
+        marks.append(len(end) > 1 and end[-1] in _MARKS and end[-2].isalpha())
     out = []
     for i, f in enumerate(forms):
-        keys = _grams(forms[i - 1] if i else "", f, forms[i + 1] if i + 1 < len(forms) else "") if f else []
-        broken = set()
-        if marks[i] and keys:
-            last = _TOKEN.findall(f.rstrip(_MARKS))
-            broken |= {token_key(last[-1])} if last else set()
-        if i and marks[i - 1] and (first := _TOKEN.search(f)):
-            broken.add(token_key(first[0]))
-        out.append((f, marks[i], [k for k in keys if k not in broken], sorted(broken)))
-    return out
+        keys = list(dict.fromkeys(_grams(forms[i - 1] if i else "", f, forms[i + 1] if i + 1 < len(forms) else ""))) if f else []
+        if keys and (marks[i] or i and marks[i - 1]):
+            last = _TOKEN.findall(f.rstrip(_MARKS))[-1:] if marks[i] else []
+            first = _TOKEN.findall(f)[:1] if i and marks[i - 1] else []
+            broken = {token_key(x) for x in (*last, *first)}
+            keys = [k for k in keys if k not in broken]
+        out.append(keys)
+    return forms, marks, out
 
 
 _NEXTS = T.ArrayType(T.StructType([T.StructField("no", T.IntegerType()), T.StructField("first", T.StringType())]))
-#: So many lines after a line are looked at for the rest of its last word: more than the running lines and page numbers that can stand between.
-_LOOK_AHEAD = 5
+_COUNTS = T.ArrayType(T.StructType([T.StructField("gram", T.StringType()), T.StructField("n", T.LongType())]))
 _LINES = T.StructType(
-    [T.StructField("src", T.StringType()), T.StructField("page_id", T.LongType()), T.StructField("task_id", T.StringType()), T.StructField("page_index", T.IntegerType()), T.StructField("line_no", T.IntegerType()), T.StructField("place", T.IntegerType()), T.StructField("skeleton", T.StringType()), T.StructField("is_number", T.BooleanType()), T.StructField("left", T.StringType()), T.StructField("is_head", T.BooleanType()), T.StructField("n_marks", T.IntegerType()), T.StructField("nexts", _NEXTS), T.StructField("keys", T.ArrayType(T.StringType())), T.StructField("outer", T.StringType()), T.StructField("label", T.StringType())]
+    [T.StructField("src", T.StringType()), T.StructField("page_id", T.LongType()), T.StructField("task_id", T.StringType()), T.StructField("page_index", T.IntegerType()), T.StructField("line_no", T.IntegerType()), T.StructField("place", T.IntegerType()), T.StructField("is_number", T.BooleanType()), T.StructField("skeleton", T.StringType()), T.StructField("outer", T.StringType()), T.StructField("label", T.StringType()), T.StructField("left", T.StringType()), T.StructField("nexts", _NEXTS), T.StructField("keys", T.ArrayType(T.StringType())), T.StructField("counts", _COUNTS)]
 )
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each line that is not blank.  ``place``: how near to the page's edge (0 first or last, page numbers not counted), -1 inside;
-    ``outer``: the skeleton of the page's first or last line, for the second line from there; ``label``: the label of the line below a line at the
-    page's top, ":" for a line that ends in one; ``left``: the word before the mark at the end; ``nexts``: the first words of the lines that follow it, or of the page's first lines where ``is_head``."""
-
-    def words(some: list) -> list[dict]:
-        return [{"no": x[0], "first": m[1] if (m := _FIRST.match(x[1])) else ""} for x in some[:_LOOK_AHEAD]]
+    """One row for each line that is not blank, one (line 0) for each page, one (without a page) for each batch with the ``counts`` of its keys.
 
+    ``place``: how near to the page's edge (0 first or last, page numbers not counted), -1 inside; ``outer``: the skeleton of the page's first or
+    last line, for the second line from there; ``label``: the label of the line below a line at the page's top, ":" for a line that ends in one; ``left``:
+    the word before the mark at the end; ``nexts``: the first words of the lines that follow it (of line 0: of the page's first lines), up to the first line
+    that is neither at an edge nor a page number; ``keys``: those that may be misread."""
     for batch in batches:
-        of, no, places, skeletons, is_number, left, is_head, n_marks, nexts, keys_of, outer, label = ([] for _ in range(12))
+        of, no, keys_of, every = [], [], [], []
+        special: dict[str, dict[int, object]] = {c: {} for c in ("place", "is_number", "skeleton", "outer", "label", "left", "nexts")}
+        places, numbers_at, skeletons, outers, labels, lefts, nexts = special.values()
         for n, text in enumerate(batch.column(4).to_pylist()):
-            page = [(i + 1, *x) for i, x in enumerate(_page(text)) if x[0]]
+            forms, marks, keys = _page(text)
+            page = [i for i, f in enumerate(forms) if f]
             if not page:
                 continue
-            numbers = [len(f) < 24 and _PAGE_NUMBER.fullmatch(f) is not None for _, f, *_ in page]
-            body = [i for i, x in enumerate(numbers) if not x]
-            place = {i: min(k, len(body) - 1 - k) for k, i in enumerate(body) if k < 2 or k > len(body) - 3}
-            of.append(n), no.append(0), places.append(-1), skeletons.append(None), is_number.append(False), left.append(None), is_head.append(True), n_marks.append(0), nexts.append(words(page)), keys_of.append([]), outer.append(None), label.append(None)
-            rank = {i: k for k, i in enumerate(body)}
-            for i, (line_no, form, mark, keys, _) in enumerate(page):
-                tokens = re.findall(r"[^\W\d_][\w'’\-]*", form.rstrip(_MARKS + " ")) if mark else None
-                near = place.get(i, -1)
-                of.append(n)
-                no.append(line_no)
-                places.append(near)
-                skeletons.append(skeleton(form) if near >= 0 else None)
-                first, second = near == 0, near == 1 and len(body) > 2
-                top = near >= 0 and rank[i] * 2 < len(body)
-                outer.append(skeleton(page[body[0 if top else -1]][1]) if second else None)
-                below = _LABEL.match(page[body[near + 1]][1]) if (first or second) and top and len(body) > near + 1 else None
-                label.append(":" if near >= 0 and form.endswith(":") else skeleton(below[1]) if below else None)
-                is_number.append(numbers[i])
-                left.append(tokens[-1].lower() if tokens else None)
-                is_head.append(False)
-                n_marks.append(int(mark))
-                nexts.append(words(page[i + 1 :]) if mark else None)
-                keys_of.append([] if numbers[i] else list(dict.fromkeys(keys)))
-        at = pa.array(of, pa.int32())
-        same = [batch.column(c).take(at) for c in range(4)]
-        made = [pa.array(no, pa.int32()), pa.array(places, pa.int32()), pa.array(skeletons, pa.string()), pa.array(is_number, pa.bool_()), pa.array(left, pa.string()), pa.array(is_head, pa.bool_()), pa.array(n_marks, pa.int32()), pa.array(nexts, pa.list_(pa.struct([("no", pa.int32()), ("first", pa.string())]))), pa.array(keys_of, pa.list_(pa.string())), pa.array(outer, pa.string()), pa.array(label, pa.string())]
-        yield pa.RecordBatch.from_arrays(same + made, names=_LINES.names)
+            base = len(of) + 1  # the row of the page's first line
+            numbers = [len(forms[i]) < 24 and is_page_number(forms[i]) for i in page]
+            body = [k for k, x in enumerate(numbers) if not x]
+            of += [n] * (len(page) + 1)
+            no += [0, *(i + 1 for i in page)]
+            keys_of.append(None)
+            for k, i in enumerate(page):
+                if numbers[k]:
+                    keys_of.append(None)
+                    numbers_at[base + k] = True
+                else:
+                    every += keys[i]
+                    keys_of.append(keys[i] if forms[i].isascii() else [x for x in keys[i] if x[-1] not in "12" or len(x) < 3 or _may_be_misread(x)])
+            line = lambda k: forms[page[body[k]]]
+            inner = set(body[2:-2])
+            for k in range(len(body)):
+                near = min(k, len(body) - 1 - k)
+                if 1 < k < len(body) - 2:
+                    continue
+                row, form = base + body[k], line(k)
+                places[row], skeletons[row] = near, skeleton(form)
+                top, second = k * 2 < len(body), near == 1 and len(body) > 2
+                if second:
+                    outers[row] = skeleton(line(0 if top else -1))
+                below = _LABEL.match(line(near + 1)) if (near == 0 or second) and top and len(body) > near + 1 else None
+                if form.endswith(":"):
+                    labels[row] = ":"
+                elif below:
+                    labels[row] = skeleton(below[1])
+
+            def follow(k: int) -> list[dict]:
+                some = []
+                for k in range(k, len(page)):
+                    m = _FIRST.match(forms[page[k]])
+                    some.append({"no": page[k] + 1, "first": m[1] if m else ""})
+                    if k in inner:
+                        break
+                return some
+
+            nexts[base - 1] = follow(0)
+            for k, i in enumerate(page):
+                if marks[i]:
+                    tokens = re.findall(r"[^\W\d_][\w'’\-]*", forms[i].rstrip(_MARKS + " "))
+                    lefts[base + k], nexts[base + k] = tokens[-1].lower() if tokens else None, follow(k + 1)
+        size, counted = len(of), Counter(every)
+
+        def column(name: str, default, kind):
+            whole = [default] * size
+            for row, value in special[name].items():
+                whole[row] = value
+            return pa.array([*whole, None], kind)
+
+        text, at = pa.string(), pa.array([*of, None], pa.int32())
+        made = [pa.array([*no, None], pa.int32()), column("place", -1, pa.int32()), column("is_number", False, pa.bool_()), *(column(c, None, text) for c in ("skeleton", "outer", "label", "left"))]
+        made += [column("nexts", None, pa.list_(pa.struct([("no", pa.int32()), ("first", text)]))), pa.array([*keys_of, None], pa.list_(text))]
+        ends = pa.array([*[0] * (size + 1), len(counted)], pa.int32())
+        pairs = pa.StructArray.from_arrays([pa.array(list(counted), text), pa.array(list(counted.values()), pa.int64())], ["gram", "n"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(4)), *made, pa.ListArray.from_arrays(ends, pairs)], names=_LINES.names)
+
+
+@functools.lru_cache(_REMEMBERED)
+def _may_be_misread(key: str) -> bool:
+    """Whether a key around a Chinese character has one that stands for another; other keys may always be."""
+    at = int(key[-1]) - 1
+    return key[at] in _HAN_READ or not _HAN_ANY.match(key[at])
 
 
 def pages_of(pages: DataFrame, layers: DataFrame) -> DataFrame:
@@ -248,72 +308,67 @@ def corrections(counts: DataFrame, ratio: int = RATIO, least: int = LEAST) -> Da
 
 
 def affected_lines(pages: DataFrame, layers: DataFrame) -> DataFrame:
-    """(src, page_id, line_no, kind), one row for each affected line; see the module's description."""
+    """(src, page_id, line_no, kind), one row for each affected line; see the module's description.
+
+    Pages without a task belong to none and have no running lines."""
     return _parts(pages_of(pages, layers))[0]
 
 
-def _parts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _parts(texts: DataFrame, with_fixes: bool = False) -> tuple[DataFrame, DataFrame]:
     """(affected lines, corrections of the lines' grams)."""
     lines = keep(texts.mapInArrow(_lines, _LINES))
-    counts = keep(lines.select(F.explode("keys").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")))
+    counts = keep(lines.where("src is null").select(F.explode("counts").alias("c")).groupBy("c.gram").agg(F.sum("c.n").alias("n")))
+    lines = lines.where("src is not null").drop("counts")
     fixes = keep(corrections(counts))
     key = ["src", "page_id", "line_no"]
-    edges = lines.where("place >= 0 or is_number").select(*key, "task_id", "page_index", "place", "skeleton", "is_number")
+    kind = lambda df, k: df.select(*key, F.lit(k).alias("kind"))
 
-    heads_of = lines.where("is_head")
-    page_counts = heads_of.where("task_id is not null").groupBy("task_id").agg(F.count_distinct("page_index").alias("n_pages"))
-    held = lines.where("place >= 0 and task_id is not null").where(F.col("skeleton").rlike(r"[\p{L}\p{N}]"))
-    # one exchange of the edge lines, then everything about a skeleton of a task in one pass
+    # running lines: one exchange of the edge lines, then everything about a skeleton of a task in one pass
+    n_pages = lines.where("line_no = 0 and task_id is not null").groupBy("task_id").agg(F.count_distinct("page_index").alias("n_pages"))
+    edges = lines.where("place >= 0 and task_id is not null").select(*key, "task_id", "page_index", "skeleton", "outer", "label")
+    held = edges.where(F.col("skeleton").rlike(r"[\p{L}\p{N}]"))
     by_task = held.select("task_id", "skeleton", "page_index", "outer", "label").repartition("task_id", "skeleton").groupBy("task_id", "skeleton").agg(F.size(F.collect_set("page_index")).alias("n"), F.count("*").alias("rows"), F.count("outer").alias("second"), F.mode("outer").alias("outer"), F.count("label").alias("labelled"), F.size(F.collect_set("label")).alias("labels"))
     printed_form = (F.col("labelled") >= LABELLED * F.col("rows")) & (F.col("labels") <= F.greatest(F.lit(1.0), LABELS * F.col("rows")))
-    enough = keep(by_task.where("n >= 2").where(~printed_form).join(page_counts, "task_id").where(F.col("n") >= EDGE_SHARE * F.col("n_pages")).select("task_id", "skeleton", "outer", (F.col("second") * 2 > F.col("rows")).alias("is_second")))
-    firsts_of = enough.where("not is_second").select("task_id", "skeleton")
-    seconds_of = enough.where("is_second").join(firsts_of.withColumnRenamed("skeleton", "outer"), ["task_id", "outer"], "left_semi").select("task_id", "skeleton")
-    repeated = firsts_of.unionByName(seconds_of)
-    kind = lambda df, k: df.select(*key).withColumn("kind", F.lit(k))
-    running = edges.where("place >= 0").join(repeated, ["task_id", "skeleton"], "left_semi")
-    numbers = edges.where("is_number")
+    enough = keep(by_task.where("n >= 2").where(~printed_form).join(n_pages, "task_id").where(F.col("n") >= EDGE_SHARE * F.col("n_pages")).select("task_id", "skeleton", "outer", (F.col("second") * 2 > F.col("rows")).alias("is_second")))
+    firsts = enough.where("not is_second").select("task_id", "skeleton")
+    seconds = enough.where("is_second").join(firsts.withColumnRenamed("skeleton", "outer"), ["task_id", "outer"], "left_semi").select("task_id", "skeleton")
+    running = edges.join(firsts.unionByName(seconds), ["task_id", "skeleton"], "left_semi")
     # a line is no page number by place, so the two kinds never meet
-    taken = keep(kind(running, "running_line").unionByName(kind(numbers, "page_number")).distinct())
+    taken = keep(kind(running, "running_line").unionByName(kind(lines.where("is_number"), "page_number")))
 
     # the rest of a broken word: the first word of the next body line of the page or of the next page
-    skip = taken.select("src", "page_id", F.col("line_no").alias("no"))
-    ends_marked = lines.where("n_marks > 0 and size(nexts) < 4 and task_id is not null").select("src", "task_id", (F.col("page_index") + 1).alias("page_index")).distinct()
-    wanted = lines.where("is_head").join(ends_marked, ["src", "task_id", "page_index"], "left_semi").select(*lines.columns)
-    ahead = lines.where("nexts is not null and not is_head").unionByName(wanted).select(*key, "task_id", "page_index", "left", "is_head", "n_marks", F.explode_outer("nexts").alias("x")).select("*", "x.no", "x.first").drop("x")
-    ahead = ahead.join(skip.withColumn("skipped", F.lit(True)), ["src", "page_id", "no"], "left")
-    firsts = keep(ahead.groupBy(*key).agg(*[F.first(c).alias(c) for c in ("task_id", "page_index", "left", "is_head")], F.expr("min_by(first, no) filter (where skipped is null)").alias("next")))
-    heads = firsts.where("is_head").select("src", "task_id", (F.col("page_index") - 1).alias("page_index"), F.col("next").alias("head")).groupBy("src", "task_id", "page_index").agg(F.min("head").alias("head"))
-    marked = firsts.where("not is_head and left is not null").join(taken, key, "left_anti")
-    ends = marked.join(heads, ["src", "task_id", "page_index"], "left").withColumn("rest", F.coalesce("next", "head"))
-    word = F.lower(F.regexp_extract("rest", r"^([\p{L}'’]+(?:-[\p{L}]+)*)", 1))
-    ends = ends.withColumn("right", F.coalesce(word, F.lit(""))).select(*key, "left", "rest", "right")
-    joined, hyphened = counts.select(F.col("gram").alias("joined"), F.col("n").alias("n_joined")), counts.select(F.col("gram").alias("hyphened"), F.col("n").alias("n_hyphened"))
-    tail = F.concat(F.regexp_extract("left", r"([^-]*)$", 1), F.regexp_extract("right", r"^([^-]*)", 1))
-    weighed = (
-        ends.withColumn("joined", F.concat("left", "right"))
-        .withColumn("part", tail)
-        .withColumn("hyphened", F.concat("left", F.lit("-"), "right"))
-        .join(joined, "joined", "left")
-        .join(hyphened, "hyphened", "left")
-        .join(joined.select(F.col("joined").alias("part"), F.col("n_joined").alias("n_part")), "part", "left")
-        .join(joined.select(F.expr("left(joined, length(joined) - 1)").alias("left"), F.col("n_joined").alias("n_left")).where("joined like '%-'"), "left", "left")
-        .fillna(0, ["n_joined", "n_hyphened", "n_part", "n_left"])
-    )
+    by_page = taken.groupBy("src", "page_id").agg(F.collect_set("line_no").alias("skipped"))
+    ahead = lines.where("nexts is not null").select(*key, "task_id", "page_index", "left", "nexts").join(by_page, ["src", "page_id"], "left")
+    ahead = ahead.where("line_no = 0 or left is not null").where("skipped is null or not array_contains(skipped, line_no)")
+    ahead = ahead.select(*key, "task_id", "page_index", "left", F.expr("get(filter(nexts, x -> skipped is null or not array_contains(skipped, x.no)), 0).first").alias("next"))
+    heads = ahead.where("line_no = 0").groupBy("src", "task_id", (F.col("page_index") - 1).alias("page_index")).agg(F.min("next").alias("head"))
+    ends = ahead.where("line_no > 0").join(heads, ["src", "task_id", "page_index"], "left").withColumn("rest", F.coalesce("next", "head"))
+    right = F.coalesce(F.lower(F.regexp_extract("rest", r"^([\p{L}'’]+(?:-[\p{L}]+)*)", 1)), F.lit(""))
+    ends = ends.select(*key, "left", "rest", right.alias("right"))
+    # how often the word is written as one, with its mark, its last part alone, and its first part before a mark: looked up at once
+    asked = {
+        "joined": F.concat("left", "right"),
+        "hyphened": F.concat("left", F.lit("-"), "right"),
+        "part": F.concat(F.regexp_extract("left", r"([^-]*)$", 1), F.regexp_extract("right", r"^([^-]*)", 1)),
+        "before": F.concat("left", F.lit("-")),
+    }
+    questions = ends.select("*", F.explode(F.array(*[F.struct(F.lit(n).alias("what"), c.alias("gram")) for n, c in asked.items()])).alias("q")).select("*", "q.what", "q.gram").drop("q")
+    answered = questions.join(counts, "gram", "left")
+    weighed = answered.groupBy(*key).agg(*[F.first(c).alias(c) for c in ("left", "rest", "right")], *[F.coalesce(F.max(F.when(F.col("what") == n, F.col("n"))), F.lit(0)).alias(f"n_{n}") for n in asked])
     starts_low = F.col("rest").rlike(r"^\p{Ll}")
     broken = weighed.where(
-        ((F.col("right") == "") & F.col("rest").isNull() & F.length("left").between(2, 30) & (F.col("n_left") < LEAST))
+        ((F.col("right") == "") & F.col("rest").isNull() & F.length("left").between(2, 30) & (F.col("n_before") < LEAST))
         | ((F.col("right") != "") & (~F.col("right").isin(*_CONJUNCTIONS) | (F.col("n_joined") > 0)) & ~F.col("rest").rlike("[@]") & (starts_low & (F.col("n_joined") + F.when(F.col("left").contains("-"), F.col("n_part")).otherwise(0) >= F.col("n_hyphened"))))
-    ).select(*key)
-
-    broken = keep(kind(broken, "broken_word").distinct())
-    taken = taken.unionByName(broken)
+    )
 
-    grams = lines.where("size(keys) > 0").select(*key, F.explode("keys").alias("gram"))
-    wrong = keep(grams.join(fixes, "gram").select(*key, "gram", "better", "x", "y"))
-    misread = wrong.select(*key).distinct().join(taken, key, "left_anti")
-    found = taken.unionByName(kind(misread, "misread"))
-    return found, wrong
+    wrong = lines.where("size(keys) > 0").select(*key, F.explode("keys").alias("gram")).join(fixes, "gram").select(*key, "gram", "better", "x", "y")
+    if with_fixes:
+        wrong = keep(wrong)
+    # a line's kind is the first of its kinds in this order
+    order = {"running_line": 0, "page_number": 0, "broken_word": 1, "misread": 2}
+    every = taken.unionByName(kind(broken, "broken_word")).unionByName(kind(wrong, "misread"))
+    rank = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])[F.col("kind")]
+    return every.groupBy(*key).agg(F.min(F.struct(rank.alias("rank"), "kind"))["kind"].alias("kind")), wrong
 
 
 def _mended(form: str, fixes: list) -> str:
@@ -366,7 +421,7 @@ def _clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def clean_paragraphs(pages: DataFrame, layers: DataFrame) -> DataFrame:
     """(src, page_id, paragraphs) of every page with text: body text only, words whole, corrections applied, one paragraph a block."""
     texts = pages_of(pages, layers)
-    found, wrong = _parts(texts)
+    found, wrong = _parts(texts, with_fixes=True)
     kinds = found.groupBy("src", "page_id").agg(F.collect_list(F.struct("line_no", "kind")).alias("kinds"))
     fixes = wrong.groupBy("src", "page_id").agg(F.collect_list(F.struct("line_no", "gram", "better", "x", "y")).alias("fixes"))
     return texts.join(kinds, ["src", "page_id"], "left").join(fixes, ["src", "page_id"], "left").select("src", "page_id", "text", "kinds", "fixes").mapInPandas(_clean, _CLEAN)
@@ -393,7 +448,7 @@ def clean_blocks(blocks: DataFrame, pages: DataFrame, layers: DataFrame) -> Data
 
     A block is a line of its page's text, so counts come from the pages and no line is counted twice.  ``repaired`` is null for running lines,
     page numbers and null texts; after a ``broken_word`` the mark is gone and the next body line goes on with the word."""
-    found, wrong = _parts(pages_of(pages, layers))
+    found, wrong = _parts(pages_of(pages, layers), with_fixes=True)
     key = ["page_id", "line_no"]
     kinds = found.where("src = 'ocr_pages'").select(*key, "kind")
     fixes = wrong.where("src = 'ocr_pages'").groupBy(*key).agg(F.collect_list(F.struct("gram", "better", "x", "y")).alias("fixes"))
