@@ -24,6 +24,7 @@ Null and empty texts have no lines of any kind.  Repeated pages are distinct row
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import unicodedata
 from collections import Counter
@@ -60,6 +61,7 @@ _DIGITS = str.maketrans("123456789", "000000000")
 _EMAIL = re.compile(r"\S+@\S+\.\S+")
 _TOKEN = re.compile(r"[!|@]?[^\W_](?:[\w!@|.,/\-'’]*[^\W_])?[!|]?")
 _HAN = re.compile(r"[一-鿿]")
+_HAN_RUN = re.compile(r"[一-鿿，。、；：]+")
 _D = r"[\dlIOo]"
 _PAGE_NUMBER = re.compile(
     rf"(?:\d{{1,3}}|[ivxlc]{{1,6}}|[IVXLC]{{1,6}}|[-–—·] ?{_D}{{1,4}} ?[-–—·]|[\[(<]{_D}{{1,4}}[\])>]|{_D}{{1,4}} ?/ ?{_D}{{1,4}}|(?:p|pp|pg|s|P|S)\. ?{_D}{{1,4}}|"
@@ -140,21 +142,17 @@ def _window_keys(window: str, at: int) -> tuple[str, ...]:
 
 
 def _grams(before: str, form: str, after: str) -> list[str]:
-    """Keys of a line: its words, and the threes around its confusable Chinese characters (over the line's ends)."""
-    out: list[str] = []
+    """Keys of a line, each once: its words, and the threes around its confusable Chinese characters (over the line's ends)."""
     has_han = not form.isascii() and _HAN.search(form) is not None
-    for part in re.split(r"[一-鿿，。、；：]+", form) if has_han else (form,):
-        if "@" in part:
-            part = _EMAIL.sub(" ", part)
-        for piece in part.split():
-            out += _token_keys(piece)
-    if has_han:
+    words = _HAN_RUN.sub(" ", form) if has_han else form
+    if "@" in words:
+        words = _EMAIL.sub(" ", words)
+    keys = map(_token_keys, words.split())
+    if has_han and (found := [m.start() for m in _HAN_ANY.finditer(form)]):
         text = before[-2:] + form + after[:2] if _HAN.search(before[-1:] + after[:1]) else form
         shift = len(before[-2:]) if len(text) > len(form) else 0
-        for m in _HAN_ANY.finditer(form):
-            i = m.start() + shift
-            out += _window_keys(text[max(0, i - 1) : i + 2], 1 if i else 0)
-    return out
+        keys = itertools.chain(keys, [_window_keys(text[max(0, i + shift - 1) : i + shift + 2], 1 if i + shift else 0) for i in found])
+    return list(dict.fromkeys(itertools.chain.from_iterable(keys)))
 
 
 def _page(text: str) -> tuple[list[str], list[bool], list[list[str]]]:
@@ -171,7 +169,7 @@ def _page(text: str) -> tuple[list[str], list[bool], list[list[str]]]:
         marks.append(len(end) > 1 and end[-1] in _MARKS and end[-2].isalpha())
     out = []
     for i, f in enumerate(forms):
-        keys = list(dict.fromkeys(_grams(forms[i - 1] if i else "", f, forms[i + 1] if i + 1 < len(forms) else ""))) if f else []
+        keys = _grams(forms[i - 1] if i else "", f, forms[i + 1] if i + 1 < len(forms) else "") if f else []
         if keys and (marks[i] or i and marks[i - 1]):
             last = _TOKEN.findall(f.rstrip(_MARKS))[-1:] if marks[i] else []
             first = _TOKEN.findall(f)[:1] if i and marks[i - 1] else []
@@ -182,86 +180,82 @@ def _page(text: str) -> tuple[list[str], list[bool], list[list[str]]]:
 
 
 _NEXTS = T.ArrayType(T.StructType([T.StructField("no", T.IntegerType()), T.StructField("first", T.StringType())]))
+_KEYS = T.ArrayType(T.StructType([T.StructField("no", T.IntegerType()), T.StructField("gram", T.StringType())]))
 _COUNTS = T.ArrayType(T.StructType([T.StructField("gram", T.StringType()), T.StructField("n", T.LongType())]))
 _LINES = T.StructType(
-    [T.StructField("src", T.StringType()), T.StructField("page_id", T.LongType()), T.StructField("task_id", T.StringType()), T.StructField("page_index", T.IntegerType()), T.StructField("line_no", T.IntegerType()), T.StructField("place", T.IntegerType()), T.StructField("is_number", T.BooleanType()), T.StructField("skeleton", T.StringType()), T.StructField("outer", T.StringType()), T.StructField("label", T.StringType()), T.StructField("left", T.StringType()), T.StructField("nexts", _NEXTS), T.StructField("keys", T.ArrayType(T.StringType())), T.StructField("counts", _COUNTS)]
+    [T.StructField("src", T.StringType()), T.StructField("page_id", T.LongType()), T.StructField("task_id", T.StringType()), T.StructField("page_index", T.IntegerType()), T.StructField("line_no", T.IntegerType()), T.StructField("place", T.IntegerType()), T.StructField("is_number", T.BooleanType()), T.StructField("skeleton", T.StringType()), T.StructField("outer", T.StringType()), T.StructField("label", T.StringType()), T.StructField("left", T.StringType()), T.StructField("nexts", _NEXTS), T.StructField("keys", _KEYS), T.StructField("counts", _COUNTS)]
 )
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each line that is not blank, one (line 0) for each page, one (without a page) for each batch with the ``counts`` of its keys.
+    """One row (line 0) for each page with its ``keys`` that may be misread, one for each line at its edges, each page number and each line that ends
+    with a mark, and one (without a page) for each batch with the ``counts`` of its keys.
 
     ``place``: how near to the page's edge (0 first or last, page numbers not counted), -1 inside; ``outer``: the skeleton of the page's first or
     last line, for the second line from there; ``label``: the label of the line below a line at the page's top, ":" for a line that ends in one; ``left``:
     the word before the mark at the end; ``nexts``: the first words of the lines that follow it (of line 0: of the page's first lines), up to the first line
-    that is neither at an edge nor a page number; ``keys``: those that may be misread."""
+    that is neither at an edge nor a page number."""
+    text_type = pa.string()
     for batch in batches:
-        of, no, keys_of, every = [], [], [], []
-        special: dict[str, dict[int, object]] = {c: {} for c in ("place", "is_number", "skeleton", "outer", "label", "left", "nexts")}
-        places, numbers_at, skeletons, outers, labels, lefts, nexts = special.values()
+        rows: list[tuple] = []  # page, line, place, page number, skeleton, outer, label, left, nexts
+        every, key_line, key_text, key_ends = [], [], [], []
         for n, text in enumerate(batch.column(4).to_pylist()):
             forms, marks, keys = _page(text)
             page = [i for i, f in enumerate(forms) if f]
             if not page:
                 continue
-            base = len(of) + 1  # the row of the page's first line
-            numbers = [len(forms[i]) < 24 and is_page_number(forms[i]) for i in page]
-            body = [k for k, x in enumerate(numbers) if not x]
-            of += [n] * (len(page) + 1)
-            no += [0, *(i + 1 for i in page)]
-            keys_of.append(None)
-            for k, i in enumerate(page):
-                if numbers[k]:
-                    keys_of.append(None)
-                    numbers_at[base + k] = True
-                else:
-                    every += keys[i]
-                    keys_of.append(keys[i] if forms[i].isascii() else [x for x in keys[i] if x[-1] not in "12" or len(x) < 3 or _may_be_misread(x)])
-            line = lambda k: forms[page[body[k]]]
+            numbers = {i for i in page if len(forms[i]) < 24 and is_page_number(forms[i])}
+            body = [i for i in page if i not in numbers] if numbers else page
             inner = set(body[2:-2])
-            for k in range(len(body)):
-                near = min(k, len(body) - 1 - k)
-                if 1 < k < len(body) - 2:
-                    continue
-                row, form = base + body[k], line(k)
-                places[row], skeletons[row] = near, skeleton(form)
-                top, second = k * 2 < len(body), near == 1 and len(body) > 2
-                if second:
-                    outers[row] = skeleton(line(0 if top else -1))
-                below = _LABEL.match(line(near + 1)) if (near == 0 or second) and top and len(body) > near + 1 else None
-                if form.endswith(":"):
-                    labels[row] = ":"
-                elif below:
-                    labels[row] = skeleton(below[1])
 
             def follow(k: int) -> list[dict]:
                 some = []
-                for k in range(k, len(page)):
-                    m = _FIRST.match(forms[page[k]])
-                    some.append({"no": page[k] + 1, "first": m[1] if m else ""})
-                    if k in inner:
+                for i in page[k:]:
+                    m = _FIRST.match(forms[i])
+                    some.append({"no": i + 1, "first": m[1] if m else ""})
+                    if i in inner:
                         break
                 return some
 
-            nexts[base - 1] = follow(0)
+            for i in body:
+                if own := keys[i]:
+                    every += own
+                    if not forms[i].isascii():
+                        own = [x for x in own if x[-1] not in "12" or len(x) < 3 or _may_be_misread(x)]
+                    key_text += own
+                    key_line += [i + 1] * len(own)
+            rows.append((n, 0, -1, False, None, None, None, None, follow(0)))
+            key_ends += [len(key_text)]
+            rank = {i: k for k, i in enumerate(body) if k < 2 or k > len(body) - 3}
             for k, i in enumerate(page):
+                at = rank.get(i)
+                if at is None and not marks[i] and i not in numbers:
+                    continue
+                near = -1 if at is None else min(at, len(body) - 1 - at)
+                form = forms[i]
+                outer = label = left = nexts = None
+                if near >= 0:
+                    top, second = at * 2 < len(body), near == 1 and len(body) > 2
+                    if second:
+                        outer = skeleton(forms[body[0 if top else -1]])
+                    below = _LABEL.match(forms[body[near + 1]]) if (near == 0 or second) and top and len(body) > near + 1 else None
+                    label = ":" if form.endswith(":") else skeleton(below[1]) if below else None
                 if marks[i]:
-                    tokens = re.findall(r"[^\W\d_][\w'’\-]*", forms[i].rstrip(_MARKS + " "))
-                    lefts[base + k], nexts[base + k] = tokens[-1].lower() if tokens else None, follow(k + 1)
-        size, counted = len(of), Counter(every)
-
-        def column(name: str, default, kind):
-            whole = [default] * size
-            for row, value in special[name].items():
-                whole[row] = value
-            return pa.array([*whole, None], kind)
-
-        text, at = pa.string(), pa.array([*of, None], pa.int32())
-        made = [pa.array([*no, None], pa.int32()), column("place", -1, pa.int32()), column("is_number", False, pa.bool_()), *(column(c, None, text) for c in ("skeleton", "outer", "label", "left"))]
-        made += [column("nexts", None, pa.list_(pa.struct([("no", pa.int32()), ("first", text)]))), pa.array([*keys_of, None], pa.list_(text))]
-        ends = pa.array([*[0] * (size + 1), len(counted)], pa.int32())
-        pairs = pa.StructArray.from_arrays([pa.array(list(counted), text), pa.array(list(counted.values()), pa.int64())], ["gram", "n"])
-        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(4)), *made, pa.ListArray.from_arrays(ends, pairs)], names=_LINES.names)
+                    tokens = re.findall(r"[^\W\d_][\w'’\-]*", form.rstrip(_MARKS + " "))
+                    left, nexts = tokens[-1].lower() if tokens else None, follow(k + 1)
+                rows.append((n, i + 1, near, i in numbers, skeleton(form) if near >= 0 else None, outer, label, left, nexts))
+                key_ends.append(len(key_text))
+        rows.append((None, None, -1, False, None, None, None, None, None))
+        key_ends.append(len(key_text))
+        counted = Counter(every)
+        lists = lambda ends, names, *columns: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(list(columns), names))
+        of, *others = zip(*rows)
+        kinds = [pa.int32(), pa.int32(), pa.bool_(), text_type, text_type, text_type, text_type, pa.list_(pa.struct([("no", pa.int32()), ("first", text_type)]))]
+        same = [batch.column(c).take(pa.array(of, pa.int32())) for c in range(4)]
+        made = [pa.array(x, kind) for x, kind in zip(others, kinds)]
+        keys_of = lists([0, *key_ends], ["no", "gram"], pa.array(key_line, pa.int32()), pa.array(key_text, text_type))
+        counts = lists([0] * len(rows) + [len(counted)], ["gram", "n"], pa.array(list(counted), text_type), pa.array(list(counted.values()), pa.int64()))
+        yield pa.RecordBatch.from_arrays([*same, *made, keys_of, counts], names=_LINES.names)
 
 
 @functools.lru_cache(_REMEMBERED)
@@ -323,13 +317,15 @@ def _parts(texts: DataFrame, with_fixes: bool = False) -> tuple[DataFrame, DataF
     key = ["src", "page_id", "line_no"]
     kind = lambda df, k: df.select(*key, F.lit(k).alias("kind"))
 
-    # running lines: one exchange of the edge lines, then everything about a skeleton of a task in one pass
+    # running lines
     n_pages = lines.where("line_no = 0 and task_id is not null").groupBy("task_id").agg(F.count_distinct("page_index").alias("n_pages"))
     edges = lines.where("place >= 0 and task_id is not null").select(*key, "task_id", "page_index", "skeleton", "outer", "label")
     held = edges.where(F.col("skeleton").rlike(r"[\p{L}\p{N}]"))
-    by_task = held.select("task_id", "skeleton", "page_index", "outer", "label").repartition("task_id", "skeleton").groupBy("task_id", "skeleton").agg(F.size(F.collect_set("page_index")).alias("n"), F.count("*").alias("rows"), F.count("outer").alias("second"), F.mode("outer").alias("outer"), F.count("label").alias("labelled"), F.size(F.collect_set("label")).alias("labels"))
+    # most skeletons stand on one page of their task; only the others are looked at more closely
+    again = held.groupBy("task_id", "skeleton").agg(F.min("page_index").alias("low"), F.max("page_index").alias("high")).where("low < high").select("task_id", "skeleton")
+    by_task = held.join(again, ["task_id", "skeleton"], "left_semi").groupBy("task_id", "skeleton").agg(F.count_distinct("page_index").alias("n"), F.count("*").alias("rows"), F.count("outer").alias("second"), F.mode("outer").alias("outer"), F.count("label").alias("labelled"), F.count_distinct("label").alias("labels"))
     printed_form = (F.col("labelled") >= LABELLED * F.col("rows")) & (F.col("labels") <= F.greatest(F.lit(1.0), LABELS * F.col("rows")))
-    enough = keep(by_task.where("n >= 2").where(~printed_form).join(n_pages, "task_id").where(F.col("n") >= EDGE_SHARE * F.col("n_pages")).select("task_id", "skeleton", "outer", (F.col("second") * 2 > F.col("rows")).alias("is_second")))
+    enough = keep(by_task.where(~printed_form).join(n_pages, "task_id").where(F.col("n") >= EDGE_SHARE * F.col("n_pages")).select("task_id", "skeleton", "outer", (F.col("second") * 2 > F.col("rows")).alias("is_second")))
     firsts = enough.where("not is_second").select("task_id", "skeleton")
     seconds = enough.where("is_second").join(firsts.withColumnRenamed("skeleton", "outer"), ["task_id", "outer"], "left_semi").select("task_id", "skeleton")
     running = edges.join(firsts.unionByName(seconds), ["task_id", "skeleton"], "left_semi")
@@ -361,7 +357,7 @@ def _parts(texts: DataFrame, with_fixes: bool = False) -> tuple[DataFrame, DataF
         | ((F.col("right") != "") & (~F.col("right").isin(*_CONJUNCTIONS) | (F.col("n_joined") > 0)) & ~F.col("rest").rlike("[@]") & (starts_low & (F.col("n_joined") + F.when(F.col("left").contains("-"), F.col("n_part")).otherwise(0) >= F.col("n_hyphened"))))
     )
 
-    wrong = lines.where("size(keys) > 0").select(*key, F.explode("keys").alias("gram")).join(fixes, "gram").select(*key, "gram", "better", "x", "y")
+    wrong = lines.where("size(keys) > 0").select("src", "page_id", F.explode("keys").alias("k")).select("src", "page_id", F.col("k.no").alias("line_no"), "k.gram").join(fixes, "gram").select(*key, "gram", "better", "x", "y")
     if with_fixes:
         wrong = keep(wrong)
     # a line's kind is the first of its kinds in this order
