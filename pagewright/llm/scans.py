@@ -70,6 +70,7 @@ _PAGE_NUMBER = re.compile(
 _LABEL = re.compile(r"([^:]{1,24}):")
 _FIRST = re.compile(r"[\W_]*([^\W_][^\s]*)")
 _MARKS = "-­¬‐‑−"
+_MARK_ENDS = frozenset(_MARKS)
 _CONJUNCTIONS = {"und", "oder", "bzw", "bis", "and", "or", "sowie"}
 _SKELETON = {"0": "o", "O": "o", "Q": "o", "1": "i", "l": "i", "I": "i", "!": "i", "|": "i", "i": "i", "5": "s", "S": "s", "@": "a", "ä": "a", "ö": "o", "ü": "u", "c": "e", "t": "f", "T": "f", "F": "f", "h": "b li", "8": "b", "B": "b", "H": "b", "9": "g", "q": "g", "C": "e", "E": "e", "Z": "z", "2": "z"}
 _SKELETON_HAN = {}
@@ -160,13 +161,10 @@ def _page(text: str) -> tuple[list[str], list[bool], list[list[str]]]:
     raw = text.split("\n")
     forms = canonical_lines(text)
     soft = "\u00ad" in text
-    marks = []
-    for r, f in zip(raw, forms):
-        if not (f and (f[-1] in _MARKS or soft and "\u00ad" in r[-8:])):
-            marks.append(False)
-            continue
-        end = "".join(c for c in r[-12:] if c == "\u00ad" or c not in IGNORED).rstrip()
-        marks.append(len(end) > 1 and end[-1] in _MARKS and end[-2].isalpha())
+    marks = [f[-1:] in _MARK_ENDS for f in forms]
+    for i in range(len(forms)) if soft else [i for i, x in enumerate(marks) if x]:
+        end = "".join(c for c in raw[i][-12:] if c == "\u00ad" or c not in IGNORED).rstrip()
+        marks[i] = bool(forms[i]) and len(end) > 1 and end[-1] in _MARKS and end[-2].isalpha()
     out = []
     for i, f in enumerate(forms):
         keys = _grams(forms[i - 1] if i else "", f, forms[i + 1] if i + 1 < len(forms) else "") if f else []
@@ -319,16 +317,18 @@ def _parts(texts: DataFrame, with_fixes: bool = False) -> tuple[DataFrame, DataF
 
     # running lines
     n_pages = lines.where("line_no = 0 and task_id is not null").groupBy("task_id").agg(F.count_distinct("page_index").alias("n_pages"))
-    edges = lines.where("place >= 0 and task_id is not null").select(*key, "task_id", "page_index", "skeleton", "outer", "label")
-    held = edges.where(F.col("skeleton").rlike(r"[\p{L}\p{N}]"))
+    # skeletons of a task are compared by a hash of 64 bits, so only numbers are exchanged and sorted
+    of = lambda c: F.when(F.col(c).isNotNull(), F.xxhash64("task_id", c))
+    edges = lines.where("place >= 0 and task_id is not null").select(*key, "task_id", "page_index", of("skeleton").alias("line"), of("outer").alias("outer"), of("label").alias("label"), F.col("skeleton").rlike(r"[\p{L}\p{N}]").alias("speaks"))
+    held = edges.where("speaks").select("line", "task_id", "page_index", "outer", "label")
     # most skeletons stand on one page of their task; only the others are looked at more closely
-    again = held.groupBy("task_id", "skeleton").agg(F.min("page_index").alias("low"), F.max("page_index").alias("high")).where("low < high").select("task_id", "skeleton")
-    by_task = held.join(again, ["task_id", "skeleton"], "left_semi").groupBy("task_id", "skeleton").agg(F.count_distinct("page_index").alias("n"), F.count("*").alias("rows"), F.count("outer").alias("second"), F.mode("outer").alias("outer"), F.count("label").alias("labelled"), F.count_distinct("label").alias("labels"))
+    again = held.groupBy("line").agg(F.min("page_index").alias("low"), F.max("page_index").alias("high")).where("low < high").select("line")
+    by_task = held.join(again, "line", "left_semi").groupBy("line").agg(F.first("task_id").alias("task_id"), F.count_distinct("page_index").alias("n"), F.count("*").alias("rows"), F.count("outer").alias("second"), F.mode("outer").alias("outer"), F.count("label").alias("labelled"), F.count_distinct("label").alias("labels"))
     printed_form = (F.col("labelled") >= LABELLED * F.col("rows")) & (F.col("labels") <= F.greatest(F.lit(1.0), LABELS * F.col("rows")))
-    enough = keep(by_task.where(~printed_form).join(n_pages, "task_id").where(F.col("n") >= EDGE_SHARE * F.col("n_pages")).select("task_id", "skeleton", "outer", (F.col("second") * 2 > F.col("rows")).alias("is_second")))
-    firsts = enough.where("not is_second").select("task_id", "skeleton")
-    seconds = enough.where("is_second").join(firsts.withColumnRenamed("skeleton", "outer"), ["task_id", "outer"], "left_semi").select("task_id", "skeleton")
-    running = edges.join(firsts.unionByName(seconds), ["task_id", "skeleton"], "left_semi")
+    enough = keep(by_task.where(~printed_form).join(n_pages, "task_id").where(F.col("n") >= EDGE_SHARE * F.col("n_pages")).select("line", "outer", (F.col("second") * 2 > F.col("rows")).alias("is_second")))
+    firsts = enough.where("not is_second").select("line")
+    seconds = enough.where("is_second").join(firsts.select(F.col("line").alias("outer")), "outer", "left_semi").select("line")
+    running = edges.join(firsts.unionByName(seconds), "line", "left_semi")
     # a line is no page number by place, so the two kinds never meet
     taken = keep(kind(running, "running_line").unionByName(kind(lines.where("is_number"), "page_number")))
 
