@@ -267,14 +267,21 @@ INVOICE = Template(
     "invoice",
     "invoice",
     "one row for each item of an invoice",
-    (("发票号码", "开票日期", "购买方名称", "项目名称", "金额", "税率", "销售方名称"), ("56115415", "2023年07月03日", "甲公司", "*服务*费", "211.33", "6%", "乙公司")),
-    (Column("发票号码"), Column("开票日期", "date", formats=("%Y年%m月%d日", "%Y-%m-%d")), Column("购买方名称"), Column("项目名称"), Column("金额", "number"), Column("税率"), Column("销售方名称")),
+    (
+        ("发票号码", "开票日期", "购买方名称", "购买方纳税人识别号", "购买方地址电话", "项目名称", "金额", "税率", "销售方名称", "销售方纳税人识别号", "销售方地址电话", "销售方开户行及账号"),
+        ("56115415", "2023年07月03日", "甲公司", "91430100MA4L0000XX", "某路1号 0731-12345678", "*服务*费", "211.33", "6%", "乙公司", "91430100MA4L1111XX", "某路2号 0731-87654321", "某银行 6222"),
+    ),
+    (
+        Column("发票号码"), Column("开票日期", "date", formats=("%Y年%m月%d日", "%Y-%m-%d")), Column("购买方名称"), Column("购买方纳税人识别号"), Column("购买方地址电话"), Column("项目名称"), Column("金额", "number"),
+        Column("税率"), Column("销售方名称"), Column("销售方纳税人识别号"), Column("销售方地址电话"), Column("销售方开户行及账号"),
+    ),
+    # The lines of old and new invoices.
     LineRules(
-        start=r"项目名称.*金\s*额\s+税率",
-        end=r"合\s*计",
-        line=r"^(?P<项目名称>\*\S+\*\S+)\s+(?:\S+\s+)?(?:[\d,.]+\s+){2}(?P<金额>-?[\d,]+\.\d{2})\s+(?P<税率>\d+%)",
-        skip_line=r"^项目名称",
-        parent_fields=("发票号码", "开票日期", "购买方名称", "销售方名称"),
+        start=r"(?:项目名称|货物或应税劳务|应税劳务|规格型号).*金\s*额\s+税率",
+        end=r"合\s*计|价税合计",
+        line=r"^(?P<项目名称>\*?.+?)(?:\s+\S+)?(?:\s+-?[\d,]*\.?\d+){0,2}\s+(?P<金额>-?\d[\d,]*\.\d{2})\s+(?P<税率>\d+%)(?:\s+-?\d[\d,]*\.\d{2})?\s*$",
+        skip_line=r"^规格型号|^项目名称|^货物或应税劳务|^应税劳务",
+        parent_fields=("发票号码", "开票日期", "购买方名称", "购买方纳税人识别号", "购买方地址电话", "销售方名称", "销售方纳税人识别号", "销售方地址电话", "销售方开户行及账号"),
     ),
     builtin=True,
 )

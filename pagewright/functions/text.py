@@ -151,12 +151,20 @@ def safe_positive_int(c: Column | str, fallback: int) -> Column:
 
 
 def safe_file_name(c: Column | str, suffix: str = ".xlsx", limit: int = 120) -> Column:
-    """A file name without characters that file systems refuse, with the suffix, no longer than the limit; an empty stem becomes ``export``."""
-    s = F.regexp_replace(_c(c), r'[<>:"/\\|?*\x00-\x1f]', "")
-    s = F.regexp_replace(strip_u(s), r"(?i)" + re.escape(suffix) + "$", "")
-    s = strip_u(F.regexp_replace(s, r"^[. ]+|[. ]+$", ""))
-    stem = F.when(F.coalesce(s, F.lit("")) == "", "export").otherwise(s)
-    return F.concat(F.substring(stem, 1, limit - len(suffix)), F.lit(suffix))
+    """A file name without characters that file systems refuse, no longer than the limit.
+
+    A suffix of the name's own (after the last dot of the last path part, unless that dot is its first or last character) is kept, else ``suffix`` is added;
+    an empty name becomes ``example``, an empty stem ``export``; a stem that is cut does not end in blanks, dots or underscores."""
+    name = F.coalesce(F.nullif(strip_u(F.coalesce(_c(c), F.lit(""))), F.lit("")), F.lit("example" + suffix))
+    last = F.regexp_replace(F.regexp_replace(name, "/+$", ""), r"(?s)^.*/", "")
+    end = F.regexp_extract(last, r"(?s)^.+(\.[^.]+)$", 1)
+    stem = F.when(end != "", F.substr(last, F.lit(1), F.length(last) - F.length(end))).otherwise(name)
+    clean = F.regexp_replace(strip_u(F.regexp_replace(stem, r'[<>:"/\\|?*\x00-\x1f]', "")), r"\.+$", "")
+    clean = F.when(clean == "", "export").otherwise(clean)
+    end = F.when(end != "", end).otherwise(suffix)
+    room = F.greatest(F.lit(1), F.lit(limit) - F.length(end))
+    cut = F.regexp_replace(F.substr(clean, F.lit(1), room), r"[ ._]+$", "")
+    return F.concat(F.when(F.length(clean) > room, F.when(cut == "", "export").otherwise(cut)).otherwise(clean), end)
 
 
 # What column names and values say about a column's type.

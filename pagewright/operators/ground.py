@@ -16,14 +16,17 @@ from ..functions.text import _dedupe_key, digits_of, is_blank, strip_u
 ASSIGNED, PARTIAL, INFERRED, FUZZY, UNCERTAIN = "ASSIGNED", "ASSIGNED_PARTIAL", "INFERRED", "INFERRED_FUZZY", "UNCERTAIN"
 RANK = {ASSIGNED: 5, PARTIAL: 4, INFERRED: 3, FUZZY: 2, UNCERTAIN: 1}
 DEFAULT_FUZZY = 0.75
+#: Segments shorter than this are not looked for one by one; values with fewer letters and digits are not compared by pairs.
+LEAST_SEGMENT, LEAST_FUZZY = 2, 4
+_LIST_MARKS = re.compile(r"[；;、，,\n]")
 _EDGES = "。，；！？\n,:：;"
 CELL = T.StructType([T.StructField("value", T.StringType()), T.StructField("source_text", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("status", T.StringType())])
 
 
 def status_rank(status: Column | str) -> Column:
-    """5 (assigned) to 1 (uncertain, or anything else)."""
+    """5 (assigned) to 1 (uncertain); 0 for anything else."""
     s = F.col(status) if isinstance(status, str) else status
-    out = F.lit(1)
+    out = F.lit(0)
     for name, rank in RANK.items():
         out = F.when(s == name, rank).otherwise(out)
     return out
@@ -46,13 +49,13 @@ def exact_status(value: Column, text: Column) -> Column:
 
 
 def compact_status(value: Column, text: Column) -> Column:
-    """Whether the value occurs in the text when blanks (or all signs) and case do not count."""
+    """ASSIGNED where the value occurs in the text when blanks (or all signs) and case do not count, else null."""
     def squeezed(c: Column, pattern: str) -> Column:
         return F.lower(F.regexp_replace(c, pattern, ""))
 
     blanks, signs = r"(?U)[\s\x1c-\x1f]+", r"[^\p{L}\p{N}]+"
     v1, v2 = squeezed(value, blanks), squeezed(value, signs)
-    return F.when(((v1 != "") & (F.instr(squeezed(text, blanks), v1) > 0)) | ((v2 != "") & (F.instr(squeezed(text, signs), v2) > 0)), INFERRED)
+    return F.when(((v1 != "") & (F.instr(squeezed(text, blanks), v1) > 0)) | ((v2 != "") & (F.instr(squeezed(text, signs), v2) > 0)), ASSIGNED)
 
 
 def _squeezed(text: str, keep) -> tuple[str, list[int]]:
@@ -83,57 +86,50 @@ def _compact(value: str, text: str) -> tuple[int, int, str] | None:
         v, _ = _squeezed(value, keep)
         t, at = _squeezed(text, keep)
         if v and (k := t.find(v)) >= 0:
-            return at[k], at[k + len(v) - 1] + 1, INFERRED
+            return at[k], at[k + len(v) - 1] + 1, ASSIGNED
     return None
 
 
+def _pairs(s: str) -> set[str]:
+    return {s[i : i + 2] for i in range(len(s) - 1)} or {s} - {""}
+
+
 def _fuzzy(value: str, text: str, threshold: float) -> tuple[int, int, str] | None:
-    """The window of the value's length with the best Jaccard similarity of character pairs, at least the threshold; the earliest of equals."""
-    v = "".join(value.lower().split())
-    t, at = _squeezed(text, lambda c: not c.isspace())
-    n = len(v)
-    if n < 4 or len(t) < n:
+    """The window of the value's length with the best Jaccard similarity of pairs of letters and digits, at least the threshold; the earliest of equals."""
+    v, n = _squeezed(value, str.isalnum)[0], len(value)
+    if len(v) < LEAST_FUZZY or len(text) < n:
         return None
-    pairs = {v[i : i + 2] for i in range(n - 1)}
-    if sum(p in t for p in pairs) < threshold * len(pairs):
-        return None  # a window that is near enough has at least so many of the value's pairs
+    pairs = _pairs(v)
+    t, at = _squeezed(text, str.isalnum)
     step = min(4, max(1, n // 8))
-    starts = list(range(0, len(t) - n + 1, step))
-    if starts[-1] != len(t) - n:
-        starts.append(len(t) - n)
-    hit = np.fromiter((t[i : i + 2] in pairs for i in range(len(t) - 1)), dtype=np.int32, count=len(t) - 1)
-    total = np.concatenate([[0], np.cumsum(hit)])
-    best, where = 0.0, -1
-    for s in starts:
-        if total[s + n - 1] - total[s] < threshold * len(pairs) and total[s + n - 1] - total[s] < threshold * (n - 1):
-            continue
-        own = {t[i : i + 2] for i in range(s, s + n - 1)}
-        score = len(own & pairs) / len(own | pairs)
-        if score >= threshold and score > best:
-            best, where = score, s
-    return (at[where], at[where + n - 1] + 1, FUZZY) if where >= 0 else None
+    starts = np.array(sorted({*range(0, len(text) - n + 1, step), len(text) - n}))
+    low, high = np.searchsorted(at, starts), np.searchsorted(at, starts + n)
+    hits = np.concatenate([[0], np.cumsum([t[i : i + 2] in pairs for i in range(len(t) - 1)], dtype=np.int64), [0]])
+    # a window that is near enough has at least this part of the value's pairs
+    likely = np.flatnonzero(hits[np.maximum(high - 1, low)] - hits[low] >= threshold * len(pairs))
+    scored = []
+    for k in likely.tolist():
+        own = _pairs(t[low[k] : high[k]])
+        scored.append((len(own & pairs) / max(1, len(own | pairs)), -int(starts[k])))
+    score, start = max(scored, default=(0.0, 0))
+    return (-start, -start + n, FUZZY) if scored and score >= threshold else None
 
 
 def ground_value(value: str | None, text: str | None, threshold: float = DEFAULT_FUZZY) -> tuple[str, str, int, int, str]:
-    """(value, source text, start, end, status) of one cell."""
+    """(value, source text, start, end, status) of one cell.
+
+    A value of several segments is as good as its worst one, and uncertain if one of them is found nowhere; a single value that is found
+    nowhere is inferred.  Blank values are uncertain."""
     value, text = value or "", text or ""
-    none = (value, "", -1, -1, UNCERTAIN)
-    if not value.strip():
-        return none
-    threshold = threshold or DEFAULT_FUZZY
-
-    def single(v: str) -> tuple[int, int, str] | None:
-        return _exact(v, text) or _compact(v, text) or _fuzzy(v, text, threshold)
-
-    hit = _exact(value, text)
-    if hit is None:
-        parts = [p for p in re.split(r"[；;、，,\n]", value) if p.strip()]
-        if len(parts) > 1 and all(len(p.strip()) >= 2 for p in parts):
-            found = [_exact(p, text) or _compact(p, text) for p in parts]
-            if all(found) and not any(f[2] in (INFERRED, FUZZY) for f in found):
-                hit = min(found, key=lambda f: RANK[f[2]])
-        hit = hit or single(value)
-    return (value, text[hit[0] : hit[1]], hit[0], hit[1], hit[2]) if hit else none
+    parts = [p for p in _LIST_MARKS.split(value) if p.strip()]
+    if not parts and not value.strip():
+        return value, "", -1, -1, UNCERTAIN
+    whole = len(parts) < 2 or min(len(p.strip()) for p in parts) < LEAST_SEGMENT
+    found = [_exact(p, text) or _compact(p, text) or _fuzzy(p, text, threshold or DEFAULT_FUZZY) for p in ([value] if whole else parts)]
+    if None in found:
+        return value, "", -1, -1, INFERRED if whole else UNCERTAIN
+    start, end, status = min(found, key=lambda f: RANK[f[2]])
+    return value, text[start:end], start, end, status
 
 
 def ground_cells(df: DataFrame, values: str = "values", text: str = "source_text", threshold: float = DEFAULT_FUZZY) -> DataFrame:

@@ -3,6 +3,8 @@ so that the same function counts them."""
 
 from __future__ import annotations
 
+import operator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,10 +22,10 @@ def words_of(c: Column) -> Column:
 
 
 def word_distance(a: Column, b: Column) -> Column:
-    """Edits between word sequences: each distinct word of the pair becomes one character of the private range."""
+    """Edits between word sequences: each distinct word of the pair becomes one character above the basic plane (room for a million different words)."""
     x, y = words_of(a), words_of(b)
     all_words = F.array_distinct(F.concat(x, y))
-    sign = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.lit(0xE000).cast("int") + F.array_position(all_words, w).cast("int")), 4, "0")), "UTF-16BE")
+    sign = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.lit(0x10000).cast("int") + F.array_position(all_words, w).cast("int")), 8, "0")), "UTF-32")
     coded = lambda ws: F.array_join(F.transform(ws, sign), "")
     return F.levenshtein(coded(x), coded(y))
 
@@ -48,23 +50,27 @@ def compare_to_baseline(phases: DataFrame, baseline: str = "baseline") -> DataFr
 
 
 def agreement(candidate: list[list[str]], reference: list[list[str]]) -> tuple[int, int]:
-    """(cells that agree, cells compared): rows with the same first cell are paired by most equal cells, the rest in order."""
-    key = lambda v: _dedupe_key(v or "") or ""
-    equal = lambda a, b: sum(key(x) == key(y) for x, y in zip(a, b))
-    width = max((len(r) for r in (*candidate, *reference)), default=0)
-    total = max(len(candidate), len(reference)) * width
-    free = list(range(len(reference)))
+    """(cells that agree, cells compared).
+
+    Each reference row takes the free candidate row of the same first cell that agrees in most cells (the first of equals); reference rows without one take
+    the candidate rows left over, in order.  Compared are the columns of the first reference row, over as many rows as the longer side has."""
+    rows = [[tuple(_dedupe_key(c or "") or "" for c in row) for row in side] for side in (candidate, reference)]
+    if not any(rows):
+        return 0, 0
+    free: dict[int, tuple] = dict(enumerate(rows[0]))
+    by_key: dict[str, list[int]] = {}
+    for n, row in free.items():
+        by_key.setdefault(row[0] if row else "", []).append(n)
+    equal = lambda x, y: sum(map(operator.eq, x, y))
     matched, rest = 0, []
-    for row in candidate:
-        same = [j for j in free if row and reference[j] and key(row[0]) and key(row[0]) == key(reference[j][0])]
-        if same:
-            j = max(same, key=lambda j: (equal(row, reference[j]), -j))
-            matched += equal(row, reference[j])
-            free.remove(j)
+    for row in rows[1]:
+        pool = [n for n in by_key.get(row[0], ()) if n in free] if row and row[0] else []
+        if pool:
+            matched += equal(free.pop(max(pool, key=lambda n: (equal(free[n], row), -n))), row)
         else:
             rest.append(row)
-    matched += sum(equal(a, reference[j]) for a, j in zip(rest, free))
-    return matched, total
+    matched += sum(equal(x, y) for x, y in zip(free.values(), rest))
+    return matched, max(map(len, rows)) * len((rows[1] or rows[0])[0])
 
 
 def agreement_scores(samples: DataFrame, candidate: str = "candidate_rows", reference: str = "reference_rows") -> DataFrame:

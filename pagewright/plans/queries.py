@@ -43,11 +43,15 @@ def T(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    from . import made
+
+    return QUERIES | made.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    from . import made
+
+    return ORACLES | made.ORACLES
 
 
 # blanks as str.isspace knows them, as a class for RE2
@@ -214,8 +218,10 @@ def task_labels(spark, d):
     return T(spark, d, "tasks").select("task_id", "ingested_at", text.truncate_label("display_name").alias("label"), text.clamp_progress(F.col("pdf_total_pages") * 7, F.col("status")).alias("progress"))
 
 
-@query("""SELECT task_id, ingested_at, substr(CASE WHEN coalesce(s, '') = '' THEN 'export' ELSE s END, 1, 115) || '.xlsx' AS file_name FROM
-(SELECT task_id, ingested_at, regexp_replace(regexp_replace(display_name, '[<>:"/\\\\|?*]', '', 'g'), '^[. ]+|[. ]+$', '', 'g') AS s FROM tasks)""")
+@query(r"""SELECT task_id, ingested_at, CASE WHEN length(c) > room THEN CASE WHEN regexp_replace(substr(c, 1, room), '[ ._]+$', '') = '' THEN 'export' ELSE regexp_replace(substr(c, 1, room), '[ ._]+$', '') END ELSE c END || e AS file_name FROM
+(SELECT *, CASE WHEN k = '' THEN 'export' ELSE k END AS c, greatest(1, 120 - length(e)) AS room FROM
+(SELECT task_id, ingested_at, CASE WHEN x <> '' THEN x ELSE '.xlsx' END AS e, regexp_replace(trim(regexp_replace(CASE WHEN x <> '' THEN substr(l, 1, length(l) - length(x)) ELSE n END, '[<>:"/\\|?*\x00-\x1f]', '', 'g')), '\.+$', '') AS k FROM
+(SELECT *, regexp_extract(l, '^.+(\.[^.]+)$', 1) AS x FROM (SELECT *, regexp_replace(regexp_replace(n, '/+$', ''), '^.*/', '') AS l FROM (SELECT task_id, ingested_at, coalesce(nullif(trim(display_name), ''), 'example.xlsx') AS n FROM tasks)))))""")
 def export_names(spark, d):
     return T(spark, d, "tasks").select("task_id", "ingested_at", text.safe_file_name("display_name").alias("file_name"))
 
@@ -258,10 +264,6 @@ def parse_object_rows(spark, d):
     return made.select("row_id", "ingested_at", F.get(payload.objects_to_arrays(F.col("r"), ["amount", "gone", "no"]), F.lit(0)).alias("cells"))
 
 
-@query(r"""SELECT unit_id, regexp_replace(translate(text, '，：；｛｝［］（）', ',:;{}[]()'), ',\s*([\]}])', '\1', 'g') AS repaired FROM chunk_units WHERE text IS NOT NULL""")
-def repaired_json(spark, d):
-    return T(spark, d, "chunk_units").where("text is not null").select("unit_id", F.regexp_replace(F.translate("text", "，：；｛｝［］（）", ",:;{}[]()"), r",\s*([\]}])", "$1").alias("repaired"))
-
 
 @query("""SELECT unit_id, length(text) + length('rows' || chr(10) || chr(10) || 'examples:' || chr(10) || '[["a", "b"]]' || chr(10) || chr(10) || 'pass: 1/2' || chr(10) || 'text:' || chr(10) || '<<<' || chr(10) || chr(10) || '>>>' || chr(10) || 'Do not copy the examples.') AS prompt_chars FROM chunk_units WHERE text IS NOT NULL""")
 def chunk_prompts(spark, d):
@@ -272,10 +274,6 @@ def chunk_prompts(spark, d):
 # --- segmentation -------------------------------------------------------------------------------------
 
 
-@query(r"SELECT page_id, CAST(i AS INT) AS line_no, length(l) AS chars FROM (SELECT page_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM text_layers WHERE text IS NOT NULL)")
-def line_units(spark, d):
-    return T(spark, d, "text_layers").where("text is not null").select("page_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "l")).select("page_id", (F.col("i") + 1).alias("line_no"), F.length("l").alias("chars"))
-
 
 @query("SELECT doc_id, CAST(k AS INT) AS fragment, substr(text, CAST(k AS INT) * 500 + 1, 500) AS piece FROM (SELECT doc_id, text, unnest(range(0, greatest(1, CAST(ceil(length(text) / 500.0) AS BIGINT)))) AS k FROM documents WHERE text IS NOT NULL)")
 def char_fragments(spark, d):
@@ -344,7 +342,7 @@ def ground_exact(spark, d):
     return _cells(spark, d).select("row_id", "page_id", "v", ground.exact_status(F.col("v"), F.col("t")).alias("status"))
 
 
-@query(f"SELECT row_id, page_id, v, CASE WHEN regexp_replace(v, '{WS}+', '', 'g') <> '' AND instr(lower(regexp_replace(t, '{WS}+', '', 'g')), lower(regexp_replace(v, '{WS}+', '', 'g'))) > 0 OR regexp_replace(v, '[^\\p{{L}}\\p{{N}}]+', '', 'g') <> '' AND instr(lower(regexp_replace(t, '[^\\p{{L}}\\p{{N}}]+', '', 'g')), lower(regexp_replace(v, '[^\\p{{L}}\\p{{N}}]+', '', 'g'))) > 0 THEN 'INFERRED' END AS status FROM {_CELLS}")
+@query(f"SELECT row_id, page_id, v, CASE WHEN regexp_replace(v, '{WS}+', '', 'g') <> '' AND instr(lower(regexp_replace(t, '{WS}+', '', 'g')), lower(regexp_replace(v, '{WS}+', '', 'g'))) > 0 OR regexp_replace(v, '[^\\p{{L}}\\p{{N}}]+', '', 'g') <> '' AND instr(lower(regexp_replace(t, '[^\\p{{L}}\\p{{N}}]+', '', 'g')), lower(regexp_replace(v, '[^\\p{{L}}\\p{{N}}]+', '', 'g'))) > 0 THEN 'ASSIGNED' END AS status FROM {_CELLS}")
 def ground_compact(spark, d):
     return _cells(spark, d).select("row_id", "page_id", "v", ground.compact_status(F.col("v"), F.col("t")).alias("status"))
 
@@ -361,20 +359,6 @@ def grounding_ranks(spark, d):
     return s.agg(F.count("*").alias("rows"), F.count_if(F.col("s") == "ASSIGNED").alias("assigned"), F.count_if(F.col("s") == "ASSIGNED_PARTIAL").alias("partial"), F.sum(ground.status_rank(F.coalesce("s", F.lit("UNCERTAIN")))).alias("ranks"))
 
 
-def _filtered(mode: str, spark, d):
-    c = _cells(spark, d).withColumn("status", F.coalesce(ground.exact_status(F.col("v"), F.col("t")), F.lit("UNCERTAIN")))
-    cells = F.array(F.struct(F.col("v").alias("value"), F.col("status")))
-    return c.withColumn("cells", cells).withColumn("classification", ground.classify_row(cells)).where(ground.passes_grounding(F.col("cells"), F.col("classification"), mode)).select("row_id", "page_id", "v", "classification")
-
-
-@query(f"SELECT row_id, page_id, v, 'ASSIGNED' AS classification FROM (SELECT *, {_EXACT_SQL} AS s FROM {_CELLS}) WHERE {strip_sql("coalesce(v, '')")} <> '' AND s IN ('ASSIGNED', 'ASSIGNED_PARTIAL')")
-def grounding_filter_strict(spark, d):
-    return _filtered("strict", spark, d)
-
-
-@query(ORACLES["grounding_filter_strict"])
-def grounding_filter_balanced(spark, d):
-    return _filtered("balanced", spark, d)
 
 
 @query(r"SELECT row_id, ingested_at, list_filter(string_split_regex(seller_addr_phone, '[；;、，,\n]'), lambda s: regexp_replace(s, '" + WS + r"+', '', 'g') <> '') AS parts FROM invoices")
@@ -444,9 +428,11 @@ def page_confidence(spark, d):
     return pages.select("page_id", c["avg"].alias("avg_score"), c["min"].alias("min_score"), layout.needs_retry(s, 0.8).alias("retry"))
 
 
-@query("SELECT page_id, coalesce(block_count >= block_count - 2 AND 0.5 * ocr_confidence + 0.5 * ocr_confidence > 0.5 * confidence_min + 0.5 * ocr_confidence + 0.03, false) AS better FROM ocr_pages")
+@query("""SELECT page_id, coalesce(b2 >= block_count - 2 AND 0.5 * m2 + 0.5 * a2 > 0.5 * confidence_min + 0.5 * ocr_confidence + 0.03, false) AS better FROM
+(SELECT *, block_count - page_id % 5 AS b2, confidence_min + 0.1 * (page_id % 3) AS m2, ocr_confidence + 0.02 AS a2 FROM ocr_pages)""")
 def retry_choice(spark, d):
-    return T(spark, d, "ocr_pages").select("page_id", layout.second_is_better(F.col("block_count"), F.col("confidence_min"), F.col("ocr_confidence"), F.col("block_count"), F.col("ocr_confidence"), F.col("ocr_confidence")).alias("better"))
+    second = (F.col("block_count") - F.col("page_id") % 5, F.col("confidence_min") + F.lit(0.1) * (F.col("page_id") % 3), F.col("ocr_confidence") + 0.02)
+    return T(spark, d, "ocr_pages").select("page_id", layout.second_is_better(F.col("block_count"), F.col("confidence_min"), F.col("ocr_confidence"), *second).alias("better"))
 
 
 def _layout(parser: str):
@@ -483,27 +469,6 @@ def uncovered_regions(spark, d):
     return pages.select("l_orderkey", F.size(layout.uncovered_regions(F.col("images"), F.col("texts"), F.lit(600.0), F.lit(800.0))).alias("regions"))
 
 
-@query()
-def attribution_divisions(spark, d):
-    groups = [attribute.Group("buyer", ("buyer_name",), ("购买方名称", "购买方")), attribute.Group("seller", ("seller_name",), ("销售方名称", "销售方"))]
-    blocks = T(spark, d, "ocr_blocks").dropDuplicates(["block_id"])
-    e = layout.box_edges(F.col("box"))
-    sizes = blocks.groupBy("page_id").agg(F.max(e["right"]).alias("width"), F.max(e["bottom"]).alias("height"))
-    found = attribute.page_divisions(attribute.find_anchors(blocks, groups), sizes, "buyer", "seller")
-    return found.select("page_id", "division.mode", "division.split", "division.low", "division.high")
-
-
-@query()
-def attribution_corrected(spark, d):
-    groups = [attribute.Group("buyer", ("buyer_name",), ("购买方名称", "购买方")), attribute.Group("seller", ("seller_name",), ("销售方名称", "销售方"))]
-    blocks = T(spark, d, "ocr_blocks").dropDuplicates(["block_id"])
-    e = layout.box_edges(F.col("box"))
-    sizes = blocks.groupBy("page_id").agg(F.max(e["right"]).alias("width"), F.max(e["bottom"]).alias("height"))
-    division = attribute.page_divisions(attribute.find_anchors(blocks, groups), sizes, "buyer", "seller")
-    located = blocks.join(division, "page_id").select("page_id", "line_no", F.struct("text", attribute.region_of((e["left"] + e["right"]) / 2, (e["top"] + e["bottom"]) / 2, F.col("division")).alias("region")).alias("b"))
-    per_page = located.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "b"))), lambda x: x["b"]).alias("blocks"))
-    rows = T(spark, d, "invoices").select("row_id", "task_id", "page_index", "buyer_name", "seller_name").join(T(spark, d, "ocr_pages").select("page_id", "task_id", "page_index"), ["task_id", "page_index"]).join(per_page, "page_id")
-    return rows.select("row_id", "page_id", attribute.correct_pair(F.col("buyer_name"), F.col("seller_name"), F.col("blocks"), "buyer", "seller").alias("c")).select("row_id", "page_id", F.col("c.a").alias("buyer_name"), F.col("c.b").alias("seller_name"), "c.verdict")
 
 
 @query("""SELECT task_id, row_id, attempt FROM (SELECT task_id, row_id, CAST(row_number() OVER (PARTITION BY task_id ORDER BY row_id, ingested_at) AS INT) AS attempt FROM invoices WHERE coalesce(buyer_tax_no, ' ') = ' ') WHERE attempt <= 5""")
@@ -704,11 +669,6 @@ def agreement(spark, d):
     return quality.agreement_scores(samples).select("task_id", "matched", "compared")
 
 
-@query("SELECT 1.0 AS agreement")
-def agreement_total(spark, d):
-    rows = T(spark, d, "orders").select("o_orderkey", F.array(F.array(F.col("o_orderkey").cast("string"), "o_orderstatus")).alias("a"))
-    return quality.aggregate_agreement(quality.agreement_scores(rows, "a", "a"))
-
 
 # --- sinks and streams --------------------------------------------------------------------------------
 

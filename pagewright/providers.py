@@ -42,11 +42,11 @@ class RuleProvider:
 
 
 # What an HTTP status means.
-STATUS_CODES = {400: "E_LLM_003", 401: "E_LLM_004", 403: "E_LLM_004", 404: "E_LLM_003", 422: "E_LLM_003", 429: "E_LLM_005"}
+STATUS_CODES = {400: "E_LLM_003", 401: "E_LLM_004", 403: "E_LLM_004", 422: "E_LLM_003", 429: "E_LLM_005"}
 
 
 def status_code(status: int) -> str:
-    return STATUS_CODES.get(status, "E_LLM_006" if status >= 500 else "E_LLM_003")
+    return STATUS_CODES.get(status, "E_LLM_006")
 
 
 class HttpProvider:

@@ -33,7 +33,7 @@ def shared_folder(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", "")
         if not named:
-            if not context.master.startswith("local["):
+            if not (context.master == "local" or context.master.startswith("local[")):  # executors on other machines, or processes of their own
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             named = os.path.join(tempfile.gettempdir(), "pagewright-checkpoints")
         context.setCheckpointDir(named)

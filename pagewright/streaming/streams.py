@@ -51,11 +51,12 @@ def task_states(commands: DataFrame) -> DataFrame:
     return commands.groupBy("task_id").applyInPandasWithState(_advance, "task_id string, state string, refused int, last_error string", "state string, refused int", "update", GroupStateTimeout.NoTimeout)
 
 
-def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", limit_s: int = 60) -> None:
-    """Work off what is there: each micro batch goes through ``each``; a failure in it stops the query with its offsets kept."""
+def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", limit_s: float | None = None) -> None:
+    """Work off what is there, however long it takes (or at most ``limit_s``): each micro batch goes through ``each``; a failure in it stops the query with its offsets kept."""
     running = stream.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     try:
-        if not running.awaitTermination(limit_s):
+        ended = running.awaitTermination(limit_s)
+        if limit_s is not None and not ended:
             raise TimeoutError(f"the stream did not end within {limit_s} s")
     finally:
         running.stop()
