@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -261,19 +262,26 @@ def encoder(rank_file: str) -> Encoder:
     return Encoder(rank_file)
 
 
+def _shipped(df: DataFrame, folder: str, vocabulary: str) -> str:
+    """The name under which the rank file reaches every executor; only the driver needs the folder."""
+    name = f"{vocabulary}.tiktoken"
+    df.sparkSession.sparkContext.addFile(f"{folder}/{name}")
+    return name
+
+
 def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = "byte_bpe_50k", folder: str = DEFAULT_FOLDER, offsets: bool = False) -> DataFrame:
     """``key`` and ``ids`` of every row, and with ``offsets`` also ``ends``: the byte offset at which each token ends.
 
     One narrow pass: no shuffle, columns are pruned to two, each Arrow batch is pre-tokenised as one array.  Rows with a
     null key are kept.  Repeated rows each give their row.
     """
-    path = f"{folder}/{vocabulary}.tiktoken"
+    name = _shipped(df, folder, vocabulary)
     fields = [T.StructField(key, df.schema[key].dataType), T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)]
     if offsets:
         fields.append(T.StructField("ends", T.ArrayType(T.LongType(), False), False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own = encoder(SparkFiles.get(name))
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a in range(0, len(texts), 512):
@@ -292,10 +300,10 @@ def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", vocabul
 
 def decode_ids(df: DataFrame, key: str = "doc_id", ids: str = "ids", vocabulary: str = "byte_bpe_50k", folder: str = DEFAULT_FOLDER) -> DataFrame:
     """``key`` and ``text`` from ids; an empty list gives the empty text, a null list null."""
-    path = f"{folder}/{vocabulary}.tiktoken"
+    name = _shipped(df, folder, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own = encoder(SparkFiles.get(name))
         for batch in batches:
             texts = [None if x is None else own.decode(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[key, "text"])
