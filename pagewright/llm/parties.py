@@ -18,7 +18,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -171,7 +171,9 @@ def _parse_chinese(text: str) -> dict[str, str]:
 
 
 def _losses(word: str) -> set[str]:
-    return {word} | {word[:i] + word[i + 1 :] for i in range(len(word))}
+    """A word and what is left without one of its characters.  One character alone would stand for too many words, so a word of two is
+    its own form and that of its swapped characters."""
+    return {word} | ({word[:i] + word[i + 1 :] for i in range(len(word))} if len(word) > 2 else {"".join(sorted(word))})
 
 
 def rewritings(name: str) -> list[tuple[str, str, str, str]]:
@@ -233,12 +235,13 @@ def spellings(rows: DataFrame, *columns: str) -> DataFrame:
     return all_names.where("name is not null").where(F.length(F.regexp_replace("name", r"(?U)\s", "")) > 0).distinct()
 
 
-def _components(edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """(node, label): the smallest node that each node is connected to; labels spread and jump until nothing changes."""
+def _components(edges: DataFrame) -> DataFrame:
+    """(node, label): the smallest node that each node is connected to; labels spread and jump until nothing changes, in about as many rounds as the
+    logarithm of the longest chain."""
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other"))).distinct()
     both = cut(both)
     labels = both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("label"))
-    for _ in range(rounds):
+    while True:
         labels = cut(labels)
         spread = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("label").alias("near"))
         lower = labels.join(spread, "node", "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("next"))
@@ -247,12 +250,12 @@ def _components(edges: DataFrame, rounds: int = 30) -> DataFrame:
         labels = moved.select("node", F.col("next").alias("label"))
         if moved.where("label <> next").isEmpty():
             return labels
-    return labels
 
 
-@F.pandas_udf(T.BooleanType())
-def _one_slip(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([one_slip(x, y) for x, y in zip(a, b)], dtype=bool)
+def _one_slip(a: str, b: str) -> Column:
+    """``one_slip`` of two columns: one edit apart, or the same but for two neighbours swapped."""
+    swapped = F.expr(f"length({a}) = length({b}) and exists(sequence(1, greatest(1, length({a}) - 1)), i -> concat(substring({a}, 1, i - 1), substring({a}, i + 1, 1), substring({a}, i, 1), substring({a}, i + 2)) = {b})")
+    return (F.levenshtein(a, b, 1) >= 0) | swapped
 
 
 def party_classes(names: DataFrame) -> DataFrame:
