@@ -12,6 +12,7 @@ import unicodedata
 from dataclasses import dataclass
 from statistics import median
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,50 +72,54 @@ def levelled(blocks: list[Block]) -> None:
             b.r, b.b = max(x for x, _ in ps) + max(dx, 0), max(y for _, y in ps) + max(dy, 0)
 
 
+def _shares_line(top, bottom, row_top, row_bottom):
+    """Whether heights overlap by more than half of the lower one; of numbers or of arrays."""
+    low = np.minimum(np.maximum(0.0, bottom - top), row_bottom - row_top)
+    return (low > 0) & (np.minimum(bottom, row_bottom) - np.maximum(top, row_top) > 0.5 * low)
+
+
 def rows_of(blocks: list[Block], last_only: bool = False) -> list[list[Block]]:
-    """Blocks put into the first row (or only the last one) that they overlap by more than half of the lower height."""
-    rows: list[list[Block]] = []
-    bounds: list[list[float]] = []
-    for b in sorted(blocks, key=lambda x: x.order):
-        for i in range(len(rows) - 1 if last_only else 0, len(rows)):
-            if i < 0:
-                continue
-            top, bottom = bounds[i]
-            low = min(b.h, bottom - top)
-            if low > 0 and min(b.b, bottom) - max(b.t, top) > low * 0.5:
-                rows[i].append(b)
-                bounds[i] = [min(top, b.t), max(bottom, b.b)]
-                break
-        else:
-            rows.append([b])
-            bounds.append([b.t, b.b])
-    for r in rows:
-        r.sort(key=lambda x: (x.l, x.t))
-    return sorted(rows, key=lambda r: r[0].order)
+    """Blocks put into the first row (or only the last one) that they overlap by more than half of the lower height: a sweep from the top over the
+    rows' bounds as one array."""
+    ordered = sorted(blocks, key=lambda x: x.order)
+    bounds = np.zeros((len(ordered), 2))
+    row_of: list[int] = []
+    n = 0
+    for b in ordered:
+        since = max(0, n - 1) if last_only else 0
+        fits = np.flatnonzero(_shares_line(b.t, b.b, bounds[since:n, 0], bounds[since:n, 1]))
+        row = since + int(fits[0]) if len(fits) else n
+        bounds[row] = (min(bounds[row, 0], b.t), max(bounds[row, 1], b.b)) if row < n else (b.t, b.b)
+        n = max(n, row + 1)
+        row_of.append(row)
+    members: list[list[Block]] = [[] for _ in range(n)]
+    for b, row in zip(ordered, row_of):
+        members[row].append(b)
+    return sorted((sorted(r, key=lambda x: (x.l, x.t)) for r in members), key=lambda r: r[0].order)
 
 
 def column_cuts(rows: list[list[Block]]) -> list[tuple[float, float]]:
-    """Vertical gaps that go through at least two neighbouring rows with gaps, overlapping ones as their common part."""
-    live: list[tuple[float, float, int, int]] = []
-    done: list[tuple[float, float, int, int]] = []
+    """Vertical gaps that go through at least two neighbouring rows with gaps, overlapping ones as their common part.
+
+    A table of strips (left, right, first row, last row) is intersected with each row's gaps at once."""
+    strips, ended = np.zeros((0, 4)), []
     for n, row in enumerate(rows):
-        gaps = [(x.r, y.l) for x, y in zip(row, row[1:]) if y.l > x.r]
-        went, used = [], set()
-        for a, b, top, bottom in live:
-            cut = [(max(a, c), min(b, d), i) for i, (c, d) in enumerate(gaps) if min(b, d) > max(a, c)]
-            used |= {i for *_, i in cut}
-            went += [(c, d, top, n) for c, d, _ in cut]
-            if not cut:
-                done.append((a, b, top, bottom))
-        live = sorted(went + [(c, d, n, n) for i, (c, d) in enumerate(gaps) if i not in used])
+        gaps = np.array([(x.r, y.l) for x, y in zip(row, row[1:]) if y.l > x.r]).reshape(-1, 2)
+        left, right = np.maximum.outer(strips[:, 0], gaps[:, 0]), np.minimum.outer(strips[:, 1], gaps[:, 1])
+        meet = right > left
+        ended.append(strips[~meet.any(axis=1)])
+        of = np.nonzero(meet)[0]
+        longer = np.column_stack([left[meet], right[meet], strips[of, 2], np.full(len(of), n)])
+        fresh = gaps[~meet.any(axis=0)]
+        strips = np.concatenate([longer, np.column_stack([fresh, np.full((len(fresh), 2), n)])])
     out: list[tuple[float, float]] = []
-    for a, b, top, bottom in sorted(done + live):
-        if bottom <= top:
-            continue
-        if out and min(out[-1][1], b) > max(out[-1][0], a):
-            out[-1] = (max(out[-1][0], a), min(out[-1][1], b))
-        else:
-            out.append((a, b))
+    for a, b, top, bottom in sorted(map(tuple, np.concatenate([*ended, strips]).tolist())):
+        if bottom > top:
+            common = (max(out[-1][0], a), min(out[-1][1], b)) if out else (0.0, 0.0)
+            if common[1] > common[0]:
+                out[-1] = common
+            else:
+                out.append((a, b))
     return out
 
 
@@ -156,45 +161,57 @@ def block_separator(a: Block, b: Block) -> str:
     return word_separator(a.text.strip()[-1:], b.text.strip()[:1])
 
 
-def _stats(p: list[Block]) -> tuple[float, float, float, float]:
-    n = len(p)
-    space = [y.t - x.b for x, y in zip(p, p[1:])]
-    return sum(b.l for b in p) / n, sum(b.r for b in p) / n, sum(b.h for b in p) / n, sum(space) / len(space) if space else 0.0
+@dataclass
+class _Shape:
+    """Mean edges, height and spacing of a paragraph's lines, and its first top and last bottom."""
+
+    left: float
+    right: float
+    height: float
+    space: float
+    top: float
+    bottom: float
+
+    @staticmethod
+    def of(lines: list[Block]) -> _Shape:
+        edges = np.array([(b.l, b.r, b.h, b.t, b.b) for b in lines])
+        left, right, height = edges[:, :3].mean(axis=0).tolist()
+        return _Shape(left, right, height, float((edges[1:, 3] - edges[:-1, 4]).mean()) if len(lines) > 1 else 0.0, edges[0, 3], edges[-1, 4])
+
+
+def _homes(out: list[list[Block]], i: int) -> list[tuple[float, int]]:
+    """(distance, side) of the neighbouring paragraphs that a single line aligns with: -1 for the one above, 1 for the one below."""
+    line, found = out[i][0], []
+    if i:
+        above = _Shape.of(out[i - 1])
+        gap = line.t - above.bottom
+        if abs(line.l - above.left) <= line.h and line.r <= above.right and gap <= above.space + 0.5 * line.h:
+            found.append((gap, -1))
+    if i + 1 < len(out):
+        below = _Shape.of(out[i + 1])
+        indent = line.l - below.left
+        if (indent >= line.h or abs(indent) <= line.h) and (len(out[i + 1]) == 1 or line.r <= below.right):
+            found.append((below.top - line.b, 1))
+    return found
 
 
 def paragraphs_of(blocks: list[Block]) -> list[list[Block]]:
     """Consecutive blocks with like edges and line spacing; single lines join the neighbour they align with, the nearer one of two."""
     out: list[list[Block]] = []
     for b in blocks:
-        if out:
-            left, right, height, space = _stats(out[-1])
-            if abs(left - b.l) <= height * ALIGN and abs(right - b.r) <= height * ALIGN and b.t - out[-1][-1].b <= space + height * 0.5:
-                out[-1].append(b)
-                continue
-        out.append([b])
+        shape = _Shape.of(out[-1]) if out else None
+        if shape and max(abs(shape.left - b.l), abs(shape.right - b.r)) <= shape.height * ALIGN and b.t - shape.bottom <= shape.space + 0.5 * shape.height:
+            out[-1].append(b)
+        else:
+            out.append([b])
     i = 0
-    while len(out) > 1 and i < len(out):
-        if len(out[i]) != 1:
-            i += 1
-            continue
-        o = out[i][0]
-        up = down = False
-        if i:
-            left, right, _, space = _stats(out[i - 1])
-            up = abs(o.l - left) <= o.h and o.r <= right and o.t - out[i - 1][-1].b <= space + o.h * 0.5
-        if i + 1 < len(out):
-            left, right, _, _ = _stats(out[i + 1])
-            down = (abs(o.l - left) <= o.h or o.l >= left + o.h) and (len(out[i + 1]) == 1 or o.r <= right)
-        if up and down:
-            up = o.t - out[i - 1][-1].b <= out[i + 1][0].t - o.b
-        if up:
-            out[i - 1].append(o)
-        elif down:
-            out[i + 1].insert(0, o)
+    while i < len(out):
+        homes = _homes(out, i) if len(out[i]) == 1 else []
+        if homes:
+            _, side = min(homes)
+            out[min(i, i + side) : max(i, i + side) + 1] = [out[i - 1] + out[i] if side < 0 else out[i] + out[i + 1]]
         else:
             i += 1
-            continue
-        del out[i]
     return out
 
 
@@ -235,16 +252,14 @@ def arrange(blocks: list[Block], parser: str) -> list[Block]:
 
 
 def rows_of_order(ordered: list[Block]) -> list[list[Block]]:
-    """Rows of blocks that follow each other in reading order and overlap vertically."""
+    """Rows of blocks that follow each other in reading order, from left to right, and overlap vertically."""
     rows: list[list[Block]] = []
     for b in ordered:
-        if rows:
-            top, bottom = min(x.t for x in rows[-1]), max(x.b for x in rows[-1])
-            low = min(b.h, bottom - top)
-            if low > 0 and min(b.b, bottom) - max(b.t, top) > low * 0.5 and b.l >= rows[-1][-1].l:
-                rows[-1].append(b)
-                continue
-        rows.append([b])
+        last = rows[-1] if rows else []
+        if last and b.l >= last[-1].l and _shares_line(b.t, b.b, min(x.t for x in last), max(x.b for x in last)):
+            last.append(b)
+        else:
+            rows.append([b])
     return rows
 
 
