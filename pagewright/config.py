@@ -9,9 +9,12 @@ import tempfile
 from dataclasses import asdict, dataclass, field, fields, replace
 from typing import Any
 
+from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .functions.payload import _first_value, _repaired
+from .functions.text import infer_type, strip_u
 from .operators.segment import PROFILES, LineRules
 
 # Recognition profiles.
@@ -290,3 +293,48 @@ CONTACTS = Template("contacts", "contacts", "one row for each person", (("姓名
 
 def default_catalog() -> Catalog:
     return Catalog([INVOICE, CONTACTS])
+
+
+def inferred_columns(examples: DataFrame, existing: DataFrame) -> DataFrame:
+    """(template_id, ordinal, name, type) of every template: the columns it has, and for example columns beyond them the header's name and the type that
+    name and values suggest.
+
+    ``examples`` has (template_id, row_no from 0, cells): row 0 is the header; ``existing`` has (template_id, ordinal, name, type).  One
+    aggregation by template and column; a template without examples keeps what it has."""
+    cells = examples.select("template_id", "row_no", F.posexplode("cells").alias("ordinal", "cell"))
+    header = cells.where("row_no = 0").select("template_id", "ordinal", F.coalesce("cell", F.lit("")).alias("name"))
+    named = header.join(existing.select("template_id", "ordinal"), ["template_id", "ordinal"], "left_anti")
+    has = existing.groupBy("template_id").agg((F.max("ordinal") + 1).alias("has"))
+    named = named.join(has, "template_id", "left").where(F.col("ordinal") >= F.coalesce("has", F.lit(0))).drop("has")
+    values = cells.where("row_no > 0").select("template_id", "ordinal", "cell")
+    typed = named.join(values, ["template_id", "ordinal"], "left").groupBy("template_id", "ordinal", "name").agg(infer_type(F.col("name"), F.col("cell")).alias("type"))
+    return existing.select("template_id", "ordinal", "name", "type").unionByName(typed.select("template_id", "ordinal", "name", "type"))
+
+
+# What a setting may be, and what is said where it is not.
+CHOICES = {"ocr_profile": ("fast", "balanced", "accurate"), "extraction_profile": ("fast", "balanced", "accurate"), "grounding_mode": ("off", "balanced", "strict")}
+PARSER_CHOICES = ("single_line", "multi_para", "none")
+CONTEXT_SIZES = (2048, 32768)
+PROVIDERS = ("openai_compatible", "ollama")
+
+
+def settings_problem() -> SparkColumn:
+    """The first thing wrong with a row of settings (all strings but the flags), null where nothing is.
+
+    Reads provider, base_url, model, prompts, examples_raw, api_key, needs_key, ocr_profile, extraction_profile, grounding_mode, ocr_layout_parser, parser_edited,
+    ollama_num_ctx, online, online_url, online_key; nulls are missing values."""
+    c = lambda n: F.coalesce(F.col(n), F.lit(""))
+    no_url = lambda n: ~strip_u(c(n)).rlike(r"(?i)^https?://[^/\s?#]+")
+    size = F.col("ollama_num_ctx").try_cast("int")
+    checks = [
+        (~c("provider").isin(*PROVIDERS), "provider: unsupported value."),
+        (no_url("base_url"), "base_url: must be a valid http(s) URL."),
+        *[(c(n) == "", f"{n}: required.") for n in ("model", "prompts", "examples_raw")],
+        ((F.col("provider") == PROVIDERS[0]) & F.coalesce("needs_key", F.lit(True)) & (c("api_key") == ""), "api_key: required for openai_compatible."),
+        *[(~c(n).isin(*words), f"{n}: must be {'/'.join(words)}.") for n, words in CHOICES.items()],
+        (F.coalesce("parser_edited", F.lit(False)) & ~c("ocr_layout_parser").isin(*PARSER_CHOICES), f"ocr_layout_parser: must be {'/'.join(PARSER_CHOICES)}."),
+        (~F.coalesce(size.between(*CONTEXT_SIZES), F.lit(False)), f"ollama_num_ctx: must be integer in [{CONTEXT_SIZES[0]}, {CONTEXT_SIZES[1]}]."),
+        (F.coalesce("online", F.lit(False)) & no_url("online_url"), "ocr_online_base_url: must be a valid http(s) URL."),
+        (F.coalesce("online", F.lit(False)) & (c("online_key") == ""), "ocr_online_api_key: required when online OCR is enabled."),
+    ]
+    return F.coalesce(*[F.when(wrong, F.lit(said)) for wrong, said in checks])

@@ -1,16 +1,18 @@
 """Task states and the retry budget: ordered folds inside one key.
 
-A fold over the events of a key is written once as a plain function and used in batch (``applyInPandas`` per key,
-or ``aggregate`` over the key's sorted array) and in streams."""
+A fold over the events of a key is written once as a plain function and used in batch (over stretches that compose, or by
+``aggregate`` over the key's sorted array) and in streams."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Which command leads from which state where, and the code of a refused one.
 TRANSITIONS = {
@@ -45,32 +47,67 @@ def replay(commands: Iterable[str], state: str = "pending") -> tuple[str, int, s
     return state, refused, code
 
 
-def replay_tasks(commands: DataFrame, key: str = "task_id", order: str = "seq", command: str = "command") -> DataFrame:
-    """``key``, ``state``, ``refused`` and ``last_error`` after all commands in order.
+STATES = tuple(dict.fromkeys(["pending", *(s for _, s in TRANSITIONS), *TRANSITIONS.values(), "removed"]))
+_RUN = T.StructType([T.StructField("ends", T.ArrayType(T.IntegerType())), T.StructField("refused", T.ArrayType(T.LongType())), T.StructField("errors", T.ArrayType(T.StringType()))])
+
 
-    The commands of a key are packed by aggregation and folded in the JVM over the sorted array: the state is a small struct."""
-    packed = commands.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(command).alias("c")))).alias("cs"))
+class Runs:
+    """Stretches of commands as functions of the state before them: where each state leads, how many commands it refuses, the code of the last one.
 
-    def next_state(s: Column, c: Column) -> Column:
-        out = F.lit(None).cast("string")
-        for (cmd, state), new in TRANSITIONS.items():
-            out = F.when((c == cmd) & (s == state), F.lit(new)).otherwise(out)
-        return F.when(c == "clear", F.when(F.startswith(s, F.lit("running")), F.lit(None)).otherwise("removed")).otherwise(out)
+    Functions of stretches are composed, so a long history can be cut anywhere and its stretches folded side by side."""
 
-    def refused_code(c: Column) -> Column:
-        out = F.lit("E_UI_001")
-        for cmd, code in REFUSED.items():
-            out = F.when(c == cmd, code).otherwise(out)
-        return out
+    def __init__(self):
+        self.known: dict[tuple[tuple[int, ...], str], tuple[tuple[int, ...], tuple[int, ...], str | None]] = {}
 
-    start = F.struct(F.lit("pending").alias("state"), F.lit(0).alias("refused"), F.lit(None).cast("string").alias("error"))
+    def _next(self, at: tuple[int, ...], command: str) -> tuple[tuple[int, ...], tuple[int, ...], str | None]:
+        """(states after one more command, the starting states for which it is refused, the code of the refusal)."""
+        steps = [step(STATES[s], command) for s in at]
+        return tuple(STATES.index(s) for s, _ in steps), tuple(i for i, (_, e) in enumerate(steps) if e), next((e for _, e in steps if e), None)
 
-    def fold(a: Column, x: Column) -> Column:
-        new = next_state(a["state"], x["c"])
-        return F.struct(F.coalesce(new, a["state"]).alias("state"), (a["refused"] + F.when(new.isNull(), 1).otherwise(0)).alias("refused"), F.when(new.isNull(), refused_code(x["c"])).otherwise(a["error"]).alias("error"))
+    def fold(self, commands: Iterable[str], run: tuple | None = None) -> tuple[tuple[int, ...], list[int], list[str | None]]:
+        at, refused, errors = run or (tuple(range(len(STATES))), [0] * len(STATES), [None] * len(STATES))
+        for c in commands:
+            found = self.known.get((at, c))
+            if found is None:
+                found = self.known[at, c] = self._next(at, c)
+            at, hit, code = found
+            for i in hit:
+                refused[i] += 1
+                errors[i] = code
+        return at, refused, errors
 
-    done = packed.select(key, F.aggregate("cs", start, fold).alias("r"))
-    return done.select(key, "r.state", "r.refused", F.col("r.error").alias("last_error"))
+
+def replay_tasks(commands: DataFrame, key: str = "task_id", order: str = "seq", command: str = "command") -> DataFrame:
+    """``key``, ``state``, ``refused`` and ``last_error`` after all commands in order; commands without a key belong to no task.
+
+    Commands are ranged by key and order, so the history of a key that holds a large part of all rows lies on as many partitions as it needs.  Each partition
+    folds its stretch of a key, batch by batch, to one function of the state before it; the few functions of a key are then applied in order, in the JVM."""
+    schema = T.StructType([T.StructField("k", commands.schema[key].dataType), T.StructField("first", commands.schema[order].dataType), *_RUN.fields])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        runs, open_key, first, now = Runs(), None, None, None
+        for batch in batches:
+            done = []
+            starts = np.flatnonzero((batch["k"] != batch["k"].shift()).to_numpy())
+            words = batch["c"].tolist()
+            for a, b in zip(starts, [*starts[1:], len(words)]):
+                k = batch["k"].iloc[a]
+                if now is not None and k != open_key:
+                    done.append((open_key, first, *now))
+                    now = None
+                if now is None:
+                    open_key, first = k, batch["o"].iloc[a]
+                now = runs.fold(words[a:b], now)
+            yield pd.DataFrame(done, columns=schema.names)
+        if now is not None:
+            yield pd.DataFrame([(open_key, first, *now)], columns=schema.names)
+
+    ranged = commands.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(command).alias("c")).repartitionByRange("k", "o", "c").sortWithinPartitions("k", "o", "c")
+    packed = ranged.mapInPandas(run, schema).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("first", "ends", "refused", "errors"))).alias("runs"))
+    start = F.struct(F.lit(0).alias("state"), F.lit(0).cast("long").alias("refused"), F.lit(None).cast("string").alias("error"))
+    at = lambda x, field, s: F.get(x[field], s["state"])
+    done = packed.select("k", F.aggregate("runs", start, lambda s, x: F.struct(at(x, "ends", s).alias("state"), (s["refused"] + at(x, "refused", s)).alias("refused"), F.coalesce(at(x, "errors", s), s["error"]).alias("error"))).alias("r"))
+    return done.select(F.col("k").alias(key), F.get(F.array(*map(F.lit, STATES)), F.col("r.state")).alias("state"), F.col("r.refused").cast("int").alias("refused"), F.col("r.error").alias("last_error"))
 
 
 def retry_budget(pages: DataFrame, key: str = "task_id", order: str = "page_index", budget: int = RETRY_BUDGET, unimproved: int = RETRY_UNIMPROVED) -> DataFrame:

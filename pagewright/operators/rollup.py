@@ -140,6 +140,37 @@ def project_results(base: DataFrame, stream: DataFrame, actions: DataFrame, supp
     return joined.withColumn("action", F.when(F.coalesce(F.col("is_error_row"), F.lit(False)), F.col("action")).otherwise(F.coalesce("__action", "action"))).drop("__action")
 
 
+#: Events that replace all rows of a task, and the one that replaces those of a page.
+WHOLE_EVENTS, PAGE_EVENT = ("progressed", "succeeded", "failed"), "page_streamed"
+
+
+def review_texts(events: DataFrame) -> DataFrame:
+    """(task_id, page_index, text, markdown, retry_triggered, retry_applied) after all events (task_id, seq, event_type, page_index, text, markdown,
+    retry_triggered, retry_applied): the last one of each task and page that says something, page null for the whole task.
+
+    Text comes from any event of the task; markdown and the retry's outcome only from completed recognition, and its markdown replaces the one before even by
+    nothing.  Events without a task say nothing."""
+    own = events.where("coalesce(task_id, '') <> ''")
+    last = lambda c, when: F.max_by(F.when(when, F.col(c)), F.when(when, F.col("seq"))).alias(c)
+    seen = F.col("event_type") == "ocr_completed"
+    return own.groupBy("task_id", "page_index").agg(last("text", F.col("text").isNotNull()), *[last(c, seen) for c in ("markdown", "retry_triggered", "retry_applied")])
+
+
+def review_rows(events: DataFrame) -> DataFrame:
+    """(task_id, page_index, seq, row) shown after all events with ``rows`` (array of struct(page_index, value)): those of the task's last event that
+    replaces all rows, but for pages that a later page event has replaced.
+
+    Only the deciding events' rows are exploded: sequence numbers are aggregated first, so a long history costs no more than a short one."""
+    own = events.where("coalesce(task_id, '') <> ''")
+    whole = own.where(F.col("event_type").isin(*WHOLE_EVENTS)).groupBy("task_id").agg(F.max("seq").alias("seq"))
+    page = own.where(F.col("event_type") == PAGE_EVENT).groupBy("task_id", "page_index").agg(F.max("seq").alias("seq"))
+    later = page.join(whole.withColumnRenamed("seq", "since"), "task_id", "left").where("since is null or seq > since").select("task_id", "page_index", "seq")
+    base = own.select("task_id", "seq", "rows").join(whole, ["task_id", "seq"], "left_semi").select("task_id", "seq", F.explode("rows").alias("row")).select("task_id", F.col("row.page_index").alias("page_index"), "seq", "row")
+    base = base.join(later.select("task_id", "page_index"), ["task_id", "page_index"], "left_anti")
+    streamed = own.select("task_id", "page_index", "seq", "rows").join(later, ["task_id", "page_index", "seq"], "left_semi").select("task_id", "page_index", "seq", F.explode("rows").alias("row"))
+    return base.unionByName(streamed)
+
+
 def task_events(tasks: DataFrame, pages: DataFrame, rows: DataFrame) -> DataFrame:
     """Typed events of a run: admitted, started, page results, finished or failed, rows."""
     def event(df: DataFrame, code: str, kind: str, when: str, payload: Column) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import payload, text
-from ..operators import attribute, ground, layout, quality, segment
+from ..operators import attribute, ground, layout, quality, rollup, segment
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -252,3 +252,58 @@ def attribution_corrected(spark, d):
     rows = spark.createDataFrame([(1, 0, a, b), (1, 1, b, a), (1, 2, a, "丙公司"), (2, 0, b, a), (2, 1, " ", a)], "page_id int, n int, x string, y string")
     fixed = rows.join(located, "page_id").select("page_id", "n", attribute.correct_pair(F.col("x"), F.col("y"), F.col("blocks"), "buyer", "seller").alias("c"))
     return fixed.select("page_id", "n", F.col("c.a").alias("buyer_name"), F.col("c.b").alias("seller_name"), "c.verdict")
+
+
+# --- templates, settings, review ----------------------------------------------------------------------
+
+
+@made(
+    "template_id VARCHAR, ordinal INTEGER, name VARCHAR, type VARCHAR",
+    ("a", 0, "name", "company"), ("a", 1, "邮箱", "email"), ("a", 2, "电话", "phone"), ("a", 3, "备注", "string"), ("b", 0, "x", "number"), ("c", 0, "发票号码", "string"),
+)
+def inferred_columns(spark, d):
+    rows = [("a", 0, ["name", "邮箱", "电话", "备注"]), ("a", 1, ["x", "a@b.cn", "0731-12345678", "ok"]), ("a", 2, ["y", "c@d.cn", "13800000000", " "]), ("c", 0, ["发票号码"]), ("c", 1, ["12345678"])]
+    examples = spark.createDataFrame(rows, "template_id string, row_no int, cells array<string>")
+    existing = spark.createDataFrame([("a", 0, "name", "company"), ("b", 0, "x", "number")], "template_id string, ordinal int, name string, type string")
+    return config.inferred_columns(examples, existing)
+
+
+_GOOD = {"provider": "ollama", "base_url": "http://h:1/v", "model": "m", "prompts": "p", "examples_raw": "e", "api_key": None, "needs_key": True, "ocr_profile": "fast", "extraction_profile": "balanced", "grounding_mode": "off",
+         "ocr_layout_parser": "other", "parser_edited": False, "ollama_num_ctx": "4096", "online": False, "online_url": None, "online_key": None}
+_CHANGES = [
+    ({}, None), ({"provider": "x"}, "provider: unsupported value."), ({"base_url": "ftp://h"}, "base_url: must be a valid http(s) URL."), ({"model": ""}, "model: required."), ({"prompts": None}, "prompts: required."),
+    ({"examples_raw": ""}, "examples_raw: required."), ({"provider": "openai_compatible"}, "api_key: required for openai_compatible."), ({"provider": "openai_compatible", "needs_key": False}, None), ({"ocr_profile": "slow"}, "ocr_profile: must be fast/balanced/accurate."),
+    ({"grounding_mode": None}, "grounding_mode: must be off/balanced/strict."), ({"parser_edited": True}, "ocr_layout_parser: must be single_line/multi_para/none."), ({"ollama_num_ctx": "2047"}, "ollama_num_ctx: must be integer in [2048, 32768]."),
+    ({"ollama_num_ctx": "many"}, "ollama_num_ctx: must be integer in [2048, 32768]."), ({"online": True}, "ocr_online_base_url: must be a valid http(s) URL."), ({"online": True, "online_url": "https://o"}, "ocr_online_api_key: required when online OCR is enabled."),
+]
+
+
+@made("n INTEGER, problem VARCHAR", *[(n, said) for n, (_, said) in enumerate(_CHANGES)])
+def settings_problems(spark, d):
+    rows = [(n, *(_GOOD | change).values()) for n, (change, _) in enumerate(_CHANGES)]
+    kinds = ", ".join(f"{n} {'boolean' if n in ('needs_key', 'parser_edited', 'online') else 'string'}" for n in _GOOD)
+    return spark.createDataFrame(rows, f"n int, {kinds}").select("n", config.settings_problem().alias("problem"))
+
+
+_EVENTS = [  # task, seq, type, page, text, markdown, triggered, applied, rows
+    ("t", 1, "ocr_completed", None, "all", "m1", True, False, None), ("t", 2, "ocr_completed", 1, "p1", None, False, False, None), ("t", 3, "page_streamed", 1, "p1 again", None, None, None, [(1, "a")]),
+    ("t", 4, "progressed", None, None, None, None, None, [(1, "b"), (2, "c")]), ("t", 5, "page_streamed", 2, "p2", None, None, None, [(2, "d"), (2, "e")]), ("t", 6, "ocr_completed", None, None, None, False, False, None),
+    ("u", 1, "page_streamed", 1, "q", None, None, None, [(1, "f")]), ("v", 1, "succeeded", None, "v", None, None, None, []), ("", 1, "failed", None, "lost", None, None, None, [(1, "g")]),
+]
+
+
+def _events(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_EVENTS, "task_id string, seq int, event_type string, page_index int, text string, markdown string, retry_triggered boolean, retry_applied boolean, rows array<struct<page_index:int,value:string>>")
+
+
+@made(
+    "task_id VARCHAR, page_index INTEGER, text VARCHAR, markdown VARCHAR, retry_triggered BOOLEAN, retry_applied BOOLEAN",
+    ("t", None, "all", None, False, False), ("t", 1, "p1 again", None, False, False), ("t", 2, "p2", None, None, None), ("u", 1, "q", None, None, None), ("v", None, "v", None, None, None),
+)
+def review_texts(spark, d):
+    return rollup.review_texts(_events(spark))
+
+
+@made("task_id VARCHAR, page_index INTEGER, value VARCHAR", ("t", 1, "b"), ("t", 2, "d"), ("t", 2, "e"), ("u", 1, "f"))
+def review_rows(spark, d):
+    return rollup.review_rows(_events(spark)).select("task_id", "page_index", "row.value")
