@@ -81,14 +81,16 @@ for _pair in CONFUSIONS_HAN:
 
 _ONE = str.maketrans({**_SKELETON, **_SKELETON_HAN})
 _DIGIT = re.compile("[1-9]")
+_EDGE_NUMBER = re.compile(r"[\s|·\-–]*\s\d{1,3}$|^\d{1,3}[\s|·\-–]{1,3}(?=\D)")
 #: Tokens, windows and lines whose results a worker remembers; most of a corpus is a small part of its different ones.
-_REMEMBERED = 1 << 16
+_REMEMBERED = 1 << 17
 
 
 @functools.lru_cache(_REMEMBERED)
 def skeleton(form: str) -> str:
-    """A line with confusable characters made one, page numbers at its ends and blanks left out."""
-    form = re.sub(r"[\s|·\-–]*\s\d{1,3}$|^\d{1,3}[\s|·\-–]{1,3}(?=\D)", "", re.sub(r"\s{2,}", " ", form))
+    """A line in its consistent form with confusable characters made one, page numbers at its ends and blanks left out."""
+    if form and (form[0].isdigit() or form[-1].isdigit()):
+        form = _EDGE_NUMBER.sub("", form)
     out = "".join(form.translate(_ONE).lower().split())
     return out.replace("rn", "m").replace("vv", "w").replace("ei", "d").replace("ii", "u").replace("ri", "n")
 
@@ -219,7 +221,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if own := keys[i]:
                     every += own
                     if not forms[i].isascii():
-                        own = [x for x in own if x[-1] not in "12" or len(x) < 3 or _may_be_misread(x)]
+                        own = list(filter(_may_be_misread, own))
                     key_text += own
                     key_line += [i + 1] * len(own)
             rows.append((n, 0, -1, False, None, None, None, None, follow(0)))
@@ -259,6 +261,8 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 @functools.lru_cache(_REMEMBERED)
 def _may_be_misread(key: str) -> bool:
     """Whether a key around a Chinese character has one that stands for another; other keys may always be."""
+    if len(key) < 3 or key[-1] not in "12":
+        return True
     at = int(key[-1]) - 1
     return key[at] in _HAN_READ or not _HAN_ANY.match(key[at])
 
