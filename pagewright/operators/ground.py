@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
@@ -58,14 +59,16 @@ def compact_status(value: Column, text: Column) -> Column:
     return F.when(((v1 != "") & (F.instr(squeezed(text, blanks), v1) > 0)) | ((v2 != "") & (F.instr(squeezed(text, signs), v2) > 0)), ASSIGNED)
 
 
-def _squeezed(text: str, keep) -> tuple[str, list[int]]:
-    out, at = [], []
-    for i, c in enumerate(text):
-        if keep(c):
-            for low in c.lower():
-                out.append(low)
-                at.append(i)
-    return "".join(out), at
+@functools.lru_cache(32)
+def _squeezed(text: str, signs: bool) -> tuple[str, list[int]]:
+    """The characters of a text in lower case, without blanks or (``signs``) without all but letters and digits, and where each stands; the rows of
+    a text follow each other, so the last texts are remembered."""
+    low = text.lower()
+    if len(low) == len(text) and "Σ" not in text:  # its lower form in a word depends on what follows
+        at = [i for i, c in enumerate(low) if c.isalnum()] if signs else [i for i, c in enumerate(low) if not c.isspace()]
+        return "".join(map(low.__getitem__, at)), at
+    pairs = [(x, i) for i, c in enumerate(text) if (c.isalnum() if signs else not c.isspace()) for x in c.lower()]
+    return "".join(x for x, _ in pairs), [i for _, i in pairs]
 
 
 def _exact(value: str, text: str) -> tuple[int, int, str] | None:
@@ -82,9 +85,8 @@ def _exact(value: str, text: str) -> tuple[int, int, str] | None:
 
 
 def _compact(value: str, text: str) -> tuple[int, int, str] | None:
-    for keep in (lambda c: not c.isspace(), str.isalnum):
-        v, _ = _squeezed(value, keep)
-        t, at = _squeezed(text, keep)
+    for signs in (False, True):
+        v, (t, at) = _squeezed(value, signs)[0], _squeezed(text, signs)
         if v and (k := t.find(v)) >= 0:
             return at[k], at[k + len(v) - 1] + 1, ASSIGNED
     return None
@@ -96,16 +98,17 @@ def _pairs(s: str) -> set[str]:
 
 def _fuzzy(value: str, text: str, threshold: float) -> tuple[int, int, str] | None:
     """The window of the value's length with the best Jaccard similarity of pairs of letters and digits, at least the threshold; the earliest of equals."""
-    v, n = _squeezed(value, str.isalnum)[0], len(value)
+    v, n = _squeezed(value, True)[0], len(value)
     if len(v) < LEAST_FUZZY or len(text) < n:
         return None
     pairs = _pairs(v)
-    t, at = _squeezed(text, str.isalnum)
+    t, at = _squeezed(text, True)
+    if sum(p in t for p in pairs) < threshold * len(pairs):
+        return None  # a window that is near enough has at least this part of the value's pairs
     step = min(4, max(1, n // 8))
     starts = np.array(sorted({*range(0, len(text) - n + 1, step), len(text) - n}))
     low, high = np.searchsorted(at, starts), np.searchsorted(at, starts + n)
     hits = np.concatenate([[0], np.cumsum([t[i : i + 2] in pairs for i in range(len(t) - 1)], dtype=np.int64), [0]])
-    # a window that is near enough has at least this part of the value's pairs
     likely = np.flatnonzero(hits[np.maximum(high - 1, low)] - hits[low] >= threshold * len(pairs))
     scored = []
     for k in likely.tolist():

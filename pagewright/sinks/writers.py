@@ -37,7 +37,8 @@ def _cell(value: object) -> str:
 def append_sheet(path: str, rows: Iterable[Iterable[object]]) -> int:
     """Append rows to the first sheet of a workbook, made if it is not there; no header is written.  Returns how many rows were written.
 
-    Rows come as an iterator (``toLocalIterator``), so the driver never holds a whole result."""
+    Rows come as an iterator (``toLocalIterator``), so the driver never holds a whole result.  More rows than a sheet can have raise ``ValueError`` and leave
+    the workbook as it was."""
     old = ""
     if os.path.exists(path):
         with zipfile.ZipFile(path) as z:
@@ -49,7 +50,10 @@ def append_sheet(path: str, rows: Iterable[Iterable[object]]) -> int:
             z.writestr(name, text)
         with z.open(_SHEET, "w", force_zip64=True) as f:
             f.write(b'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>' + old.encode())
+            room = SHEET_ROWS - len(re.findall(r"<row[ >/]", old))
             for row in rows:
+                if n == room:
+                    raise ValueError(f"a sheet has at most {SHEET_ROWS} rows")
                 f.write(("<row>" + "".join(map(_cell, row)) + "</row>").encode())
                 n += 1
             f.write(b"</sheetData></worksheet>")

@@ -250,3 +250,25 @@ def test_core_does_not_import_the_optional_part():
                 if n.endswith(".py"):
                     body = open(os.path.join(folder, n)).read()
                     assert "from .llm" not in body and "pagewright.llm" not in body and "from ..llm" not in body
+
+
+def test_full_sheet(tmp_path, monkeypatch):
+    path = str(tmp_path / "a.xlsx")
+    monkeypatch.setattr(writers, "SHEET_ROWS", 3)
+    assert writers.append_sheet(path, [["a"], ["b"]]) == 2
+    with pytest.raises(ValueError):
+        writers.append_sheet(path, [["c"], ["d"]])
+    assert writers.append_sheet(path, [["c"]]) == 1
+
+
+def test_histories_are_composed():
+    import random
+
+    r = random.Random(1)
+    words = [r.choice(["start", "extract", "finish", "fail", "retry", "resume", "pause", "clear", "odd"]) for _ in range(400)]
+    for cut in (0, 1, 57, 400):
+        first, second = lifecycle.Runs().fold(words[:cut]), lifecycle.Runs().fold(words[cut:])
+        for s, name in enumerate(lifecycle.STATES):
+            middle = first[0][s]
+            whole = lifecycle.replay(words, name)
+            assert whole == (lifecycle.STATES[second[0][middle]], first[1][s] + second[1][middle], second[2][middle] or first[2][s])
